@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, mixing, near_dedup, quality, url_filter
+from . import ann, exact_dedup, html_extract, mixing, near_dedup, quality, url_filter
 from .common import table
 
 
@@ -44,6 +44,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -75,6 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op4_ann": op4_ann,
         "op5_near_dedup": op5_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_url_filter": op7_url_filter,
