@@ -3,22 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textquarry.llm import exact_dedup, mixing
-from textquarry.llm.common import table, written
+from textquarry.llm import exact_dedup, mixing, near_dedup, quality, queries
+from textquarry.llm.common import free_name, table, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at least 0.5; it is fitted on the labelled rows of ``docs``."""
+    score = free_name(docs, "score")
+    scored = quality.with_scores(docs, table(spark, sf_dir, "labels"), score)
+    return scored.filter(F.col(score) >= 0.5).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.keep_one(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.keep_one(docs, words=5, percent=80)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
     return mixing.emit(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's piece ids, checked by decoding them."""
+    return queries.encoded(spark, docs)
+
+
+STAGES = [("quality", quality_filter), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("encoding", encoded)]
 
-#: The classifier of the first stage has no SQL form.
+#: The classifier and the codec have no SQL form.
 ORACLE_SQL = None
 
 

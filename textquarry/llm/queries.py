@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, mixing, near_dedup, quality, url_filter
+from . import ann, exact_dedup, html_extract, mixing, near_dedup, quality, sentencepiece_codec, url_filter
 from .common import table
 
+#: The piece table of the registered queries; a file on the driver, of a public tokenizer.
+MODEL_PATH = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
@@ -44,6 +48,19 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_ids, ids, round_trip of each row."""
+    model = sentencepiece_codec.load_model(MODEL_PATH)
+    rows = sentencepiece_codec.encode(docs.select("doc_id", "text"), model)
+    rows = sentencepiece_codec.decode(rows, model)
+    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", exact.alias("round_trip"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -80,6 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_ann": op4_ann,
         "op5_near_dedup": op5_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
