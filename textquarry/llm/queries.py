@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, mixing, near_dedup, quality, sentencepiece_codec, url_filter
+from . import ann, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality, secret_scan, sentencepiece_codec, url_filter
 from .common import table
 
 #: The piece table of the registered queries; a file on the driver, of a public tokenizer.
@@ -82,6 +82,37 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.labelled_findings(spark))
+    return found.select("doc_id", "start", F.char_length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chat_format.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
+    return parts.select(
+        "conv_id", "perspective", "part", "n_turns", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.array_join(spans, ",").alias("spans")
+    )
+
+
+OP8_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') || '<|end|>' || chr(10) AS body FROM conversations WHERE conv_id IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, body) - 1 AS rk FROM turns),
+views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+said AS (
+  SELECT r.conv_id, v.perspective, rk, rk // 64 AS part, body, speaker = perspective AS mine,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker <> 'system' THEN '<|user name=' || speaker || '|>' ELSE '<|system|>' END || chr(10) AS head
+  FROM ranked r JOIN views v USING (conv_id)),
+placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY rk) AS stop FROM said)
+SELECT conv_id, perspective, part::INT AS part, count(*)::INT AS n_turns, sum(length(head) + length(body))::INT AS n_chars,
+  md5(string_agg(head || body, '' ORDER BY rk)) AS text_md5,
+  coalesce(string_agg(CASE WHEN mine THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY rk), '') AS spans
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.shipped_labels(spark))
 
@@ -97,15 +128,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_secret_scan": op2_secret_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_ann": op4_ann,
         "op5_near_dedup": op5_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_url_filter": op7_url_filter,
+        "op8_chat_format": op8_chat_format,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op9_mixing": OP9_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_mixing": OP9_SQL}
