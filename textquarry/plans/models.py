@@ -101,7 +101,7 @@ def classify(df: DataFrame, text: str, out: str, classifier: Classifier) -> Data
 def extract(df: DataFrame, field: str, context: str, extractor: Extractor, attempts: int = 5, wait: Callable[[int], None] = lambda n: None) -> DataFrame:
     """``df`` with ``reply`` and ``error``: a call is tried again after any failure; the last failure is the error."""
 
-    @F.pandas_udf(T.StructType.fromDDL("reply string, error string"))
+    @F.pandas_udf(T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
     def called(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for fields, contexts in batches:
             rows = []

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FLAT = T.StructType.fromDDL(
-    "title string, abstract string, keywords array<string>, sections array<struct<title:string,text:string,paragraphs:array<string>>>"
-)
-SECTION = "struct<section_id:string,title:string,path:array<string>,level:int,parent_id:string,order:int>"
-BLOCK = "struct<block_id:string,block_type:string,text:string,parent_section_id:string,section_path:array<string>,order:int>"
-TREE = T.StructType.fromDDL(f"title string, abstract string, keywords array<string>, sections array<{SECTION}>, blocks array<{BLOCK}>")
+_S, _I, _LIST = T.StringType(), T.IntegerType(), T.ArrayType(T.StringType())
+
+
+def _struct(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+
+
+FLAT = _struct(title=_S, abstract=_S, keywords=_LIST, sections=T.ArrayType(_struct(title=_S, text=_S, paragraphs=_LIST)))
+SECTION = _struct(section_id=_S, title=_S, path=_LIST, level=_I, parent_id=_S, order=_I)
+BLOCK = _struct(block_id=_S, block_type=_S, text=_S, parent_section_id=_S, section_path=_LIST, order=_I)
+TREE = _struct(title=_S, abstract=_S, keywords=_LIST, sections=T.ArrayType(SECTION), blocks=T.ArrayType(BLOCK))
 #: Children of a section that make blocks, with their block types.
 BLOCK_TYPES = {"p": "paragraph", "list": "list", "table-wrap": "table", "fig": "figure_caption"}
 
