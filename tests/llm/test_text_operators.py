@@ -1,0 +1,266 @@
+"""Quality classifier, HTML extraction, chat formatting, secret scan, URL filter, mixing."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.llm import chat_format, html_extract, mixing, quality, queries, secret_scan, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+# HTML extraction
+
+
+def test_every_labelled_page_is_extracted_as_marked():
+    import re
+
+    for page in list(html_extract.labelled_pages())[::17]:
+        nodes, marks = html_extract._marked(page)
+        content = html_extract.marginals(nodes)
+        labels = [1]
+        wrong = 0
+        for k in range(1, len(nodes)):
+            labels.append(labels[nodes[k].parent] if marks[k] is None else marks[k])
+            wrong += nodes[k].own > 0 and (content[k] >= 0.5) != (labels[k] == 1)
+        assert wrong <= 0.2 * len(nodes), re.sub(r"\s+", " ", page)
+
+
+def test_marginals_equal_brute_force():
+    """Sum-product against the sum over all assignments of states."""
+    import itertools
+    import math
+
+    page = '<div class="content"><p>Some words that are long enough to read.</p><div class="ad">Buy now</div><ul><li><a href=x>l</a></li></ul></div>'
+    nodes, _ = html_extract.parse(page)
+    ratios, moves, prior = html_extract.trained()
+    n = len(nodes)
+    total, content = 0.0, [0.0] * n
+    for states in itertools.product((0, 1), repeat=n):
+        weight = prior if states[0] else 1 - prior
+        for k in range(1, n):
+            p = moves.get(nodes[k].tag, moves["*"])[states[nodes[k].parent]]
+            z = min(max(sum(ratios.get(f, 0.0) for f in html_extract.evidence(nodes[k])), -12.0), 12.0)
+            weight *= (p if states[k] else 1 - p) * (math.exp(z) if states[k] else 1.0)
+        total += weight
+        for k in range(n):
+            content[k] += weight * states[k]
+    assert html_extract.marginals(nodes) == pytest.approx([c / total for c in content], rel=1e-9)
+
+
+def test_extraction_cases():
+    long = "This is a long paragraph about many things, in which a reader can find what happened and when and why it did."
+    page = (
+        f'<html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div>'
+        f"<article><h1>Head &amp; tail</h1><p><b>{long}<br><p>a &lt; b&nbsp; c</p><p>{long}</article><div class='comments'><p>{long}</p></div><form><p>{long}</p></form><footer>&copy; x</footer></body></html>"
+    )
+    assert html_extract.extract(page) == f"Head & tail\n{long}\na < b c\n{long}"
+    assert html_extract.extract(None) == html_extract.extract("") == ""
+    assert html_extract.extract("plain &eacute; text") == "plain é text"
+    assert html_extract.extract(f"<p>{long}</p><p>{long}</p") == f"{long}\n{long}"
+    assert html_extract.extract("<div>" * 3000 + long) == long
+    assert html_extract.extract("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
+
+
+def test_extraction_frame(spark):
+    rows = [(1, "u", "<p>some text in a paragraph of a page</p>", 5), (1, "u", "<p>some text in a paragraph of a page</p>", 5), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, N_chars int")
+    got = html_extract.extract_pages(df).collect()
+    assert [r["text"] for r in got] == ["some text in a paragraph of a page"] * 2 + [""]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+# Quality classifier
+
+
+def test_classifier_separates_its_sample():
+    rng = np.random.RandomState(0)
+    rows = [np.sort(rng.choice(60, 8, replace=False)).astype(np.int32) for _ in range(80)]
+    labels = [int((r < 30).sum() > 4) for r in rows]
+    model = quality.fit(rows, labels, epochs=200)
+    y = np.where(np.array(labels) == 1, 1, -1)
+    margins = []
+    for r in rows:
+        v = model["ratio"][r]
+        margins.append(float((model["weights"][r]).sum() / np.linalg.norm(v)) + model["bias"])
+    assert np.mean((np.array(margins) > 0) == (y > 0)) > 0.9
+
+
+def test_indicators_are_those_of_the_whole_text():
+    flags = np.zeros(quality.BUCKETS + quality.SHAPE_BUCKETS, bool)
+    text = "ab cd!! cd!!  EF\n" * 5
+    one = quality.features(text, flags)
+    assert not flags.any() and len(one) > 0
+    old = quality.CHUNK
+    try:
+        quality.CHUNK = 64
+        assert set(one) == set(quality.features(text * 40, flags))
+    finally:
+        quality.CHUNK = old
+    assert len(quality.features(None, flags)) == len(quality.features("", flags)) == 0
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    good = lambda k: f"The river rose over the fields on day {k}, and nobody could say why it did."
+    bad = lambda k: f"BUY!! NOW!! {k} CHEAP!! CHEAP!! CHEAP!! GO!! GO!!"
+    rows = [(k, good(k) if k % 3 else bad(k), "en", f"s{k % 4}", k) for k in range(120)]
+    docs = spark.createDataFrame([*rows, (1000, None, None, None, None), (1001, "", "en", "s1", 0)], DOCS)
+    labels = spark.createDataFrame([(k, int(bool(k % 3)), 0) for k in range(90)] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    return docs.cache(), labels.cache()
+
+
+def test_quality(spark, corpus, tmp_path):
+    docs, labels = corpus
+    got = {r["doc_id"]: r["score"] for r in quality.with_scores(docs, labels).collect()}
+    assert len(got) == 122 and all(0 <= s <= 1 for s in got.values())
+    assert all((got[k] >= 0.5) == bool(k % 3) for k in range(120))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = queries.op10_quality(spark, str(tmp_path)).collect()
+    from zlib import crc32
+
+    assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert quality.with_scores(docs, labels.limit(0)).filter("abs(score - 0.5) < 0.01").count() == 122
+    assert quality.with_scores(docs.limit(0), labels).count() == 0
+
+
+# Mixing
+
+
+def waterfill(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, fixed, open_ = sum(sizes.values()), {}, set(order)
+    while open_:
+        left, w = total - sum(fixed.values()), sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / w > 3 * sizes[s]}
+        if not over:
+            return fixed | {s: left * weight[s] / w for s in open_}
+        fixed |= {s: 3 * sizes[s] for s in over}
+        open_ -= over
+    return fixed
+
+
+def test_mixing_targets_and_copies(spark):
+    rows = [(k, "w " * (k % 9), "en", None if k % 10 == 0 else f"s{min(k % 10, 6)}", 0) for k in range(2000)] + [(None, "x y", "en", "tiny", 1), (7, "dup", "en", "s6", 1), (None, None, "en", "none", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split())
+    want, taken = waterfill(sizes), {}
+    back = {v: s for s, v in sizes.items() if list(sizes.values()).count(v) == 1}
+    for r in got:
+        assert r["taken"] == r["size"] * r["copies"] <= 3 * r["size"]
+        if r["source_size"] in back:
+            s = back[r["source_size"]]
+            assert r["target"] == pytest.approx(want[s])
+            taken[s] = taken.get(s, 0) + r["taken"]
+    for s, n in taken.items():
+        assert abs(n - want[s]) <= 0.15 * want[s] + 30
+    assert sorted(map(str, mixing.mix(df.repartition(5)).collect())) == sorted(map(str, got))
+    emitted = mixing.emit(df)
+    assert emitted.columns == df.columns and emitted.count() == sum(r["copies"] for r in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+# URL filter
+
+
+def brute_rules(baskets, least_support, least_confidence):
+    import itertools
+
+    items = sorted({t for b, _ in baskets for t in b})
+    n, found = len(baskets), {}
+    for size in (1, 2, 3):
+        for combo in itertools.combinations(items, size):
+            has = [blocked for b, blocked in baskets if set(combo) <= b]
+            if sum(has) / n >= least_support and sum(has) / len(has) >= least_confidence:
+                found[combo] = sum(has) / len(has)
+    return {c: v for c, v in found.items() if not any(set(o) < set(c) and w >= v for o, w in found.items())}
+
+
+def test_mined_rules_equal_brute_force(spark):
+    urls = [("http://a.x.com/en/p", True), ("http://a.x.com/fr/p", True), ("http://b.x.com/en/p", False), ("http://a.y.com/en/q", False), ("http://b.y.com/fr/q", True), ("http://b.y.com/fr/r", True), (None, True)]
+    df = spark.createDataFrame(urls, "url string, blocked boolean")
+    tokens = df.filter("url IS NOT NULL").select(url_filter.tokens_of(F.col("url")).alias("t"), "blocked").collect()
+    want = brute_rules([(set(r["t"]), r["blocked"]) for r in tokens], 0.3, 0.9)
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_filter.mine_rules(df, 0.3, 0.9).collect()}
+    assert {c: v for c, v in got.items() if len(c) <= 3} == {tuple(sorted(c)): v for c, v in want.items()}
+
+
+def test_url_judgement(spark):
+    urls = ["https://www.Cheap-Pills.example.com/en/4", "http://a.example.org/es/1", "http://example.org/en/15?q=1", "https://x.org/a", "http://b.com/fr/", "http://b.com/de/#x", "http://good.example.net/en/2", None, "no scheme", "http://org", "HTTP://ORG/x"]
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)] + [(6, urls[6], "x")], "page_id long, url string, HOST string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df.select("page_id", "url"), url_filter.shipped_labels(spark)).collect()}
+    assert got == {
+        0: ("www.cheap-pills.example.com", "/en/4", None, "block"), 1: ("a.example.org", "/es/1", "example.org/es/", "block"), 2: ("example.org", "/en/15", "example.org/en/1", "block"),
+        3: ("x.org", "/a", "org/", "allow"), 4: ("b.com", "/fr/", "com/fr/", "allow"), 5: ("b.com", "/de/", "com/de/", "block"), 6: ("good.example.net", "/en/2", None, "allow"),
+        7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("org", "", None, "allow"), 10: ("org", "/x", "org/", "allow"),
+    }
+    assert url_filter.judge(df, url_filter.shipped_labels(spark).limit(0)).filter("rule IS NULL AND verdict = 'block'").count() == 0
+    assert url_filter.judge(df.limit(0), url_filter.shipped_labels(spark)).count() == 0
+
+
+def test_native_plans_hold_no_python(spark):
+    df = spark.createDataFrame([(1, "a", "en", "s", 1)], DOCS)
+    pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
+    from textquarry.llm import exact_dedup
+
+    for out in (mixing.mix(df), exact_dedup.exact_dedup(df), url_filter.judge(pages, url_filter.shipped_labels(spark)), secret_scan.scan(df, secret_scan.labelled_findings(spark, 300))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+# Chat formatting
+
+
+def test_rotation(spark):
+    turns = [(1, 0, "system", "Be kind <|x|>"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Ho"), (1, 2, "ann", "Again"), (1, 2, "ann", "Again"), (1, None, None, None), (2, 0, "system", "alone"), (None, 0, "ann", "lost")]
+    df = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, Part string")
+    got = {(r["conv_id"], r["perspective"]): r for r in chat_format.rotate(df).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown")}
+    ann = got[1, "ann"]
+    assert ann["text"] == (
+        "<|system|>\nBe kind <||x|><|end|>\n<|assistant|>\nHi<|end|>\n<|assistant|>\nAgain<|end|>\n<|assistant|>\nAgain<|end|>\n<|user name=bob|>\nHo<|end|>\n<|user name=unknown|>\n<|end|>\n"
+    )
+    assert [ann["text"][a:b] for a, b in ann["spans"]] == ["Hi<|end|>\n", "Again<|end|>\n", "Again<|end|>\n"]
+    assert [got[1, "bob"]["text"][a:b] for a, b in got[1, "bob"]["spans"]] == ["Ho<|end|>\n"]
+    assert chat_format.rotate(df.limit(0)).count() == 0
+
+
+def test_long_conversations_come_in_parts(spark):
+    df = spark.createDataFrame([(1, k, "ab"[k % 2], f"t{k}") for k in range(300)], "conv_id long, turn long, role string, text string").repartition(7)
+    parts = [r for r in chat_format.rotate(df).orderBy("perspective", "part").collect() if r["perspective"] == "a"]
+    assert [p["n_turns"] for p in parts] == [64, 64, 64, 64, 44]
+    said = "".join(p["text"] for p in parts)
+    assert said.index("t0<") < said.index("t63<") < said.index("t64<") < said.index("t299<")
+    assert sum(len(p["spans"]) for p in parts) == 150
+
+
+# Secret scan
+
+
+def test_secret_candidates_equal_a_plain_scan(spark):
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [f'x token = "{key}" y', None, "", f"{key} and {key.upper()}", "card 4929348385146306 of", "-----BEGIN RSA PRIVATE KEY-----\nabc", "é" * 50 + f" api_key: {key[:20]} é", "mail a.34@mail7.example.com"]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)] + [(0, texts[0], None)], "doc_id long, text string, source string")
+    got = secret_scan.candidates(df).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"] for r in got)
+    assert sorted((r["doc_id"], r["value"], r["assigned"]) for r in got) == sorted(
+        [(0, key, True)] * 2 + [(3, key, False), (3, key.upper(), False), (4, "4929348385146306", False), (5, "-----BEGIN RSA PRIVATE KEY-----", False), (6, key[:20], True)]
+    )
+    assert secret_scan.candidates(df.limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secret_scan.labelled_findings(spark, 2400).cache()
+    held = F.pmod(F.xxhash64("value", "before"), F.lit(4)) == 0
+    model = secret_scan.train(rows.filter(~held))
+    test = model.transform(secret_scan.with_features(rows.filter(held)))
+    accuracy = test.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert accuracy > 0.95

@@ -54,9 +54,12 @@ def _mark(flags: np.ndarray, keys: np.ndarray, base: int, size: int) -> None:
 def features(text: str | None, flags: np.ndarray) -> np.ndarray:
     """Sorted numbers of the indicators that the whole text sets. ``flags`` is scratch, all False, and left so."""
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    carry = None
-    for at in range(0, len(data), CHUNK):
-        part = data[max(0, at - 2) : at + CHUNK]
+    carry, at = None, 0
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        if end < len(data) and (gaps := np.flatnonzero(_SPACE[data[at:end]])).size:
+            end = at + int(gaps[-1]) + 1  # a chunk ends with a word, unless one word fills it
+        part = data[max(0, at - 2) : end]
         low = _LOWER[part].astype(np.uint32)
         low[_SPACE[part]] = 32
         _mark(flags, low + np.uint32(1 << 24), 0, BUCKETS)
@@ -64,7 +67,8 @@ def features(text: str | None, flags: np.ndarray) -> np.ndarray:
             _mark(flags, (low[:-1] << np.uint32(8)) + low[1:] + np.uint32(2 << 24), 0, BUCKETS)
         if len(low) > 2:
             _mark(flags, (low[:-2] << np.uint32(16)) + (low[1:-1] << np.uint32(8)) + low[2:] + np.uint32(3 << 24), 0, BUCKETS)
-        carry = _shapes(data[at : at + CHUNK], flags, carry)
+        carry = _shapes(data[at:end], flags, carry)
+        at = end
     found = np.flatnonzero(flags)
     flags[found] = False
     return found.astype(np.int32)
