@@ -51,10 +51,8 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_ids, ids, round_trip of each row."""
     model = sentencepiece_codec.load_model(MODEL_PATH)
-    rows = sentencepiece_codec.encode(docs.select("doc_id", "text"), model)
-    rows = sentencepiece_codec.decode(rows, model)
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", exact.alias("round_trip"))
+    rows = sentencepiece_codec.encode(docs.select("doc_id", "text"), model, exact_col="round_trip")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

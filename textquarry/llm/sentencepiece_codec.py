@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,8 @@ LATTICE_CHARS = 40
 MOST_PIECES = 1 << 19
 #: Words that a worker remembers beyond the dictionary.
 REMEMBERED = 100_000
+#: Rows of an Arrow batch that a worker encodes before it passes them on.
+ROWS_AT_A_TIME = 500
 UNKNOWN_PENALTY = 10.0
 MARKER = "▁"
 #: From fine to coarse; the first that cuts no piece of the table is used.
@@ -279,14 +282,20 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     segment = "array<struct<start:int,end:int,id:int>>"
     if model.merges:
 
-        def merge(cuts, _):
-            # Edges over exactly two of the present symbols; the best one's inner cut goes.
-            at = lambda e: F.array_position(cuts, e["start"]).cast("int")
-            open_ = F.filter(F.col("edges"), lambda e: (at(e) > 0) & (F.get(cuts, at(e) + 1) == e["end"]))
+        def merge(acc, _):
+            # Edges over exactly two of the present symbols; the best one's inner cut goes, with all edges that need it.
+            cuts = acc["cuts"]
+            open_ = F.filter(acc["edges"], lambda e: F.get(cuts, F.array_position(cuts, e["start"]).cast("int") + 1) == e["end"])
             top = F.array_max(F.transform(open_, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("back"), e["end"].alias("end"))))
-            return F.when(top.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= -top["back"]) | (c >= top["end"])))
-
-        folded = grouped.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.col("n")), F.sequence(F.lit(0), F.col("n")), merge))
+            first, last = -top["back"], top["end"]
+            inner = F.get(cuts, F.array_position(cuts, first).cast("int"))
+            left = F.filter(acc["edges"], lambda e: (e["start"] != inner) & (e["end"] != inner) & ((e["start"] != first) | (e["end"] != last)))
+            after = F.struct(F.array_remove(cuts, inner).alias("cuts"), left.alias("edges"))
+            return F.when((F.size(acc["edges"]) == 0) | top.isNull(), acc).otherwise(after)
+
+        wide = F.filter(F.col("edges"), lambda e: e["end"] - e["start"] > 1)
+        start = F.struct(F.sequence(F.lit(0), F.col("n")).alias("cuts"), wide.alias("edges"))
+        folded = grouped.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), F.col("n")), start, merge, lambda acc: acc["cuts"]))
         whole = lambda c, e: F.get(F.filter(F.col("edges"), lambda x: (x["start"] == c) & (x["end"] == e)), 0)["id"]
         path = F.transform(
             F.slice("cuts", 1, F.size("cuts") - 1),
@@ -381,17 +390,34 @@ class _Handle:
         return self.broadcast.value
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", most: int = DICTIONARY_WORDS) -> DataFrame:
-    """``docs``, all columns, with ``ids_col`` array<int>. The texts are read twice: for the dictionary, and here."""
+def encode(
+    docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", exact_col: str | None = None, most: int = DICTIONARY_WORDS
+) -> DataFrame:
+    """``docs``, all columns, with ``ids_col`` array<int>, and with ``exact_col``: whether decoding gives back the text.
+
+    The texts are read twice, for the dictionary and here, and stay in their partitions.
+    """
     shared = _Handle(_shared(docs, model, text_col, most))
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(shared)
-        for texts in batches:
-            yield pd.Series([codec.encode(t) for t in texts], dtype="object")
-
-    return docs.withColumn(ids_col, encoded(F.col(text_col)))
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_A_TIME):
+                batch = whole.slice(first, ROWS_AT_A_TIME)
+                texts = batch.column(at).to_pylist()
+                ids = [codec.encode(t) for t in texts]
+                ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if exact_col:
+                    columns.append(pa.array([decode_ids(i.tolist(), codec.model) == (t or "") for i, t in zip(ids, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    if exact_col:
+        schema = schema.add(exact_col, T.BooleanType())
+    names = schema.names
+    return docs.mapInArrow(encoded, schema)
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
