@@ -85,3 +85,34 @@ def delay(attempt: int, jitter: float, capped_with_jitter: bool = True) -> float
     """Seconds before the next attempt, doubling up to a minute; the jitter under the cap or on top of it."""
     wait = 2.0 ** (attempt - 1)
     return min(60.0, wait + jitter) if capped_with_jitter else min(60.0, wait) + jitter
+
+
+def listed_answer(text: Column) -> Column:
+    """A gold or model answer as a list: a written list in either kind of quotes, else the parts at commas; a broken list is one item."""
+    body = strip(text)
+    doubled = F.replace(F.regexp_replace(body, r"(?<=[\[,\s])'|'(?=\s*[,\]])", '"'), F.lit("\\'"), F.lit("'"))
+    parsed = F.from_json(doubled, "array<string>")
+    parts = F.filter(F.transform(F.split(body, ","), strip), lambda x: x != "")
+    return F.when(body == "", F.array().cast("array<string>")).when(body.startswith("["), F.coalesce(parsed, F.array(body))).otherwise(parts)
+
+
+def flat_answer(items: Column) -> Column:
+    """A list as one string, at commas; null as empty."""
+    return F.coalesce(F.array_join(items, ", "), F.lit(""))
+
+
+def now_text() -> Column:
+    """The current time in UTC, ISO 8601."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def response_format(field: str) -> dict:
+    """The strict JSON schema of a field's reply, from ``REPLY_SCHEMAS`` and ``ENUMS``."""
+    properties: dict[str, dict] = {}
+    for part in _split(REPLY_SCHEMAS[field]):
+        name, kind = part.split()
+        properties[name] = {"type": "array", "items": {"type": "string"}} if kind.startswith("array") else {"type": "string"}
+        if name in ENUMS:
+            properties[name]["enum"] = list(ENUMS[name])
+    schema = {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+    return {"type": "json_schema", "json_schema": {"name": field, "strict": True, "schema": schema}}

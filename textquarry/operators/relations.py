@@ -179,3 +179,24 @@ def check(df: DataFrame, key: str, required: tuple[str, ...], not_null: tuple[st
     if found:
         raise CheckFailed("; ".join(f"{r['rule']} {r['detail']} ({r['count']})" for r in found))
     return df
+
+
+def row_split(df: DataFrame, held: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt at random to a larger and a smaller part."""
+    kept, out = df.randomSplit([1 - held, held], seed)
+    return kept, out
+
+
+def classification_report(df: DataFrame, said: str, truth: str) -> DataFrame:
+    """Accuracy and F1 weighted by the truth's counts, one row; classes are few, rows are counted by pair first."""
+    pairs = df.groupBy(F.col(said).alias("p"), F.col(truth).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    by_said, by_truth = pairs.groupBy("p").agg(F.sum("n").alias("said")), pairs.groupBy("t").agg(F.sum("n").alias("true"))
+    hits = pairs.filter(F.col("p").eqNullSafe(F.col("t"))).select(F.col("t").alias("c"), F.col("n").alias("hit"))
+    each = by_truth.join(hits, by_truth["t"].eqNullSafe(hits["c"]), "left").join(by_said, by_truth["t"].eqNullSafe(by_said["p"]), "left").fillna(0, ["hit", "said"])
+    f1 = F.when(F.col("hit") > 0, 2 * F.col("hit") / (F.col("said") + F.col("true"))).otherwise(0.0)
+    return each.agg((F.sum("hit") / F.sum("true")).alias("accuracy"), (F.sum(f1 * F.col("true")) / F.sum("true")).alias("weighted_f1"))
+
+
+def hit_rate(df: DataFrame, found: str) -> DataFrame:
+    """The share of rows for which ``found`` is not null, such as a cached vector; 0 of nothing."""
+    return df.agg(F.coalesce(F.avg(F.col(found).isNotNull().cast("double")), F.lit(0.0)).alias("hit_rate"))

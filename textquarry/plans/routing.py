@@ -59,3 +59,9 @@ def submit(results: DataFrame) -> DataFrame:
 
 def with_cost(usage: DataFrame) -> DataFrame:
     return usage.withColumn("estimated_cost_usd", price(F.col("input_tokens"), F.col("output_tokens"), EXTRACTION_PRICE))
+
+
+def serialised(rows: DataFrame) -> DataFrame:
+    """(doc_id, field, blocks): the routed blocks of each field in page order, without their texts."""
+    item = F.struct("block_index", "block_id", "section_path", "p")
+    return rows.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(item)).alias("blocks"))
