@@ -7,10 +7,11 @@ low two bits of each minimum are packed into a signature. Then:
 1. documents with equal sets form one class, represented by its smallest id;
 2. representatives that share a band are candidates. Each is paired with the smallest id of its bucket, so a bucket
    of n gives n - 1 pairs, and links found so far join classes into components;
-3. buckets that still hold several components are open: their members are compared across components, block by block
-   of bounded size, by signature, and only pairs whose estimate can reach the threshold leave the comparison;
-4. the share of equal low bits, corrected for chance collisions, estimates each pair's similarity; pairs that may
-   reach the threshold are confirmed on the full sets.
+3. the share of equal low bits, corrected for chance collisions, estimates each pair's similarity; pairs that may
+   reach the threshold are confirmed on the full sets;
+4. buckets that still hold several components are open: their members are compared across components, block by block
+   of bounded size, first by signature; members with a partner whose estimate can reach the threshold come again with
+   their full sets, and a block gives at most one confirmed link for each member, those that join components.
 
 A pair in one component need not be compared, as it cannot change any component; every other pair of one bucket is.
 A link at the threshold shares no band with probability under 1e-5 (0.8) or 1e-8 (0.85).
@@ -23,7 +24,7 @@ table gives an empty result; further columns take no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from .components import components
 ROWS, BANDS = 6, 42
 MINIMA = ROWS * BANDS
 #: The estimate's margin below the threshold: more than five of its standard deviations.
-MARGIN = 0.15
+MARGIN = 0.13
 #: Members in a block of an open bucket.
 BLOCK = 512
 #: Ids up to this count are broadcast to pick the documents whose sets are needed; beyond, they are joined by shuffle.
@@ -163,49 +164,112 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - 0.25) / 0.75
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``ids``."""
+    needed = written(ids)
+    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    return written(full_sets(chosen, words).groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+
+
 def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
     side = lambda name: signed.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     likely = written(sized.filter(fits & (estimate(F.col("s_a"), F.col("s_b")) >= percent / 100 - MARGIN)).select("a", "b"))
-    needed = written(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = written(full_sets(chosen, words).groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+    sets = _sets_of(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), words)
     both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components in buckets that hold several; rows: key, doc_id, component, n_shingles, signature."""
-    spans = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    spans = spans.filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+_BLOCK = ("key", "p", "q")
+_MEMBER = "key long, p int, q int, part int, doc_id long, component long, n_shingles long, signature array<long>"
+
+
+def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each (key, p, q), from batches sorted by it; a block has at most two parts' rows, whatever the bucket's size."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        whole = batch if rest is None else pd.concat((rest, batch), ignore_index=True)
+        keys = whole[list(_BLOCK)].to_numpy()
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        starts = np.concatenate(([0], edges))
+        for start, stop in zip(starts[:-1], starts[1:], strict=True):
+            yield whole.iloc[start:stop]
+        rest = whole.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _near_pairs(block: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows): each row with those across components whose sizes and estimate allow the threshold."""
     least = (percent / 100 - MARGIN) * 0.75 + 0.25
+    part, p, q = block["part"].to_numpy(), block["p"].iloc[0], block["q"].iloc[0]
+    ids, comps, sizes = (block[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+    sig = np.array(block["signature"].tolist(), np.int64).view(np.uint64)
+    even, right = np.uint64(0x5555555555555555), np.flatnonzero(part == q)
+    for k in np.flatnonzero(part == p):
+        others = right[(comps[right] != comps[k]) & (100 * np.minimum(sizes[right], sizes[k]) >= percent * np.maximum(sizes[right], sizes[k]))]
+        if p == q:
+            others = others[ids[others] > ids[k]]
+        if len(others):
+            x = sig[others] ^ sig[k]
+            equal = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & even).sum(axis=1) / MINIMA
+            others = others[equal >= least]
+            if len(others):
+                yield int(k), others
+
+
+def _open_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Confirmed links (a, b) across components in buckets that hold several.
+
+    ``rows``: key, doc_id, component, n_shingles, signature. ``sets`` gives (doc_id, shingles) of a table of ids.
+    """
+    spans = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    spans = written(spans.filter("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     blocked = rows.join(spans, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     ends = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("p"), F.greatest(o, F.col("part")).alias("q"))
     )
     dealt = blocked.withColumn("cell", F.explode(ends)).select("key", "cell.p", "cell.q", "part", "doc_id", "component", "n_shingles", "signature")
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        p, q = block["p"].iloc[0], block["q"].iloc[0]
-        left, right = block[block["part"] == p], block[block["part"] == q]
-        sig = np.array(right["signature"].tolist(), np.int64).view(np.uint64)
-        ids, comps, sizes = (right[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        even, found = np.uint64(0x5555555555555555), []
-        for row in left.itertuples(index=False):
-            x = sig ^ np.asarray(row.signature, np.int64).view(np.uint64)
-            equal = 1 - np.bitwise_count((x | (x >> np.uint64(1))) & even).sum(axis=1) / MINIMA
-            near = (equal >= least) & (comps != row.component) & (100 * np.minimum(sizes, row.n_shingles) >= percent * np.maximum(sizes, row.n_shingles))
-            if p == q:
-                near &= ids > row.doc_id
-            found += [(min(row.doc_id, i), max(row.doc_id, i)) for i in ids[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _by_block(batches):
+            wanted = np.zeros(len(block), bool)
+            for k, others in _near_pairs(block, percent):
+                wanted[k] = wanted[others] = True
+            if wanted.any():
+                yield block[wanted]
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _by_block(batches):
+            ids, root = block["doc_id"].to_numpy(), {}
+            full = [frozenset(x.tolist()) for x in block["shingles"]]
+            comps = block["component"].to_numpy()
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            found = []
+            for k, others in _near_pairs(block, percent):
+                for o in others:
+                    mine, other = find(comps[k]), find(comps[o])
+                    if mine != other:
+                        shared = len(full[k] & full[o])
+                        if 100 * shared >= percent * (len(full[k]) + len(full[o]) - shared):
+                            root[max(mine, other)] = min(mine, other)
+                            found.append((min(ids[k], ids[o]), max(ids[k], ids[o])))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    likely = written(dealt.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInPandas(promising, _MEMBER))
+    full = likely.join(sets(likely.select("doc_id").distinct()), "doc_id")
+    return full.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInPandas(confirm, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +277,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, words))
     with_set = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = with_set.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Tables that hot keys meet are written first, so that the joins below meet plain shuffles, which can be split.
+    classes = written(with_set.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     members = written(with_set.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep", "set_key"))
     reps = written(
         signed.join(members.filter("doc_id = rep").select("doc_id", "set_key").distinct(), ["doc_id", "set_key"])
@@ -222,6 +287,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     )
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
+    buckets = written(buckets)
     in_bucket = written(rows.join(buckets, "key"))
     stars = in_bucket.filter("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(_confirmed(stars, reps, docs, words, percent).union(members.filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
@@ -229,7 +295,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     labelled = in_bucket.select("key", "doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
     labelled = written(labelled.join(reps.select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]), "doc_id"))
-    more = written(_confirmed(_open_pairs(labelled, percent), reps, docs, words, percent))
+    more = written(_open_links(labelled, lambda ids: _sets_of(docs, ids, words), percent))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     joined = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
