@@ -366,11 +366,12 @@ class Codec:
 
 def _shared(docs: DataFrame, model: Model, text_col: str, most: int):
     """The model and the dictionary, at most ``most`` words, as a broadcast."""
-    found = dictionary(docs, model, text_col, most).filter(~F.contains("word", F.lit("\0"))).toPandas()
-    sizes = np.array([len(x) for x in found["ids"]], np.int64)
-    ids = np.concatenate([np.asarray(x, "<i4") for x in found["ids"]]).tobytes() if len(found) else b""
-    shared = docs.sparkSession.sparkContext.broadcast((model, "\0".join(found["word"]), sizes, ids))
-    return shared
+    # As Arrow buffers: an object for each word's ids would take several times the memory in the driver.
+    found = dictionary(docs, model, text_col, most).filter(~F.contains("word", F.lit("\0"))).toArrow()
+    lists = found.column("ids").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+    sizes, ids = np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    return docs.sparkSession.sparkContext.broadcast((model, "\0".join(found.column("word").to_pylist()), sizes, ids))
 
 
 class _Handle:
