@@ -1,7 +1,8 @@
 """Secret scans: patterns find candidates, a random forest removes the false ones (native: DataFrame functions only).
 
-A candidate is a long token with a digit, a value assigned to a word such as ``token`` or ``password``, or the head of
-a private key. The forest judges it by its length, its character classes and the transitions between them, how much
+A candidate is a token of 16 characters or more after any delimiter, a value of any length assigned to a name with a
+word such as ``token`` or ``password`` in it, the password of a URL, a whole JSON web token, or the head of a private
+key. Long tokens inside a candidate (between slashes, or in an assigned URL) are candidates too. The forest judges it by its length, its character classes and the transitions between them, how much
 of it words of a dictionary cover, the path of its document, and the words before and after it. It is trained by
 Spark ML on labelled findings (``labelled_findings``), and applied as a DataFrame transformation.
 
@@ -14,6 +15,8 @@ a row of its own, in repeated rows too; an empty table gives an empty result; fu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -25,15 +28,25 @@ from pyspark.sql import functions as F
 from .common import written
 
 # The patterns of candidates, of assigned names, and of tell-tale neighbours and paths.
-NAMES = r"(?:api[_-]?key|access[_-]?key|auth|bearer|credential|passwd|password|pwd|secret|token)"
-ASSIGNED = rf"(?i:\b[a-z0-9_-]{{0,20}}{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"',;]{{8,}}"
-TOKEN = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=@-])"
+NAMES = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|authorization|auth|bearer|credential|passphrase|passwd|password|pwd|secret|token|(?<=[_-])(?:key|pass|pat|psk|pw))"
 KEY_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-CANDIDATE = rf"{KEY_HEAD}|\b[A-Za-z0-9_-]{{0,20}}(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"',;]{{8,}}|{TOKEN}"
-VALUE = r"^(?:-----.*|.*[:=\s\"']([^\s\"':=][^\s\"']*)|(.*))$"
+#: A name holds one of the words whole: before its end, a non-letter, a plural s, or the next part of a camelCase name.
+NAME = rf"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]*?(?i:{NAMES})(?:s?(?![A-Za-z])|(?<=[a-z])(?=[A-Z])))[A-Za-z0-9+/_.-]++"
+LEAD = rf"{NAME}[\"']?\s{{0,3}}[:=]{{1,2}}+>?\s{{0,3}}[\"']?(?i:(?:bearer|basic|token)\s{{1,3}})?"
+ASSIGNED = rf"{LEAD}[^\s\"',;]++"
+#: User and password of a URL.
+LOGIN = r"(?<=:)//[^\s/:@\"'<>]*+:[^\s/:@\"'<>]++(?=@)"
+JWT_PARTS = r"eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,4}"
+JWT = rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]*?[+/])?{JWT_PARTS}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = rf"{KEY_HEAD}|{LOGIN}|{JWT}|{ASSIGNED}|{TOKEN}"
+#: Long tokens inside a candidate: between slashes, and in names and values of an assignment.
+INNER = r"(?<![A-Za-z0-9+_-])(?=[+_-]*[A-Za-z0-9])[A-Za-z0-9+_-]{16,}+={0,2}"
 SECRET_WORDS = rf"(?i){NAMES}"
 HARMLESS_WORDS = r"(?i)(checksum|commit|digest|example|hash|isbn|md5|order|phone|placeholder|revision|sample|serial|sha1|sha256|tracking|uuid|version|integrity|etag|card|number)"
 HARMLESS_PATHS = r"(?i)(doc|example|fixture|lock|mock|readme|sample|test|vendor)"
+#: Values that stand for a secret without being one.
+REFERENCE = r"(?i)^(?:[$<{%*(\[].*|https?:.*|.*[({\[].*|.*env\..*|null|none|nil|true|false|yes|no|required|optional|string|undefined)$"
 COMMON_PAIRS = r"(?i)(?=(th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur))"
 DICTIONARY = (
     "account", "admin", "alpha", "answer", "apple", "backup", "banner", "before", "block", "build", "cache", "change", "class", "client", "cloud", "color",
@@ -47,7 +60,7 @@ DICTIONARY = (
 )
 FEATURES = (
     "length", "digits", "uppers", "lowers", "others", "distinct", "transitions", "pairs", "covered", "hex", "digits_only", "longest_run",
-    "secret_before", "harmless_before", "harmless_after", "harmless_path", "quoted", "assigned", "repeats",
+    "secret_before", "harmless_before", "harmless_after", "harmless_path", "quoted", "assigned", "repeats", "named", "reference", "parts",
 )
 TREES, DEPTH, SEED = 40, 8, 17
 #: Characters of neighbouring text that the forest sees on each side.
@@ -83,6 +96,9 @@ def with_features(rows: DataFrame) -> DataFrame:
         "quoted": flag(F.col("after").rlike("^[\"']")),
         "assigned": flag(F.col("assigned")),
         "repeats": share(r"(.)(?=\1)"),
+        "named": flag(F.col("after").rlike(r"^[\"']?\s{0,3}[:=]")),
+        "reference": flag(v.rlike(REFERENCE)),
+        "parts": F.regexp_count(v, F.lit(r"[a-z0-9][/_.-][a-z]|[a-z][A-Z][a-z]{2}")).cast("double"),
     }
     return rows.select("*", *[made[name].alias(f"f_{name}") for name in FEATURES])
 
@@ -105,6 +121,13 @@ def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
     lead = lambda salt: F.concat(pick(salt, plain), F.lit(" "))
     given = lambda salt: F.concat(pick(salt, plain), F.lit(" "), pick(f"{salt}n", names), pick(f"{salt}e", (' = "', "=", ": ", ' : "')))
     mark = pick(28, ("_", "-", "/"))
+    syllable = lambda salt: pick(salt, ("th", "er", "on", "an", "re", "in", "en", "es", "ti", "or", "te", "st", "la", "ri", "mo", "ung", "ment", "ou", "sch", "ver"))
+    letters = F.regexp_replace(F.concat(mixed, F.base64(F.unhex(F.sha2(r("e"), 256)))), "[0-9=/+]", "")
+    long_name = lambda salt: F.concat(lead(salt), pick(f"{salt}p", ("", "export ", "my_company_production_", "AWS_", "DB_")), pick(f"{salt}q", ("PASSWORD", "db_password", "secret_key", "ACCESS_KEY_ID", "passwd", "token")), pick(f"{salt}e", ("=", " = ", ": ", ' = "', ' : "')))
+    number = pick(60, ("1", "2", "7", "42", "99", "123", "2024"))
+    dressed = F.concat(F.translate(F.initcap(word(61)), "oea", "034"), pick(62, ("&", "!", "#", "$", "-", "")), number, pick(63, ("x", "Q", "!", "")))
+    site = pick(64, ("https://h/x?sig=", "https://example.com/hooks/", "https://host.net/a?b=1&key=", "https://", "STRIPE_KEY=", "export GH_PAT=", "key.", "id="))
+    joint = pick(104, ("-", "_", "/", "-"))
     yes, no, empty = F.lit(True), F.lit(False), F.lit("")
     kinds = [
         # value, assigned, before, after, path, label
@@ -123,10 +146,28 @@ def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
         (F.repeat(pick(44, ("x", "0", "ab", "1234", "X")), 16), yes, given(45), F.lit('"'), pick(46, code + docs), 0),
         (F.substring(mixed, 1, 24), yes, F.concat(given(47), F.lit("example ")), F.lit('"'), pick(48, ("tests/test_app.py", "docs/readme.md", "examples/a.yml")), 0),
         (F.concat(word(49), word(50), word(51), F.lit("2")), no, lead(52), empty, pick(53, code + docs), 0),
+        (F.concat(F.lit("AKIA"), upper), yes, long_name(70), pick(71, ("", '"', " and")), pick(72, code), 1),
+        (F.concat(pick(73, ("ghp_", "sk_live_", "", "")), F.substring(mixed, 2, 22)), no, F.concat(lead(74), site), pick(75, ("", " and", "@github.com/a", "/x")), pick(76, code), 1),
+        (F.concat(F.lit("eyJhbGciOiJIUzI1NiJ9.eyJ"), F.substring(mixed, 1, 30), F.lit("."), letters, F.substring(mixed, 3, 20)), F.col("id") % 2 == 0, lead(78), pick(79, ("", '"', " and")), pick(80, code), 1),
+        (F.concat(word(81), number), yes, long_name(82), pick(83, ("", '"', " and", "@host/db")), pick(84, code), 1),
+        (dressed, yes, pick(85, ("https://user:", "my_company_production_database_password = \"", "password = ", "pwd=", "db.passwd: ")), pick(86, ('"', "", " and", "@host/db")), pick(87, code), 1),
+        (F.substring(letters, 1, 24), no, F.concat(lead(88), pick(89, ("", "", "=", "key="))), pick(90, ("", " and", '"')), pick(91, code), 1),
+        (pick(92, ("the", "he", "was", "and", "not", "in", "of", "que", "les", "und", "der", "la", "required", "optional", "none", "null", "true", "false", "string", "5", "12", "100", "3600")), yes, given(93), pick(94, (" of the", " and", "", ".")), pick(95, code + docs), 0),
+        (pick(96, ("${DB_PASSWORD}", "<password>", "os.environ[", "%s", "****", "{{token}}", "getenv(KEY)", "process.env.TOKEN", "https://example.com/login", "$TOKEN")), yes, long_name(97), pick(98, ('"', "", " and")), pick(99, code + docs), 0),
+        (F.concat(*[syllable(f"y{k}") for k in range(8)], pick(100, ("", "s", "e", "ly"))), no, lead(101), pick(102, ("", " of", ".", ",")), pick(103, code + docs), 0),
+        (F.concat(pick(105, ("", "well", "en", "2024")), joint, word(106), joint, syllable("z1"), joint, word(107), joint, word(108)), no, F.concat(lead(109), pick(110, ("", "https://example.com", ""))), pick(111, ("", " of", ".html", "=", "@mail.example.com")), pick(112, code + docs), 0),
+        (F.upper(F.concat_ws("_", word(113), word(114), pick(115, ("PASSWORD", "TOKEN", "API_KEY", "ID")))), no, lead(116), pick(117, ("=", " = ", ": ", "")), pick(118, code + docs), 0),
+        (F.concat(word(119), F.initcap(word(120)), F.initcap(word(121)), pick(122, ("", "Id", "2"))), no, F.concat(lead(123), pick(124, ("", ".", "="))), pick(125, ("", " of", "(", " =")), pick(126, code + docs), 0),
+        (F.concat(word(127), word(128), word(129), number), no, lead(130), pick(131, ("@mail.example.com", "@example.com and")), pick(132, code + docs), 0),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
-    rows = F.array(*[F.struct(v.alias("value"), a.alias("assigned"), b.alias("before"), c.alias("after"), p.alias("path"), F.lit(float(y)).alias("label")) for v, a, b, c, p, y in kinds])
-    return spark.range(0, n, 1, 4).select(F.element_at(rows, (kind + 1).cast("int")).alias("row")).select("row.*")
+    made = []
+    for low in range(0, len(kinds), 7):  # a few kinds a projection: generated code of all of them is longer than the JVM takes
+        some = kinds[low : low + 7]
+        rows = F.array(*[F.struct(v.alias("value"), a.alias("assigned"), b.alias("before"), c.alias("after"), p.alias("path"), F.lit(float(y)).alias("label")) for v, a, b, c, p, y in some])
+        ids = spark.range(0, n, 1, 1).filter((kind >= low) & (kind < low + len(some)))
+        made.append(ids.select(F.element_at(rows, (kind - low + 1).cast("int")).alias("row")).select("row.*"))
+    return reduce(DataFrame.union, made)
 
 
 def train(findings: DataFrame) -> PipelineModel:
@@ -149,31 +190,46 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).filter(F.size("found") > 0)
     # Piece k stands before finding k; the last piece stands after the last one.
     cut = cut.withColumn("pieces", F.split("text", CANDIDATE, -1)).drop("text")
-    each = cut.select(
-        "uid",
-        "doc_id",
-        "path",
-        F.posexplode(
-            F.transform(
-                "found",
-                lambda x, k: F.struct(
-                    x.alias("whole"),
-                    F.char_length(F.get("pieces", k)).alias("gap"),
-                    F.right(F.get("pieces", k), F.lit(NEAR)).alias("before"),
-                    F.left(F.get("pieces", k + 1), F.lit(NEAR)).alias("after"),
-                ),
-            )
-        ).alias("k", "hit"),
-    ).select("uid", "doc_id", "path", "k", "hit.*")
+    hit = lambda x, k: F.struct(
+        x.alias("whole"),
+        F.char_length(F.get("pieces", k)).alias("gap"),
+        F.right(F.get("pieces", k), F.lit(NEAR)).alias("before"),
+        F.left(F.get("pieces", k + 1), F.lit(NEAR)).alias("after"),
+    )
+    each = cut.select("uid", "doc_id", "path", F.posexplode(F.transform("found", hit)).alias("k", "hit")).select("uid", "doc_id", "path", "k", "hit.*")
     so_far = Window.partitionBy("uid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     gone = F.coalesce(F.sum(F.col("gap") + F.char_length("whole")).over(so_far), F.lit(0)) + F.col("gap")
-    value = F.when(F.col("whole").rlike(f"^{KEY_HEAD}$"), F.col("whole")).otherwise(
-        F.regexp_extract("whole", r"^(?:[A-Za-z0-9_-]*[\"']?\s{0,3}[:=]\s{0,3}[\"']?)?(.*)$", 1)
+    jwt, assigned, login = F.col("whole").rlike(f"^{JWT}$"), F.col("whole").rlike(f"^{LEAD}"), F.col("whole").rlike("^//[^/:]*:")
+    value = (
+        F.when(F.col("whole").rlike(f"^{KEY_HEAD}$"), F.col("whole"))
+        .when(login, F.regexp_extract("whole", "(?s)^//[^:]*:(.*)$", 1))
+        .when(jwt, F.regexp_extract("whole", f"({JWT_PARTS})$", 1))
+        .when(assigned, F.regexp_extract("whole", f"(?s)^{LEAD}(.*)$", 1))
+        .otherwise(F.col("whole"))
     )
-    assigned = F.col("whole").rlike(rf"^[A-Za-z0-9_-]{{0,20}}(?i:{NAMES})[\"']?\s{{0,3}}[:=]")
-    placed = each.select("doc_id", "path", "before", "after", "whole", gone.alias("at"), value.alias("value"), assigned.alias("assigned"))
+    placed = each.select("uid", "k", "doc_id", "path", "before", "after", "whole", gone.alias("at"), value.alias("value"), (login | (assigned & ~jwt)).alias("assigned"), jwt.alias("jwt"))
     lead = F.char_length("whole") - F.char_length("value")
-    return placed.select("doc_id", (F.col("at") + lead).alias("start"), "value", "assigned", F.concat("before", F.expr("left(whole, char_length(whole) - char_length(value))")).alias("before"), "after", "path")
+    placed = placed.withColumn("lead", lead).withColumn("name", F.expr("left(whole, lead)"))
+    # The parts of a web token are no tokens of their own; nor is the head of a key.
+    within = F.when(F.col("jwt"), F.col("name")).when(F.col("whole").startswith("-----BEGIN"), F.lit("")).otherwise(F.col("whole"))
+    placed = placed.withColumn("pieces", F.split(within, INNER, -1)).withColumn("found", F.regexp_extract_all(within, F.lit(INNER), F.lit(0)))
+    last = F.size("found") - 1
+    part = lambda x, k: F.struct(
+        x.alias("whole"),
+        F.char_length(F.get("pieces", k)).alias("gap"),
+        F.right(F.concat(F.when(k == 0, F.col("before")).otherwise(F.lit("")), F.get("pieces", k)), F.lit(NEAR)).alias("before"),
+        F.left(F.concat(F.get("pieces", k + 1), F.when(k == last, F.concat(F.when(F.col("jwt"), F.col("value")).otherwise(F.lit("")), F.col("after"))).otherwise(F.lit(""))), F.lit(NEAR)).alias("after"),
+    )
+    outer = F.struct(F.col("value").alias("whole"), F.lit(0).alias("gap"), F.concat("before", "name").alias("before"), F.col("after").alias("after"))
+    parts = placed.select("uid", "k", "doc_id", "path", "at", "lead", "value", "assigned", F.posexplode(F.concat(F.array(outer), F.transform("found", part))).alias("j", "hit"))
+    parts = parts.select("uid", "k", "doc_id", "path", "at", "lead", "value", "assigned", "j", "hit.*")
+    inside = Window.partitionBy("uid", "k").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.when(F.col("j") > 0, F.col("gap") + F.char_length("whole")).otherwise(0)).over(inside), F.lit(0)) + F.col("gap")
+    parts = parts.withColumn("offset", F.when(F.col("j") == 0, F.col("lead")).otherwise(gone))
+    parts = parts.filter((F.col("j") == 0) | (F.col("whole") != F.col("value")))
+    return parts.select(
+        "doc_id", (F.col("at") + F.col("offset")).alias("start"), F.col("whole").alias("value"), (F.col("assigned") & (F.col("offset") >= F.col("lead"))).alias("assigned"), "before", "after", "path"
+    )
 
 
 def scan(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
