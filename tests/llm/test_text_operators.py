@@ -206,6 +206,16 @@ def test_url_judgement(spark):
     assert url_filter.judge(df.limit(0), url_filter.shipped_labels(spark)).count() == 0
 
 
+def test_unlabelled_hosts_are_judged_by_their_words(spark):
+    labels = url_filter.shipped_labels(spark)
+    assert not [r["url"] for r in labels.collect() if url_filter.HELD_OUT & set(r["url"].split("/")[2].split("."))]
+    bad = [*url_filter.HELD_OUT, "adult-shop", "super-casino", "porn", "viagra-store", "spam-king", "nice-bets", "warez-hub", "payday-now"]
+    good = ["orchard", "farm-shop", "win-back", "cheap-tickets", "free-library", "x-files", "track-day", "online-school", "live-theatre"]
+    df = spark.createDataFrame([(k, f"http://{h}.example.net/en/7") for k, h in enumerate(bad + good)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, labels).collect()}
+    assert [h for k, h in enumerate(bad + good) if (got[k] == "block") != (h in bad)] == []
+
+
 def test_native_plans_hold_no_python(spark):
     df = spark.createDataFrame([(1, "a", "en", "s", 1)], DOCS)
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")

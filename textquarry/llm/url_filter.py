@@ -7,12 +7,14 @@ an equi-join, and the rest of the rule is verified against the URL's token set.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and no tokens, so only the default
 verdict ``allow``; repeated URLs are judged one by one; an empty label table gives no rules; an empty URL table
-gives an empty result; further columns take no part. ``urls`` must give the same rows in the same partitions whenever it is read,
-as a parquet table does.
+gives an empty result; further columns take no part. A host is known by its labels and their
+hyphened parts: one with none of the words of the labelled URLs, or with such words run together, is allowed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,30 +30,45 @@ HOST_RULES = (
     ("com", "/de/", "block"),
 )
 
-#: Labelled URLs, block and allow, from which the query mines its rules.
-BLOCKED_URLS = (
-    "http://www.cheap-pills.example.com/en/450", "https://cheap-pills.example.net/fr/176/", "http://blog.cheap-pills.example.org/de/12.html",
-    "https://m.cheap-pills.example.com/en/926/", "http://cheap-pills.example.net/es/8#top",
-    "https://spam-farm.example.org/en/728", "http://www.spam-farm.example.com/fr/31.html", "https://blog.spam-farm.example.net/es/77/",
-    "http://m.spam-farm.example.net/de/5#top", "https://spam-farm.example.com/en/61",
-    "https://www.casino-win.example.org/en/14", "http://casino-win.example.com/de/220.html", "https://m.casino-win.example.net/fr/9/",
-    "http://blog.casino-win.example.net/en/83#top", "https://casino-win.example.com/es/47",
-    "http://m.free-bets.example.com/en/27#top", "https://free-bets.example.net/de/963", "http://www.free-bets.example.org/fr/18.html",
-    "https://blog.free-bets.example.com/es/72/", "http://free-bets.example.net/en/504",
-    "https://ads-track.example.org/en/584", "http://www.ads-track.example.com/es/9.html", "https://m.ads-track.example.net/fr/66/",
-    "http://blog.ads-track.example.com/de/41#top", "https://ads-track.example.net/en/307",
-)
-ALLOWED_URLS = (
-    "http://www.news.example.com/en/450", "https://garden.example.net/fr/176/", "http://blog.books.example.org/de/12.html",
-    "https://m.music.example.com/en/926/", "http://school.example.net/es/8#top", "https://town-hall.example.org/en/728",
-    "http://www.weather.example.com/fr/31.html", "https://blog.travel.example.net/es/77/", "http://m.recipes.example.net/de/5#top",
-    "https://history.example.com/en/61", "https://www.science.example.org/en/14", "http://museum.example.com/de/220.html",
-    "https://m.library.example.net/fr/9/", "http://blog.farm-life.example.net/en/83#top", "https://free-software.example.com/es/47",
-    "http://m.win-win.example.com/en/27#top", "https://track-and-field.example.net/de/963", "http://www.cheap-flights.example.org/fr/18.html",
-    "https://blog.health.example.com/es/72/", "http://maths.example.net/en/504", "https://films.example.org/en/584",
-    "http://www.chess.example.com/es/9.html", "https://m.birds.example.net/fr/66/", "http://blog.trains.example.com/de/41#top",
-    "https://maps.example.net/en/307",
+#: Labelled URLs are made of word pairs by category, without the hosts held out. A category has two
+#: lists of words, whose pairs are blocked hosts, further blocked hosts, and allowed hosts that share words with them.
+CATEGORIES = {
+    "pharmacy": (
+        "cheap discount generic herbal fast online", "pills meds viagra pharma tablets steroids", "",
+        "cheap-flights discount-books generic-names herbal-garden fast-trains online-courses green-tablets",
+    ),
+    "spam": ("spam bulk junk mass mailer leads", "farm blast bot sender lists seo", "", "farm-life bulk-bins mass-transit chess-bot reading-lists letter-sender"),
+    "casino": ("lucky royal golden mega spin vegas", "casino slots poker jackpot roulette blackjack", "", "lucky-cat royal-museum golden-gate mega-city spin-class vegas-trip time-slots"),
+    "betting": ("free sure live odds fixed daily", "bets bet betting wager bookie sportsbook", "", "free-software sure-start live-music fixed-gear daily-bread"),
+    "advertising": ("ads ad banner click popup affiliate", "track tracker server network pixel traffic", "", "track-and-field time-tracker home-server art-network pixel-art road-traffic click-clack"),
+    "adult": (
+        "adult sexy hot xxx nude naughty", "porn cams sex tube escorts webcams", "adult-dating adult-video adult-club adult-chat adult-toys adult-movies",
+        "adult-education hot-springs tube-map nude-painting",
+    ),
+    "piracy": ("full free cracked warez pirate keygen", "crack torrent serials nulled rips isos", "", "full-moon free-press pirate-museum torrent-river"),
+    "loans": ("payday quick instant easy nocredit cash", "loans loan lender advance payout rich", "", "quick-recipes instant-coffee easy-english cash-crops advance-notice rich-soil"),
+    "malware": ("keylogger trojan phishing spyware ransom exploit", "kit loader drop stealer builder panel", "", "trojan-war sewing-kit solar-panel drop-shapes boat-builder"),
+}
+#: Hosts allowed in every category.
+ALLOWED_HOSTS = (
+    "news", "garden", "books", "music", "school", "town-hall", "weather", "travel", "recipes", "history", "science", "museum", "library", "win-win", "x-ray",
+    "health", "maths", "films",
 )
+FORMS = ("http://www.{}.example.com/en/{}", "https://{}.example.net/fr/{}/", "http://blog.{}.example.org/de/{}.html", "https://m.{}.example.com/es/{}/", "http://{}.example.net/en/{}#top")
+
+
+def labelled_hosts() -> list[tuple[str, str, bool]]:
+    """(category, host without its suffix, blocked). Of a pair's hosts half stand below a label with the second word only."""
+    rows = []
+    for name, (first, second, more, allowed) in CATEGORIES.items():
+        pairs = [(a, b) for a in first.split() for b in second.split()]
+        hosts = [f"{b}.{a}-{b}" if b not in ("farm", "track", "server", "network") else f"{a}-{b}" for a, b in pairs if f"{a}-{b}" not in HELD_OUT] + more.split()
+        rows += [(name, h, True) for h in hosts] + [(name, h, False) for h in (*allowed.split(), *ALLOWED_HOSTS)]
+    return rows
+
+
+#: Hosts that are never labelled, so that they measure what the rules make of unseen hosts.
+HELD_OUT = frozenset(("cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-x"))
 
 MIN_SUPPORT = 0.08
 MIN_CONFIDENCE = 0.9
@@ -80,28 +97,35 @@ def tokens_of(url: Column) -> Column:
 
 
 def shipped_labels(spark: SparkSession) -> DataFrame:
-    """(url, blocked) rows of the labelled URLs above."""
-    rows = [(u, True) for u in BLOCKED_URLS] + [(u, False) for u in ALLOWED_URLS]
-    return spark.createDataFrame(rows, "url string, blocked boolean").coalesce(1)
+    """(url, blocked, category) rows of the labelled URLs above."""
+    rows = [(FORMS[k % len(FORMS)].format(host, k * 37 % 1000), blocked, name) for k, (name, host, blocked) in enumerate(labelled_hosts())]
+    return spark.createDataFrame(rows, "url string, blocked boolean, category string").coalesce(1)
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, antecedent array<string>, confidence, support) whose consequent is the class ``block``.
 
-    ``labelled`` has url and blocked; rows with a null in either take no part.
+    ``labelled`` has url and blocked; rows with a null in either take no part. Where it has a category too, each
+    category is mined by itself, so that support is a share of that category's rows.
     """
     spark = labelled.sparkSession
+    category = F.col("category") if "category" in labelled.columns else F.lit("")
     baskets = labelled.filter("url IS NOT NULL AND blocked IS NOT NULL").select(
-        F.when(F.col("blocked"), F.array_append(tokens_of(F.col("url")), F.lit(BLOCK_ITEM))).otherwise(tokens_of(F.col("url"))).alias("items")
+        F.coalesce(category, F.lit("")).alias("category"),
+        F.when(F.col("blocked"), F.array_append(tokens_of(F.col("url")), F.lit(BLOCK_ITEM))).otherwise(tokens_of(F.col("url"))).alias("items"),
     )
     baskets = written(baskets)
     schema = "rule_id long, antecedent array<string>, confidence double, support double"
     if baskets.isEmpty():
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.array_contains("consequent", BLOCK_ITEM))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").filter(F.size("antecedent") > 0)
-    rules = written(rules.withColumn("rule_id", F.xxhash64("antecedent")))
+    mined = []
+    for row in baskets.select("category").distinct().orderBy("category").collect():
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets.filter(F.col("category") == row["category"]))
+        found = model.associationRules.filter(F.array_contains("consequent", BLOCK_ITEM))
+        mined.append(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").filter(F.size("antecedent") > 0))
+    # The same rule of two categories is one, of its best confidence.
+    rules = reduce(DataFrame.union, mined).groupBy("antecedent").agg(F.max(F.struct("confidence", "support")).alias("best"))
+    rules = written(rules.select("antecedent", "best.confidence", "best.support", F.xxhash64("antecedent").alias("rule_id")))
     # A rule that contains another rule of at least its confidence is redundant; each is looked up by its tokens.
     post = rules.select(F.explode("antecedent").alias("token"), F.col("antecedent").alias("small"), F.col("confidence").alias("c"), F.size("antecedent").alias("n"))
     pairs = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token")).join(post, "token")
@@ -121,7 +145,8 @@ def index_rules(rules: DataFrame) -> DataFrame:
 def match_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``urls`` with ``confidence``: that of the best rule found in the URL, null if none is."""
     index = written(index_rules(rules))
-    tokens = urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("_tokens", tokens_of(F.col(url_col)))
+    # Written once: row ids of two scans need not name the same rows.
+    tokens = written(urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("_tokens", tokens_of(F.col(url_col))))
     # The index is broadcast only if it is small; a hot token (a host that a third of all URLs share) then stays put.
     side = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
     hits = tokens.select("_row", "_tokens", F.explode("_tokens").alias("key")).join(side, "key")
