@@ -64,6 +64,27 @@ def test_extraction_cases():
     assert html_extract.extract("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
 
 
+def test_deep_pages_are_parsed_to_the_bottom():
+    long = "This is a long paragraph about many things, in which a reader can find what happened and when and why it did."
+    for tag in ("div", "span", "font"):
+        deep = f"<body><article><h1>Head</h1><p>{long}</p></article><div class='footer'>" + f"<{tag}>" * 300 + f"<script>var x = 1;</script><style>p{{}}</style><form><p>{long} form</p></form>"
+        assert html_extract.extract(deep) == f"Head\n{long}", tag
+        nodes, _ = html_extract.parse("<article>" + f"<{tag}>" * 300 + "<script>a < b</script><section>x</section><p>y<p>z")
+        assert [n.tag for n in nodes][-4:] == ["script", "section", "p", "p"] and nodes[-1].parent == nodes[-2].parent == nodes[-3].parent == 301
+    # End tags of deep elements close those, not their ancestors of the same name.
+    nodes, runs = html_extract.parse("<div>" * 300 + "x" + "</div>" * 299 + "after")
+    assert [k for k, text in runs if text == "after"] == [1]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    for page in ("<font>" * 40_000 + "<div>x</div>" * 40_000, "<div>" * 40_000 + "</b></p>" * 40_000, "<ul>" + "<span>" * 40_000 + "<li></span>x" * 40_000):
+        html_extract.parse(page)
+    assert time.monotonic() - start < 20
+
+
 def test_extraction_frame(spark):
     rows = [(1, "u", "<p>some text in a paragraph of a page</p>", 5), (1, "u", "<p>some text in a paragraph of a page</p>", 5), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, N_chars int")

@@ -11,8 +11,7 @@ block becomes one space, blocks are trimmed, empty ones fall away, and the rest
 
 Defined cases: null or empty html gives the empty text; html without any element is content; unclosed and stray
 tags are repaired as browsers do for paragraphs, list items and table parts; a truncated last tag is dropped;
-elements nested deeper than ``MAX_DEPTH`` are taken as part of the element at that depth; repeated pages are
-extracted one by one; further columns pass through.
+elements may nest to any depth; repeated pages are extracted one by one; further columns pass through.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_DEPTH = 256
-
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea select option object canvas audio video title head".split())
@@ -77,6 +74,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     runs: list[tuple[int, str | None]] = []
     at, size = 0, len(page)
     anchors = 0
+    # Places in the stack, by tag and of all that are not inline, so that no search walks a deep stack.
+    places: dict[str, list[int]] = {}
+    blocks = [0]
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def text(start: int, end: int) -> None:
         if end > start:
@@ -91,8 +94,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         nonlocal anchors
         while len(stack) > depth:
             tag = nodes[stack.pop()].tag
+            places[tag].pop()
             anchors -= tag == "a"
             if tag not in INLINE:
+                blocks.pop()
                 runs.append((stack[-1], None))
 
     while at < size:
@@ -106,45 +111,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            if tag == "p" and all(nodes[k].tag != "p" for k in stack):
+            if tag == "p" and not places.get("p"):
                 runs.append((stack[-1], None))
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and nodes[stack[k]].tag not in INLINE:
-                    break
+            k = last((tag,))
+            # An inline element ends only inside the block that it stands in.
+            if k and (tag not in INLINE or k > blocks[-1]):
+                close(k)
         elif m[2]:
             tag = m[2].lower()
             if tag == "br" or tag == "wbr":
                 if tag == "br":
                     runs.append((stack[-1], " "))
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == "p":
-                        close(k)
-                        break
-                    if nodes[stack[k]].tag not in INLINE:
-                        break
+            if tag in CLOSES_P and nodes[stack[blocks[-1]]].tag == "p":
+                close(blocks[-1])
             if tag in CLOSED_BY:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag in CLOSED_BY[tag]:
-                        close(k)
-                        break
-                    if nodes[stack[k]].tag in SCOPE.get(tag, ()):
-                        break
+                k = last(CLOSED_BY[tag])
+                if k > last(SCOPE.get(tag, ())):
+                    close(k)
             if tag not in INLINE:
                 runs.append((stack[-1], None))
             if tag in VOID:
                 continue
             if tag == "body" or tag == "html":
                 close(1 + (tag == "body" and len(stack) > 1 and nodes[stack[1]].tag == "html"))
-            if len(stack) >= MAX_DEPTH:
-                continue
             nodes.append(Node(stack[-1], tag, _stems(m[3]) if m[3] else (), len(stack)))
             if m[3].rstrip().endswith("/") and tag in ("svg", "path", "math"):
                 continue
+            places.setdefault(tag, []).append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
             stack.append(len(nodes) - 1)
             anchors += tag == "a"
             if tag in _RAW_END:
