@@ -284,3 +284,25 @@ def test_queries_against_sql(spark, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     assert rows(queries.queries()[name](spark, SMALL).toPandas()) == rows(con.execute(queries.oracle_sql()[name]).df())
+
+
+def test_keep_one_when_files_are_split_otherwise_on_a_second_scan(spark, tmp_path, monkeypatch):
+    rows = [(k, f"text {k % 50}", "en", "s", k) for k in range(200)]
+    spark.createDataFrame(rows, DOCS).repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    plain, names = exact_dedup.exact_dedup, ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    old = {n: spark.conf.get(n, None) for n in names}
+
+    def then_split_otherwise(*args, **kwargs):
+        found = plain(*args, **kwargs)
+        for n, v in zip(names, ("1", "1000000", "1"), strict=True):
+            spark.conf.set(n, v)
+        return found
+
+    monkeypatch.setattr(exact_dedup, "exact_dedup", then_split_otherwise)
+    try:
+        spark.conf.set(names[0], "100000000")
+        got = exact_dedup.keep_one(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert sorted(r["doc_id"] for r in got) == list(range(150, 200))

@@ -51,9 +51,13 @@ def _first_names(texts: DataFrame, occurrences: DataFrame, size: int) -> DataFra
     return cut.join(names, ["h", "block"]).select("uid", "i", "name")
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of ``docs``: uid, doc_id, text_sha256, level, name; equal (level, name) means equal texts."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS, uid_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: uid, doc_id, text_sha256, level, name; equal (level, name) means equal texts.
+
+    The uid is that of ``uid_col``, where the rows bring one; else rows are numbered as they are read.
+    """
+    uid = F.monotonically_increasing_id() if uid_col is None else F.col(uid_col)
+    keyed = docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     base = written(
         keyed.select(
             "uid", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(_blocks(F.col("norm"), size), lambda b: F.xxhash64(b)).alias("hashes")
@@ -88,9 +92,9 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.select("uid", "doc_id", "text_sha256").join(found, "uid")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS, uid_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = written(identities(docs, id_col, text_col, size))
+    rows = written(identities(docs, id_col, text_col, size, uid_col))
     groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     return rows.join(groups, ["level", "name"]).select(
         "uid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
@@ -100,8 +104,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose text equals that of a row that stays.
 
-    ``docs`` must give the same rows in the same partitions whenever it is read, as a written table does.
+    The rows are written once with their numbers: a second scan of ``docs`` may split files otherwise and number rows anew.
     """
     uid = free_name(docs, "uid")
-    gone = exact_dedup(docs, id_col, text_col, size).filter(~F.col("kept")).select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(gone, uid, "left_anti").select([f"`{c}`" for c in docs.columns])
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()))
+    gone = exact_dedup(rows, id_col, text_col, size, uid).filter(~F.col("kept")).select(F.col("uid").alias(uid))
+    return rows.join(gone, uid, "left_anti").select([f"`{c}`" for c in docs.columns])
