@@ -124,6 +124,31 @@ def test_near_dedup_of_nulls_and_repeats(spark):
     assert near_dedup.keep_one(df).count() == 4 and near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_joins_the_sets_of_a_repeated_id(spark):
+    """Document 1 has two texts; one is near document 2's, the other near document 3's, so all are one component."""
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, " ".join(f"c{k}" for k in range(60))), (1, None)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 1) == [0, 58, 58]
+
+
+def test_words_across_chunks_and_very_long_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["ab", "B", " ", "\t", "ü", "x" * 40, "\n"]) for _ in range(3000))
+    whole = near_dedup.shingles(text, 3)
+    words = text.lower().encode().split()
+    assert len(whole) == len({tuple(words[k : k + 3]) for k in range(len(words) - 2)})
+    for size in (1, 7, 64):
+        monkeypatch.setattr(near_dedup, "CHUNK", size)
+        assert np.array_equal(near_dedup.shingles(text, 3), whole)
+    monkeypatch.undo()
+    long = "".join(f"w{k} " for k in range(6_000_000))[:50_000_000]
+    df = spark.createDataFrame([(1, long), (2, long + "end"), (3, "x" * 3_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_estimate_is_near_the_similarity(spark):
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(101, 1101, dtype=np.uint64)
     sig = [near_dedup.packed(near_dedup.minima(near_dedup._mix(x))).tolist() for x in (a, b, a)]

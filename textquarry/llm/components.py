@@ -9,8 +9,8 @@ from .common import written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    """(u, least): the least of each node and its neighbours."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
+    """(u, least): the least of each node and its neighbours; written, so that the join with it meets plain shuffles, which can be split."""
+    return written(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least")))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         stars = every.join(_nearest(every), "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         stars = written(stars)
         # Small star: the smaller neighbours of a node, and the node itself, hang on the smallest of them.
-        least = stars.groupBy("u").agg(F.min("v").alias("least"))
+        least = written(stars.groupBy("u").agg(F.min("v").alias("least")))
         moved = stars.join(least, "u").filter("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         edges = written(moved.union(least.select("u", F.col("least").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

@@ -83,7 +83,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.max(F.ceil(F.col("n") / 2)).cast("int").alias("n"),
         )
         pairs = written(pairs)
-        names = _named(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")), "a", "b").select("a", "b", "name")
+        # Written, so that the join with a very common pair meets plain shuffles, which can be split.
+        names = written(_named(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")), "a", "b").select("a", "b", "name"))
         state = pairs.join(names, ["a", "b"]).select("uid", F.col("j").alias("i"), "name", "n")
         left, level = (left + 1) // 2, level + 1
     found = ended[0]
