@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea select option object canvas audio video title head".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -41,6 +43,10 @@ CLOSED_BY = {
     "tbody": ("tr", "td", "th", "tbody", "thead"), "option": ("option",),
 }
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "tbody": ("table",)}
+#: Parts of a larger block, often short in any text, and what a page holds as a whole: their length says nothing.
+PARTS = frozenset(
+    "html body article main table caption colgroup thead tbody tfoot tr td th dl dt dd h1 h2 h3 h4 h5 h6 hgroup summary details address pre blockquote figure figcaption center fieldset legend".split()
+)
 #: Text outside anything a reader sees.
 UNSEEN = frozenset("script style template noscript head title meta link svg math iframe object canvas audio video".split())
 # Word stems in class, id and role that pages use for parts of a page.
@@ -48,10 +54,13 @@ STEMS = (
     "ad", "ads", "advert", "sponsor", "promo", "banner", "nav", "menu", "breadcrumb", "footer", "header", "masthead", "sidebar", "side", "aside",
     "widget", "related", "recommend", "share", "social", "comment", "reply", "discussion", "cookie", "consent", "notice", "alert", "popup", "modal",
     "newsletter", "subscribe", "signup", "login", "search", "form", "pagination", "pager", "tag", "copyright", "legal", "disclaimer", "toolbar",
+    "disqus", "respond", "remark",
     "article", "content", "main", "post", "entry", "story", "body", "text", "title", "headline", "lead", "paragraph", "caption",
     "wrapper", "container", "page", "row", "col", "inner", "section", "complementary", "navigation", "contentinfo", "dialog", "byline", "author",
 )
 
+OF_BODY = frozenset("article content main post entry story body text page".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|/|\s|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
@@ -158,8 +167,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     return nodes, runs
 
 
-@lru_cache(maxsize=65536)
+#: Longer attributes are read each time, so that what is remembered stays small.
+REMEMBERED_CHARS = 200
+
+
 def _stems(attributes: str) -> tuple[str, ...]:
+    return _remembered_stems(attributes) if len(attributes) <= REMEMBERED_CHARS else _stems_in(attributes)
+
+
+def _stems_in(attributes: str) -> tuple[str, ...]:
     found: list[str] = []
     for name, *values in _ATTR.findall(attributes):
         name = name.lower()
@@ -178,17 +194,25 @@ def _stems(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(set(found)))
 
 
+_remembered_stems = lru_cache(maxsize=16384)(_stems_in)
+
+
 def evidence(node: Node) -> list[str]:
     """The features of one node, as names."""
-    stems = [f"stem={s}" for s in node.stems]
-    if not node.chars or node.tag in INLINE:
+    # Of a name such as post-comments, what it holds besides the body's words says what it is.
+    stems = [f"stem={s}" for s in node.stems if s not in OF_BODY] or [f"stem={s}" for s in node.stems]
+    if not node.chars or node.tag in INLINE or node.tag in PARTS:
         return stems
     ratio = node.linked / node.chars
     links = "none" if ratio == 0 else "few" if ratio < 0.3 else "half" if ratio < 0.7 else "most"
     length = "short" if node.chars <= 25 else "line" if node.chars <= 100 else "long"
-    # By tag: short items of a menu say nothing about short paragraphs.
-    kind = node.tag if node.tag in ("p", "li", "div", "section") else "other"
-    return [f"links={links}@{kind}", f"len={length}@{kind}", *stems]
+    # By tag: short items of a menu say nothing about short paragraphs. Other tags are judged by their edges.
+    kind = "list" if node.tag in ("ul", "ol", "menu") else node.tag
+    if kind not in ("p", "li", "div", "section", "list"):
+        return stems
+    # Paragraphs come in all lengths; a container's says little, but that a division is long.
+    measured = kind in ("li", "list") or (kind == "div" and length == "long")
+    return [f"links={links}@{kind}", *([f"len={length}@{kind}"] if measured else []), *stems]
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -216,6 +240,11 @@ _FEET = (
     '<aside y=0 class="sidebar"><h2>Related</h2><ul><li><a href="/r1">Another text that you may like to read</a></li><li><a href="/r2">And one more</a></li></ul></aside>',
     '<div y=0 class="related widget"><h3>More</h3><p><a href="/r">{c}</a></p><p>{b}</p></div><form y=0 class="newsletter"><label>Your mail</label><input name="m"><button>Go</button></form>',
     '<form y=0 action="/s"><p>{c}</p><p>{a}</p><textarea>text</textarea></form><div y=0 class="share social"><a href="/f">Share</a></div>',
+    '<div y=0 id="disqus_thread"><h3>Comments</h3><p>{c}</p><div><p>{b}</p></div></div>',
+    '<div y=0 id="respond" class="comment-respond"><h4>Leave a reply</h4><label>Name</label><p>{a}</p></div><label y=0>Your mail</label>',
+    '<section y=0 id="disqus-comments"><h2>Discussion</h2><article class="comment"><header>{c}</header><p>{b}</p><article class="comment reply"><p>{a}</p></article></article></section>',
+    '<footer y=0><table><tr><td><a href="/t">Terms</a></td><td><a href="/i">Imprint</a></td></tr></table><address>{c}</address><dl><dt>Mail</dt><dd>{a}</dd></dl></footer>',
+    '<div y=0 class="comments remarks"><h5>Remarks</h5><ul><li><p>{c}</p><ul><li><p>{b}</p></li></ul></li></ul></div>',
 )
 _EXTRAS = (
     '<div y=0 class="ad">{a}</div>',
@@ -260,23 +289,38 @@ _BODIES = (
     "<main y=1><p>No.</p>" + "<p>{c}</p><p>On.</p>" * 6 + "<p>{a}</p></main>",
     '<main y=1><article id="{k}"><h1>{h}</h1><ol><li>{a}</li><li>{c}</li></ol><h3>{c}</h3><dl><dt>{c}</dt><dd>{b}</dd></dl>{x}<p>{a}</p></article></main>',
     '<article y=1><header><h1>{h}</h1></header><p>{a}</p>{x}<p>{b}</p><p>{c}</p><footer y=0><a href="/tag">tags</a></footer></article>',
+    "<article y=1><h2>{h}</h2><table><thead><tr><th>Year</th><th>Sum</th></tr></thead><tbody>" + "<tr><td>1990</td><td>{c}</td></tr>" * 7 + "</tbody></table><p>{a}</p></article>",
+    "<article y=1><h1>{h}</h1><p>{b}</p><table>" + "<tr><th>Part</th><td>12</td><td>3.4</td></tr>" * 9 + "</table>{x}<p>{a}</p></article>",
+    "<main y=1><h1>{h}</h1><p>{a}</p><dl><dt>One</dt><dd>{c}</dd><dt>Two</dt><dd>2</dd></dl><address>{c}</address></main>",
+    "<article y=1><h1>{h}</h1><h4>{c}</h4><p>{a}</p><h5>Next</h5><p>{c}</p><h6>Last</h6><p>{b}</p></article>",
+    '<div y=1 class="{k}"><h1>{h}</h1><details><summary>More</summary><p>{a}</p></details><blockquote>{c}</blockquote><pre><code>x = 1\ny = 2</code></pre></div>',
+    "<article y=1><pre>{c}</pre></article>",
+    "<article y=1><pre><code>for x in y:\n  print(x)</code></pre></article>",
+    "<article y=1><h1>{h}</h1><p>{c}</p><figure><table><caption>{c}</caption><tr><td>1</td><td>2</td></tr></table><figcaption>Fig. 1</figcaption></figure><p>{b}</p></article>",
+    "<main y=1><section><h4>{c}</h4><ul><li>One</li><li>Two</li><li>Three</li></ul></section><section><h4>{h}</h4><ol><li>No</li><li>Yes</li></ol></section></main>",
+    "<article y=1><p>{c}</p></article>",
+    "<article y=1><p>{a}</p>" + "<div>Yes.</div><p>{c}</p><div>On <b>page</b> two.</div>" * 6 + "<div>{b}</div><div>So.</div></article>",
+    '<div y=1 class="{k}">' + "<div>{c}</div><div>No.</div><div><div>Or.</div>{a}</div>" * 6 + "<section><div>{c}</div><div>Two.</div></section></div>",
+    "<main y=1>" + "<div><div>{c}</div><p>{a}</p><div>Three.</div></div>" * 5 + "</main>",
+    '<article y=1><h1>{h}</h1><p>{c}</p><ul><li><a href="/m">{c}</a></li><li><a href="/n">{a}</a></li><li><a href="/o">{h}</a></li></ul><p>{b}</p></article>',
+    '<div y=1 class="{k}"><h3>{h}</h3><p>{a}</p><h4>{c}</h4><ul><li>{c}</li><li>Four</li></ul><center>{c}</center><p>{b}</p></div>',
 )
 
 
 _NAMES = ("content", "main", "article", "post-content", "article-body", "entry", "story", "page-content", "main-content", "post", "entry-content", "text")
 
 
-def labelled_pages() -> Iterator[str]:
+def labelled_pages(bodies: tuple[str, ...] = _BODIES, feet: tuple[str, ...] = _FEET) -> Iterator[str]:
     """Marked pages: heads, bodies, extras and feet in all turns, inside the wrappers that pages use."""
     shells = (
         "<html y=1><head y=0><title>{h}</title><style>p{{}}</style><script>var a=1;</script></head><body>{top}{ad}{body}{foot}</body></html>",
         '<html y=1><head y=0><title>{h}</title></head><body><div class="wrapper container">{top}<div class="row">{body}{ad}</div>{foot}</div></body></html>',
-        '<html y=1><body><div id="page"><div class="inner">{top}{ad}{body}</div></div>{foot}<script y=0>track();</script></body></html>',
+        '<html y=1><body><div id="page"><div class="inner"><div><div>{top}{ad}<div><div>{body}</div></div></div></div></div></div>{foot}<script y=0>track();</script></body></html>',
     )
     n = 0
-    for body in _BODIES:
+    for body in bodies:
         for k, top in enumerate(_HEADS):
-            for j, foot in enumerate(_FEET):
+            for j, foot in enumerate(feet):
                 texts = [_TEXTS[(n + i * (k + 1) + j) % len(_TEXTS)] for i in range(4)]
                 words = {"h": texts[3][:60], "a": texts[0], "b": texts[1], "c": texts[2]}
                 other = dict(zip("habc", (texts[1], texts[2], texts[3], texts[0]), strict=True))
@@ -287,37 +331,70 @@ def labelled_pages() -> Iterator[str]:
 
 
 _MARK = re.compile(r"\by=([01])")
+#: A tag that no labelled page has takes its parent's state, but for this share.
+INHERIT = 0.02
+
+
+def _edge(nodes: list[Node], k: int) -> tuple[str, str]:
+    """What the potential between a node and its parent goes by: both tags, and whether attributes name the node."""
+    return nodes[nodes[k].parent].tag, _named(nodes[k])
+
+
+def _named(node: Node) -> str:
+    return f"{node.tag}#" if node.stems else node.tag
 
 
 @lru_cache(maxsize=1)
-def trained() -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
-    """(log evidence ratios by feature, P(content | parent's state) by child tag, the root's prior), from labelled pages.
+def trained() -> tuple[dict[str, float], dict, float]:
+    """(log evidence ratios by feature, P(content | parent's state) by edge, the root's prior), from labelled pages.
 
-    A feature's ratio is of smoothed shares among content and boilerplate nodes. What the tag says is in the edges.
+    A feature's ratio is of its smoothed shares among content and boilerplate nodes of its kind, as what a tag says is in
+    the edges. An edge leans on its child's tag, which leans on inheritance, each as if four more nodes had been seen.
     """
+    return learnt(labelled_pages())
+
+
+def _kind(feature: str) -> str:
+    """The kind of nodes among which a feature's shares are taken; for paragraphs all, as their number speaks too."""
+    kind = feature.partition("@")[2]
+    return "" if kind == "p" else kind
+
+
+def learnt(pages: Iterator[str]) -> tuple[dict[str, float], dict, float]:
+    """The potentials that marked pages give; see ``trained``."""
     counts: dict[str, list[float]] = {}
-    edges: dict[str, list[list[float]]] = {}
-    totals = [0.0, 0.0]
-    for page in labelled_pages():
+    edges: dict = {}
+    totals: dict[str, list[float]] = {}
+    seen = 0
+    for page in pages:
         nodes, marks = _marked(page)
+        seen += 1
         labels = [1]
         for k in range(1, len(nodes)):
             up = labels[nodes[k].parent]
             mine = up if marks[k] is None else marks[k]
             labels.append(mine)
-            edges.setdefault(nodes[k].tag, [[0.0, 0.0], [0.0, 0.0]])[up][mine] += 1
-            edges.setdefault("*", [[0.0, 0.0], [0.0, 0.0]])[up][mine] += 1
-            totals[mine] += 1
-            for name in evidence(nodes[k]):
+            for name in (_edge(nodes, k), _named(nodes[k])):
+                edges.setdefault(name, [[0.0, 0.0], [0.0, 0.0]])[up][mine] += 1
+            names = evidence(nodes[k])
+            for kind in {"", *map(_kind, names)}:
+                totals.setdefault(kind, [0.0, 0.0])[mine] += 1
+            for name in names:
                 counts.setdefault(name, [0.0, 0.0])[mine] += 1
-    ratios = {f: math.log((c[1] + 2) / (totals[1] + 4)) - math.log((c[0] + 2) / (totals[0] + 4)) for f, c in counts.items()}
-    pooled = edges.pop("*")
-    share = [(pooled[s][1] + 0.5) / (sum(pooled[s]) + 1) for s in (0, 1)]
-    moves = {"*": (share[0], share[1])}
-    for tag, c in edges.items():
-        # Each tag's shares lean on the pooled ones, as if four more nodes of that kind had been seen.
-        moves[tag] = tuple(min(max((c[s][1] + 4 * share[s]) / (sum(c[s]) + 4), 2e-3), 1 - 2e-3) for s in (0, 1))
-    return ratios, moves, 0.9
+    ratios = {}
+    for f, c in counts.items():
+        t = totals[_kind(f)]
+        ratios[f] = math.log((c[1] + 2) / (t[1] + 4)) - math.log((c[0] + 2) / (t[0] + 4))
+    moves: dict = {"*": (INHERIT, 1 - INHERIT)}
+    for name, c in sorted(edges.items(), key=lambda e: isinstance(e[0], tuple)):
+        lean = moves[name[1] if isinstance(name, tuple) else "*"]
+        moves[name] = tuple(min(max((c[s][1] + 4 * lean[s]) / (sum(c[s]) + 4), 2e-3), 1 - 2e-3) for s in (0, 1))
+    return ratios, moves, (seen + 1) / (seen + 2)
+
+
+def potential(moves: dict, nodes: list[Node], k: int) -> tuple[float, float]:
+    """P(content) of node k by its parent's state."""
+    return moves.get(_edge(nodes, k)) or moves.get(_named(nodes[k])) or moves["*"]
 
 
 def _marked(page: str) -> tuple[list[Node], list[int | None]]:
@@ -347,7 +424,7 @@ def marginals(nodes: list[Node]) -> list[float]:
         b0, b1 = below[k]
         top = b0 + b1
         b0, b1 = b0 / top, b1 / top
-        p0, p1 = moves.get(nodes[k].tag, moves["*"])
+        p0, p1 = potential(moves, nodes, k)
         m0, m1 = b0 * (1 - p0) + b1 * p0, b0 * (1 - p1) + b1 * p1
         message[k] = (m0, m1)
         up = below[nodes[k].parent]
@@ -361,7 +438,7 @@ def marginals(nodes: list[Node]) -> list[float]:
     for k in range(1, n):
         up, (m0, m1) = belief[nodes[k].parent], message[k]
         c0, c1 = up[0] / m0, up[1] / m1  # what the parent knows without this child
-        p0, p1 = moves.get(nodes[k].tag, moves["*"])
+        p0, p1 = potential(moves, nodes, k)
         b0, b1 = below[k]
         b0, b1 = b0 * (c0 * (1 - p0) + c1 * (1 - p1)), b1 * (c0 * p0 + c1 * p1)
         belief[k] = (b0 / (b0 + b1), b1 / (b0 + b1))
@@ -407,5 +484,5 @@ def main_text(html: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """``pages``, all columns, with ``text_col``."""
-    return pages.withColumn(text_col, main_text(F.col(html_col)))
+    """``pages``, all columns, with ``text_col``; a name in use gets underscores in front."""
+    return pages.withColumn(free_name(pages, text_col), main_text(F.col(html_col)))
