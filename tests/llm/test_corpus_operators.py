@@ -224,10 +224,12 @@ def best_total(word, model):
 @pytest.mark.parametrize("merges", [False, True])
 def test_codec(spark, merges):
     model = sentencepiece_codec.make_model(TABLE, merges=merges)
-    rows = ["the cat sat", None, "", "  the  cat", "thecat\nzß日", "▁the", "s" * 200, "the cat sat"]
+    rows = ["the cat sat", None, "", "  the  cat", "thecat\nzß日", "▁the", "s" * 200, "the cat sat", "the \ncat\n sat", "cat " * 9, " ", "\n", "the,cat the,,cat 1.2"]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(rows)], "doc_id long, text string, Ids string")
     for most in (10_000, 2, 0):
-        out = sentencepiece_codec.encode(df.drop("Ids"), model, exact_col="exact", most=most).orderBy("doc_id").collect()
+        full = sentencepiece_codec.encode(df, model, exact_col="exact", most=most).orderBy("doc_id")
+        assert full.columns == ["doc_id", "text", "Ids", "_ids", "exact"]
+        out = full.drop("Ids").withColumnRenamed("_ids", "ids").collect()
         assert all(r["exact"] for r in out) and [len(r["ids"]) == 0 for r in out] == [not t for t in rows]
         for r in out:
             want = [i for w in __import__("re").findall(model.pattern, " " + r["text"]) for i in sentencepiece_codec.encode_word(w, model)] if r["text"] else []

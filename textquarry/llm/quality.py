@@ -15,15 +15,19 @@ labels, every score is that class's share; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 #: Bound of the training sample, in rows.
 SAMPLE_ROWS = 6_000
 #: Hashed byte n-grams and word-shape n-grams.
@@ -191,20 +195,26 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     known = known.filter(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows)
     # At most sample_rows rows of two numbers.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * sample_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Ids that repeat may bring more rows than asked for; those that stay are the first by the text's hash.
+    found = found.orderBy("doc_id", F.xxhash64("text"), "text").limit(2 * sample_rows)
     return found.select("doc_id", _indicators("text").alias("indicators"), "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """The fitted model; the driver sees indicators of the bounded sample, no texts."""
-    sample = training_sample(docs, labels, sample_rows).toPandas()
-    sample["key"] = [r.tobytes() for r in (np.asarray(x, np.int32) for x in sample["indicators"])]
-    sample = sample.sort_values(["doc_id", "key"], kind="stable")
-    return fit([np.asarray(x, np.int32) for x in sample["indicators"]], sample["quality"].tolist())
+    """The fitted model; the driver sees indicators of the bounded sample, as Arrow buffers, and no texts."""
+    sample = training_sample(docs, labels, sample_rows).toArrow()
+    ids, quality = (sample.column(c).to_numpy() for c in ("doc_id", "quality"))
+    lists = sample.column("indicators").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    order = sorted(range(len(rows)), key=lambda k: (ids[k], hashlib.md5(rows[k].tobytes()).digest()))
+    return fit([rows[k] for k in order], [int(quality[k]) for k in order])
 
 
 def with_scores(docs: DataFrame, labels: DataFrame, score_col: str = "score", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs``, all columns, with ``score_col`` in 0 to 1: how likely the label is 1."""
+    """``docs``, all columns, with ``score_col`` in 0 to 1: how likely the label is 1; a name in use gets underscores in front."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
 
     @F.pandas_udf(T.DoubleType())
@@ -213,4 +223,4 @@ def with_scores(docs: DataFrame, labels: DataFrame, score_col: str = "score", sa
         for texts in batches:
             yield pd.Series([score(t, model.value, flags) for t in texts], dtype="float64")
 
-    return docs.withColumn(score_col, scored(F.col("text")))
+    return docs.withColumn(free_name(docs, score_col), scored(F.col("text")))

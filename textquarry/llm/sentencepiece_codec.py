@@ -12,10 +12,15 @@ those longer than ``LATTICE_CHARS``, go through the same algorithm in the worker
 
 Ids are those of the SentencePiece library for the same file, for either kind of model.
 
+No word goes on after a character that a space follows, so texts are cut at their single spaces first, and each distinct
+stretch between two of them is cut into words, encoded, decoded and compared once while a worker remembers it. Texts
+with runs of spaces, or spaces at an end, are cut into words as a whole.
+
 Decoding joins the pieces' bytes, turns the marker into a space and drops the space in front: decoding what was
-encoded gives back every text exactly, U+2581 included, which encoding treats as a character without a piece.
+encoded gives back every text exactly, U+2581 included, which encoding treats as a character without a piece. As the
+bytes of a text are those of its stretches in turn, a text comes back whole if each of its stretches does.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; an id outside the table raises; repeated
+Defined cases: where a column of the asked name exists in any case, the new one gets underscores in front; null and empty texts have no ids and decode to the empty text; an id outside the table raises; repeated
 rows are encoded one by one; an empty table gives an empty result; further columns pass through.
 """
 
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, written
 
 #: Words that go through the relational lattice, and so the size of what is broadcast.
 DICTIONARY_WORDS = 1 << 18
@@ -42,8 +47,11 @@ DICTIONARY_WORDS = 1 << 18
 LATTICE_CHARS = 40
 #: Pieces in a table that may be broadcast.
 MOST_PIECES = 1 << 19
-#: Words that a worker remembers beyond the dictionary.
-REMEMBERED = 100_000
+#: Words beyond the dictionary, and stretches between spaces, that a worker remembers; and the longest of these.
+REMEMBERED = 200_000
+LONGEST_REMEMBERED = 100
+#: Characters of a text after which a worker hands on what it has counted.
+LONG_TEXT = 1 << 20
 #: Rows of an Arrow batch that a worker encodes before it passes them on.
 ROWS_AT_A_TIME = 500
 UNKNOWN_PENALTY = 10.0
@@ -213,23 +221,42 @@ def decode_ids(ids, model: Model) -> str:
     return text[len(model.prefix) :] if text.startswith(model.prefix) else text
 
 
+def spaced(text: str, model: Model) -> bool:
+    """Whether the text's words are those of its stretches between single spaces, each with one space in front."""
+    return model.prefix == " " and model.pattern != PATTERNS[-1] and text[0] != " " and text[-1] != " " and "  " not in text
+
+
 def word_counts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts, pre-aggregated batch by batch."""
-    pattern, prefix = model.pattern, model.prefix
+    """(word, n) of all words of up to ``LATTICE_CHARS`` in all texts, pre-aggregated in the worker."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(model.pattern).findall
+        stretches: Counter = Counter()
+        words: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            for stretch, n in stretches.items():
+                for word in cut(" " + stretch):
+                    words[word] += n
+            kept = [(w, n) for w, n in words.items() if len(w) <= LATTICE_CHARS]
+            stretches.clear()
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = re.compile(pattern).findall
-        seen: Counter = Counter()
         for batch in batches:
-            for text in batch[text_col]:
-                if text:
-                    seen.update(cut(prefix + text))
-            if len(seen) > 4 * REMEMBERED:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"]).astype({"word": object, "n": "int64"})
+            for text in batch.column(0):
+                text = text.as_py()
+                if not text:
+                    continue
+                if spaced(text, model):
+                    stretches.update(text.split(" "))
+                else:
+                    words.update(cut(model.prefix + text))
+                if len(stretches) + len(words) > 2 * REMEMBERED or len(text) > LONG_TEXT:
+                    yield counted()
+        yield counted()
 
-    return docs.select(F.col(text_col)).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -326,7 +353,7 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
 
 def dictionary(docs: DataFrame, model: Model, text_col: str = "text", most: int = DICTIONARY_WORDS) -> DataFrame:
     """(word, ids) of the frequent words of all texts."""
-    counts = written(word_counts(docs, model, text_col).filter(F.char_length("word") <= LATTICE_CHARS))
+    counts = written(word_counts(docs, model, text_col))
     return lattice(frequent(counts, most).select("word"), model)
 
 
@@ -338,6 +365,8 @@ class Codec:
     def __init__(self, model: Model, words: list[str], ids: list[bytes]):
         self.model, self.known = model, dict(zip(words, ids, strict=True))
         self.cut, self.extra = re.compile(model.pattern).findall, {}
+        self.memo: dict[str, bytes] = {}
+        self.strange: set[str] = set()
 
     @classmethod
     def of(cls, shared) -> "Codec":
@@ -357,11 +386,30 @@ class Codec:
                 self.extra[word] = found
         return found
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def stretch(self, stretch: str) -> bytes:
+        """The ids of a stretch between spaces, with a space in front; a stretch that decodes to anything else is noted."""
+        words = self.cut(" " + stretch)
+        found = b"".join([self.known.get(w) or self.word(w) for w in words])
+        if b"".join([self.model.pieces[i] for i in np.frombuffer(found, "<i4").tolist()]) != (" " + stretch).encode("utf-8", "replace"):
+            self.strange.add(stretch)
+        elif len(stretch) <= LONGEST_REMEMBERED:
+            self.memo[stretch] = found
+        return found
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """A text's ids, and whether decoding them gives it back."""
         if not text:
-            return np.zeros(0, "<i4")
+            return np.zeros(0, "<i4"), True
+        if len(self.memo) >= REMEMBERED:
+            self.memo.clear()
+        self.strange.clear()
+        if spaced(text, self.model):
+            known, other = self.memo.get, self.stretch
+            ids = np.frombuffer(b"".join([known(x) or other(x) for x in text.split(" ")]), "<i4")
+            return ids, not self.strange or decode_ids(ids.tolist(), self.model) == text
         known, other = self.known.get, self.word
-        return np.frombuffer(b"".join([known(w) or other(w) for w in self.cut(self.model.prefix + text)]), "<i4")
+        ids = np.frombuffer(b"".join([known(w) or other(w) for w in self.cut(self.model.prefix + text)]), "<i4")
+        return ids, decode_ids(ids.tolist(), self.model) == text
 
 
 def _shared(docs: DataFrame, model: Model, text_col: str, most: int):
@@ -396,22 +444,25 @@ def encode(
 ) -> DataFrame:
     """``docs``, all columns, with ``ids_col`` array<int>, and with ``exact_col``: whether decoding gives back the text.
 
+    Names that ``docs`` has already, in any case, get underscores in front.
+
     The texts are read twice, for the dictionary and here, and stay in their partitions.
     """
     shared = _Handle(_shared(docs, model, text_col, most))
     at = docs.columns.index(text_col)
+    ids_col, exact_col = free_name(docs, ids_col), exact_col and free_name(docs, exact_col)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(shared)
         for whole in batches:
             for first in range(0, whole.num_rows, ROWS_AT_A_TIME):
                 batch = whole.slice(first, ROWS_AT_A_TIME)
-                texts = batch.column(at).to_pylist()
-                ids = [codec.encode(t) for t in texts]
+                found = [codec.encode(t) for t in batch.column(at).to_pylist()]
+                ids = [i for i, _ in found]
                 ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
                 if exact_col:
-                    columns.append(pa.array([decode_ids(i.tolist(), codec.model) == (t or "") for i, t in zip(ids, texts, strict=True)]))
+                    columns.append(pa.array([same for _, same in found]))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
@@ -422,7 +473,7 @@ def encode(
 
 
 def decode(rows: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows``, all columns, with ``text_col``: the text of ``ids_col``, null where that is null."""
+    """``rows``, all columns, with ``text_col``: the text of ``ids_col``, null where that is null; a name in use gets underscores in front."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StringType())
@@ -430,4 +481,4 @@ def decode(rows: DataFrame, model: Model, ids_col: str = "ids", text_col: str =
         for ids in batches:
             yield pd.Series([None if i is None else decode_ids(i.tolist(), shared.value) for i in ids], dtype="object")
 
-    return rows.withColumn(text_col, decoded(F.col(ids_col)))
+    return rows.withColumn(free_name(rows, text_col), decoded(F.col(ids_col)))
