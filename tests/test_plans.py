@@ -24,11 +24,11 @@ def test_unified_retrieval(spark, parsed, blocks):
     vectors = retrieval.encoded_blocks(blocks)
     scored = retrieval.prototype_similarity(vectors, retrieval.queries_frame(spark, retrieval.UNIFIED_QUERIES))
     chosen = retrieval.unified(scored)
-    stats = retrieval.unified_stats(scored, chosen).collect()
+    stats = retrieval.unified_stats(scored).collect()
     assert {(s["num_blocks"], s["num_candidates"]) for s in stats} == {(6, 6)}
-    docs = retrieval.unified_documents(articles.documents(parsed), chosen, retrieval.unified_stats(scored, chosen))
+    docs = retrieval.unified_documents(articles.documents(parsed), chosen, retrieval.unified_stats(scored))
     assert [r["block_id"] for r in retrieval.inspect(docs, "1", 2).collect()] == ["PMC1::block_0", "PMC1::block_1"]
-    assert retrieval.run_stats(retrieval.unified_stats(scored, chosen)).first()["documents"] == 2
+    assert retrieval.run_stats(retrieval.unified_stats(scored)).first()["documents"] == 2
 
 
 def test_field_contexts(spark, parsed, blocks):

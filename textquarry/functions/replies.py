@@ -75,6 +75,24 @@ def count_of(text: Column) -> Column:
     return F.coalesce(text.cast("string").try_cast("double"), F.lit(0.0))
 
 
+def response_field(body: Column, path: str) -> Column:
+    """A field of a response in JSON, null where the response or the field is missing."""
+    return F.get_json_object(body, f"$.{path}")
+
+
+def json_text(value: Column) -> Column:
+    """A struct, map or array as JSON, null as the empty text."""
+    return F.coalesce(F.to_json(value), F.lit(""))
+
+
+def usage(body: Column) -> Column:
+    """Input, output and reasoning tokens of a response in JSON, 0 where missing; reasoning from the details, else from the usage itself."""
+    n = lambda path: F.coalesce(response_field(body, f"usage.{path}").try_cast("int"), F.lit(0))
+    detailed = n("completion_tokens_details.reasoning_tokens")
+    reasoning = F.when(detailed == 0, n("reasoning_tokens")).otherwise(detailed)
+    return F.struct(n("prompt_tokens").alias("input_tokens"), n("completion_tokens").alias("output_tokens"), reasoning.alias("reasoning_tokens"))
+
+
 def price(tokens_in: Column, tokens_out: Column, prices: tuple[float, float] = EXTRACTION_PRICE) -> Column:
     """Dollars for the tokens; nulls count 0."""
     zero = F.lit(0)

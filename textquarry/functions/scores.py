@@ -63,15 +63,20 @@ def numbers_in(text: str | None) -> set[float]:
     return found
 
 
+#: Without one of these words no run of words says a number.
+SPOKEN = r"(?i)\b(?:" + "|".join([*UNITS, *TENS, "hundred", *SCALES]) + r")\b"
+
+
 def numbers(text: Column) -> Column:
-    """All numbers of a text as a sorted array, by Arrow batches; word numbers have no grammar in SQL."""
+    """All numbers of a text as a sorted array. Texts with a number word go through Arrow batches, as their grammar has no form in SQL."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([sorted(numbers_in(t)) for t in texts], dtype="object")
 
-    return extract(text)
+    spoken = F.coalesce(text, F.lit("")).rlike(SPOKEN)
+    return F.when(spoken, extract(F.when(spoken, text))).otherwise(F.array_sort(digits(text)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -81,7 +86,8 @@ def set_similarity(a: Column, b: Column) -> Column:
 
 
 def number_similarity(a: Column, b: Column) -> Column:
-    return set_similarity(digits(a), digits(b))
+    """Of the numbers in digits and in words."""
+    return set_similarity(numbers(a), numbers(b))
 
 
 def dot(a: Column, b: Column) -> Column:

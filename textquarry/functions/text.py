@@ -109,6 +109,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
 
 
+def wordy_paragraphs(title: Column, paragraphs: Column, least: int = 15) -> Column:
+    """The paragraphs of a section; of one without a title, only those of at least ``least`` words."""
+    untitled = strip(title) == ""
+    return F.filter(paragraphs, lambda p: ~untitled | (word_count(p) >= least))
+
+
+def long_entities(entities: Column, least: int = 3) -> Column:
+    """The entities of at least ``least`` characters."""
+    return F.filter(entities, lambda e: F.char_length(e) >= least)
+
+
 # Layouts.
 
 

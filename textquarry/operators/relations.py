@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def with_sibling_sections(sections: DataFrame) -> DataFrame:
     return linked.withColumns({c: F.when(only, F.col(c)) for c in ("prev_sibling_id", "next_sibling_id")})
 
 
+def child_ids(df: DataFrame, parent: str, order: str, child: str, scope: list[str]) -> DataFrame:
+    """The ids below each parent within ``scope``, in order, as the array ``children``; rows without a parent are nobody's."""
+    rows = df.filter(F.col(parent).isNotNull()).groupBy(*scope, parent)
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(child).alias("c")))), lambda x: x["c"]).alias("children"))
+
+
 def tag_spans(df: DataFrame, scope: list[str], order: str, tag: str, token: str, start: str = "B", inside: str = "I", alone: str = "DISEASE") -> DataFrame:
     """Spans of a tagged token stream: ``start`` opens one, ``inside`` extends an open one, ``alone`` is one by itself.
 
@@ -91,6 +99,32 @@ def leaking_groups(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written once to the folder of ``spark.checkpoint.dir``; where that is unset, as in tests, to a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textquarry-"))
+    return df.checkpoint()
+
+
+def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 in the whole order, without a task that sees all rows.
+
+    Rows are dealt to ranges of the order; each row's place is its rank in its range and the number of rows before it.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Written once, as a second run could draw the ranges otherwise.
+    ranged = checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    # The upper bits of the number are the range, the lower ones the rank within it; ties in the order are one range's.
+    ranged = ranged.withColumns({"_range": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))  # a row a range
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_rank") + F.col("_shift") + 1).cast("int")).drop("_id", "_range", "_rank", "_shift")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the smallest by seeded hash of the key."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)

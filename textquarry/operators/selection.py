@@ -47,15 +47,19 @@ def worst_k(df: DataFrame, score: str, position: str, k: int) -> DataFrame:
 
 
 def prefix_to_budget(
-    df: DataFrame, group: list[str], score: str, position: str, chars: str, fraction: float = CHAR_FRACTION, min_blocks: int = MIN_BLOCKS
+    df: DataFrame, group: list[str], score: str, position: str, chars: str, fraction: float = CHAR_FRACTION, min_blocks: int = MIN_BLOCKS, kept: str | None = None
 ) -> DataFrame:
-    """Best blocks first until they hold ``fraction`` of the group's characters and are ``min_blocks``, the crossing one included."""
+    """Best blocks first until they hold ``fraction`` of the group's characters and are ``min_blocks``, the crossing one included.
+
+    With ``kept`` all rows stay, and that column says which are selected.
+    """
     all_rows = Window.partitionBy(*group)
     so_far = all_rows.orderBy(F.col(score).desc_nulls_last(), F.col(position)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     target = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.sum(chars).over(all_rows)))
     spent = F.sum(chars).over(so_far) - F.col(chars)
     out = df.withColumns({"target_chars": target.cast("long"), "_spent": spent, "rank": F.count(F.lit(1)).over(so_far).cast("int")})
-    return out.filter((F.col("_spent") < F.col("target_chars")) | (F.col("rank") <= min_blocks)).drop("_spent")
+    chosen = (F.col("_spent") < F.col("target_chars")) | (F.col("rank") <= min_blocks)
+    return (out.withColumn(kept, chosen) if kept else out.filter(chosen)).drop("_spent")
 
 
 def prefix_to_overflow(df: DataFrame, group: list[str], score: str, position: str, chars: str, budget: int = SECTION_BUDGET) -> DataFrame:

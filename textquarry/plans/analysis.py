@@ -17,9 +17,16 @@ BUDGET, FULL_SHARE = 20_000, 0.5
 
 def word_cosine(a: Column, b: Column) -> Column:
     """Similarity without a model: cosine of word counts over the words of both texts."""
-    vocabulary = F.array_union(words(a), words(b))
-    counts = lambda text: F.transform(vocabulary, lambda w: F.size(F.filter(words(text), lambda x: x == w)).cast("double"))
-    return cosine(counts(a), counts(b))
+    # The lists are made once a row and bound by transform; words are counted in them by their sorted runs.
+    both = F.array(F.struct(F.array_sort(words(a)).alias("a"), F.array_sort(words(b)).alias("b")))
+
+    def counted(pair: Column) -> Column:
+        vocabulary = F.array_union(pair["a"], pair["b"])
+        n = lambda side, w: F.size(F.filter(side, lambda x: x == w)).cast("double")
+        rows = F.transform(vocabulary, lambda w: F.struct(n(pair["a"], w).alias("x"), n(pair["b"], w).alias("y")))
+        return cosine(F.transform(rows, lambda r: r["x"]), F.transform(rows, lambda r: r["y"]))
+
+    return F.transform(both, counted)[0]
 
 
 def paired(predictions: DataFrame, gold: DataFrame, key: str = "pmcids") -> DataFrame:
@@ -57,10 +64,11 @@ def comparable(system: DataFrame, key: str = "pmcids") -> DataFrame:
 
 
 def compared(old: DataFrame, new: DataFrame, key: str = "pmcids", fields: tuple[str, ...] = (*WEIGHTS, "overall")) -> DataFrame:
-    """Score differences of two scored systems on the keys of both."""
+    """Score differences of two scored systems on the keys of both, the greatest gain in the last field first."""
     left = old.select(key, *[F.col(f"score_{f}").alias(f"old_{f}") for f in fields])
     right = new.select(key, *[F.col(f"score_{f}").alias(f"new_{f}") for f in fields])
-    return left.join(right, key).select(key, *[(F.col(f"new_{f}") - F.col(f"old_{f}")).alias(f"delta_{f}") for f in fields])
+    deltas = left.join(right, key).select(key, *[(F.col(f"new_{f}") - F.col(f"old_{f}")).alias(f"delta_{f}") for f in fields])
+    return deltas.orderBy(F.desc(f"delta_{fields[-1]}"), key)
 
 
 def verdicts(deltas: DataFrame, column: str = "delta_overall") -> DataFrame:
@@ -95,6 +103,13 @@ def section_scores(sections: DataFrame, query: str, threshold: float | None = No
     return out.orderBy(F.desc("score"), "doc_id", "section_index")
 
 
+def article_chars(title: Column, abstract: Column, sections: Column) -> Column:
+    """Characters of an article: its title, its abstract and its sections' texts; what is null counts 0."""
+    n = lambda x: F.coalesce(F.char_length(x), F.lit(0)).cast("long")
+    body = F.aggregate(F.coalesce(sections, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, x: s + n(x))
+    return n(title) + n(abstract) + body
+
+
 def context_lengths(old: DataFrame, new: DataFrame, key: str = "doc_id", context: str = "context") -> DataFrame:
     """Characters of two systems' contexts side by side."""
     size = lambda df, name: df.select(key, F.char_length(context).alias(name))

@@ -155,7 +155,7 @@ stats AS (SELECT doc_id, any_value(num_blocks)::BIGINT AS num_blocks, any_value(
 )
 def unified_prefix(spark, sf_dir):
     blocks = scored_blocks(spark, sf_dir)
-    stats = retrieval.unified_stats(blocks, retrieval.unified(blocks))
+    stats = retrieval.unified_stats(blocks)
     columns = ("doc_id", "num_blocks", "num_candidates", "total_chars", "target_chars", "selected_chars", "selected_char_fraction", "top_score", "lowest_selected_score")
     return stats.select(*columns)
 
@@ -172,7 +172,7 @@ def unified_blocks(spark, sf_dir):
 )
 def unified_run_stats(spark, sf_dir):
     blocks = scored_blocks(spark, sf_dir)
-    s = retrieval.run_stats(retrieval.unified_stats(blocks, retrieval.unified(blocks)))
+    s = retrieval.run_stats(retrieval.unified_stats(blocks))
     return s.select(
         "documents", F.round("mean_num_blocks", 6).alias("mean_num_blocks"), "median_num_blocks", "most_num_candidates",
         F.round("mean_selected_char_fraction", 6).alias("mean_fraction"), F.round("median_selected_char_fraction", 6).alias("median_fraction"), "below_target",
@@ -399,17 +399,27 @@ def cost_summary(spark, sf_dir):
     )
 
 
-NUMBERS = r"list_distinct(list_transform(regexp_extract_all({}, '\b\d+(?:\.\d+)?\b'), lambda x: x::DOUBLE))"
+UNITS_SQL = "[" + ", ".join(f"'{w}'" for w in sc.UNITS) + "]"
+TENS_SQL = "[" + ", ".join(f"'{w}'" for w in sc.TENS) + "]"
+#: Distinct numbers of a text, in digits and in runs of up to five words below a hundred.
+NUMBERS = (
+    r"list_distinct(list_concat(list_transform(regexp_extract_all({0}, '\b\d+(?:\.\d+)?\b'), lambda x: x::DOUBLE), "
+    r"list_filter(list_transform(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(string_split_regex(lower(trim({0})), '\s+')) - k + 2), "
+    r"lambda i: list_transform(string_split_regex(lower(trim({0})), '\s+')[i:i + k - 1], lambda w: CASE WHEN list_contains(UNITS, trim(w, '.,;:()')) THEN list_position(UNITS, trim(w, '.,;:()')) - 1 "
+    r"WHEN list_contains(TENS, trim(w, '.,;:()')) THEN 10 * (list_position(TENS, trim(w, '.,;:()')) + 1) ELSE -1000000 END)))), lambda l: list_sum(l)::DOUBLE), lambda x: x >= 0)))"
+).replace("UNITS", UNITS_SQL).replace("TENS", TENS_SQL)
 SET_SIMILARITY = "CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE END"
 
 
 @query(
-    f"""WITH t AS (SELECT p_partkey, {NUMBERS.format("p_name || ' ' || p_size || ' to ' || (p_size + p_partkey % 3)")} AS a, {NUMBERS.format("p_size::VARCHAR || ' years'")} AS b FROM part)
+    f"""WITH t AS (SELECT p_partkey, {NUMBERS.format("p_name || ' ' || CASE WHEN p_partkey % 4 = 0 THEN '18 Years' ELSE p_size || ' to ' || (p_size + p_partkey % 3) || ' or 25' END")} AS a, {NUMBERS.format("CASE WHEN p_partkey % 4 = 0 THEN 'eighteen years old' WHEN p_partkey % 4 = 1 THEN 'Twenty five to sixty, or ' || p_size ELSE p_size || ' years' END")} AS b FROM part)
     SELECT p_partkey, {SET_SIMILARITY} AS similarity FROM t"""
 )
 def number_similarity(spark, sf_dir):
-    text = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" to "), (F.col("p_size") + F.col("p_partkey") % 3).cast("string"))
-    gold = F.concat(F.col("p_size").cast("string"), F.lit(" years"))
+    size, turn = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    span = F.concat(size, F.lit(" to "), (F.col("p_size") + F.col("p_partkey") % 3).cast("string"), F.lit(" or 25"))
+    text = F.concat("p_name", F.lit(" "), F.when(turn == 0, "18 Years").otherwise(span))
+    gold = F.when(turn == 0, "eighteen years old").when(turn == 1, F.concat(F.lit("Twenty five to sixty, or "), size)).otherwise(F.concat(size, F.lit(" years")))
     return read(spark, sf_dir, "part").select("p_partkey", sc.number_similarity(text, gold).alias("similarity"))
 
 
@@ -436,7 +446,7 @@ def word_overlap(spark, sf_dir):
 
 SYSTEMS = """
 gold AS (SELECT doc_id AS pmcids, CASE WHEN quality = 1 THEN '18 Years' ELSE 'Not Specified' END AS minimum_age, CASE WHEN toxic = 1 THEN '65 Years' ELSE 'Not Specified' END AS maximum_age FROM labels),
-systems AS (SELECT doc_id AS pmcids, s, CASE WHEN (doc_id + s) % 3 = 0 THEN 'Not Specified' ELSE '18 Years' END AS minimum_age, CASE WHEN (doc_id * (s + 2)) % 5 < 2 THEN '60 to 65 years' ELSE 'Not Specified' END AS maximum_age
+systems AS (SELECT doc_id AS pmcids, s, CASE (doc_id + s) % 3 WHEN 0 THEN 'Not Specified' WHEN 1 THEN '18 Years' ELSE 'eighteen years old' END AS minimum_age, CASE WHEN (doc_id * (s + 2)) % 5 < 2 THEN '60 to 65 years' ELSE 'Not Specified' END AS maximum_age
   FROM labels, (VALUES (0), (1)) v(s)),
 sets AS (SELECT s, pmcids, """ + NUMBERS.format("p.minimum_age") + " AS a1, " + NUMBERS.format("g.minimum_age") + " AS b1, " + NUMBERS.format("p.maximum_age") + " AS a2, " + NUMBERS.format("g.maximum_age") + """ AS b2
   FROM systems p JOIN gold g USING (pmcids)),
@@ -446,7 +456,7 @@ scored_systems AS (SELECT s, pmcids, s1, s2, 0.05 * 1.0 + 0.10 * s1 + 0.10 * s2
 
 def system(spark: SparkSession, sf_dir: str, s: int) -> DataFrame:
     i = F.col("doc_id")
-    low = F.when((i + s) % 3 == 0, "Not Specified").otherwise("18 Years")
+    low = F.when((i + s) % 3 == 0, "Not Specified").when((i + s) % 3 == 1, "18 Years").otherwise("eighteen years old")
     high = F.when((i * (s + 2)) % 5 < 2, "60 to 65 years").otherwise("Not Specified")
     none = F.lit("Not Specified")
     return read(spark, sf_dir, "labels").select(
@@ -573,8 +583,7 @@ def criteria_format(spark, sf_dir):
 )
 def article_order(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select("page_id", article_id(F.col("url")).alias("article"))
-    place = F.row_number().over(Window.orderBy(*id_order(F.col("article")), "page_id"))
-    return rows.withColumn("place", place)
+    return rel.placed(rows, [*id_order(F.col("article")), F.col("page_id").asc_nulls_first()], "place")
 
 
 @query(
@@ -670,12 +679,22 @@ def paragraph_merge(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("paragraphs"), F.array_max(F.transform(parts, lambda p: F.char_length(p))).alias("longest"))
 
 
-@query()
+@query(f"SELECT item_id, len({NUMBERS.format("'twenty one of ' || text")})::INT AS n, round(list_sum({NUMBERS.format("'twenty one of ' || text")}), 6) AS total FROM benchmark")
 def word_numbers(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", sc.numbers(F.concat(F.lit("twenty one of "), "text")).alias("numbers"))
+    found = read(spark, sf_dir, "benchmark").select("item_id", sc.numbers(F.concat(F.lit("twenty one of "), "text")).alias("numbers"))
+    return found.select("item_id", F.size("numbers").alias("n"), F.round(F.aggregate("numbers", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
+EMPTY_VERBS_SQL = "[" + ", ".join(f"'{v}'" for v in sc.EMPTY_VERBS) + "]"
+CONTENT = f"list_filter(list_distinct({{}}), lambda v: NOT list_contains({EMPTY_VERBS_SQL}, v))"
+GATED = "lower(trim(text)) IN ('', 'not specified', 'nan') OR lower(trim(before)) IN ('', 'not specified', 'nan')"
+
+
+@query(
+    f"""WITH {OVERLAP}, c AS (SELECT conv_id, turn, {GATED} AS gated, {CONTENT.format(WORDS.format("before"))} AS a, {CONTENT.format(WORDS.format("text"))} AS b FROM turns WHERE before IS NOT NULL),
+    s AS (SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN pow(len(list_intersect(a, b)) / len(a)::DOUBLE, 0.6) ELSE 0.0 END AS x, pow(overlap, 0.24) AS y FROM c JOIN overlap USING (conv_id, turn))
+    SELECT conv_id, turn, round(CASE WHEN gated THEN 0.0 ELSE greatest(0.0, least(1.0, (x + y) / (1 + x))) END, 9) AS score FROM s"""
+)
 def text_scores(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
@@ -697,6 +716,9 @@ def routed_submission(spark, sf_dir):
     return routing.submit(results)
 
 
+from . import column_queries as _more  # noqa: E402, F401  further queries, which use those above
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -34,13 +34,19 @@ def unified(blocks: DataFrame, score: str = "similarity", fraction: float = CHAR
     return prefix_to_budget(blocks, ["doc_id"], score, "block_index", "char_count", fraction, min_blocks)
 
 
-def unified_stats(blocks: DataFrame, chosen: DataFrame, score: str = "similarity", fraction: float = CHAR_FRACTION) -> DataFrame:
-    """One row a document: blocks, candidates, characters, target, fraction, top and lowest score."""
-    every = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("num_blocks"), F.sum("char_count").alias("total_chars"))
-    some = chosen.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("num_candidates"), F.sum("char_count").alias("selected_chars"), F.max(score).alias("top_score"), F.min(score).alias("lowest_selected_score")
-    )
-    out = every.join(some, "doc_id", "left").fillna(0, ["num_candidates", "selected_chars", "top_score", "lowest_selected_score"])
+def unified_stats(blocks: DataFrame, score: str = "similarity", fraction: float = CHAR_FRACTION, min_blocks: int = MIN_BLOCKS) -> DataFrame:
+    """One row a document: blocks, candidates, characters, target, fraction, top and lowest score.
+
+    One exchange by document serves the ranking, the running budget and the totals.
+    """
+    narrow = blocks.select("doc_id", "block_index", "char_count", score)
+    rows = prefix_to_budget(narrow, ["doc_id"], score, "block_index", "char_count", fraction, min_blocks, kept="_kept")
+    taken = lambda c: F.when(F.col("_kept"), F.col(c))
+    out = rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("num_blocks"), F.sum("char_count").alias("total_chars"), F.count_if("_kept").alias("num_candidates"),
+        F.sum(taken("char_count")).alias("selected_chars"), F.max(taken(score)).alias("top_score"), F.min(taken(score)).alias("lowest_selected_score"),
+    )
+    out = out.fillna(0, ["num_candidates", "selected_chars", "top_score", "lowest_selected_score"])
     share = F.when(F.col("total_chars") > 0, F.col("selected_chars") / F.col("total_chars")).otherwise(0.0)
     return out.withColumns({"target_chars": F.ceil(F.lit(fraction) * F.col("total_chars")).cast("long"), "selected_char_fraction": share})
 

@@ -40,6 +40,20 @@ def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "field", F.when(F.col("field") == "condition_study_type", headed).otherwise(F.coalesce("body", F.lit(""))).alias("context"))
 
 
+#: What each field's prompt asks for, above the evidence.
+ASKED = {
+    "condition_study_type": "Name the conditions studied and say whether the study is INTERVENTIONAL or OBSERVATIONAL.",
+    "demographics": "Give the sex of the participants (MALE, FEMALE or ALL) and their minimum and maximum age.",
+    "eligibility": "List the inclusion criteria and the exclusion criteria of the participants.",
+}
+
+
+def prompts(contexts_: DataFrame) -> DataFrame:
+    """(doc_id, field, context) with ``prompt``: what is asked, then the evidence."""
+    asked = by_field(ASKED, F.col("field"))
+    return contexts_.withColumn("prompt", F.concat(asked, F.lit("\n\nEvidence follows:\n\n"), F.coalesce("context", F.lit(""))))
+
+
 def predictions(contexts_: DataFrame, extractor: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id with cond, demo, elig), and the failed calls as dead letters. A reply outside its enumeration counts as failed."""
     calls = extract(contexts_, "field", "context", extractor or SilentExtractor())
