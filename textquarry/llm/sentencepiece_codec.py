@@ -48,7 +48,7 @@ LATTICE_CHARS = 40
 #: Pieces in a table that may be broadcast.
 MOST_PIECES = 1 << 19
 #: Words beyond the dictionary, and stretches between spaces, that a worker remembers; and the longest of these.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 100
 #: Characters of a text after which a worker hands on what it has counted.
 LONG_TEXT = 1 << 20
@@ -252,7 +252,7 @@ def word_counts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                     stretches.update(text.split(" "))
                 else:
                     words.update(cut(model.prefix + text))
-                if len(stretches) + len(words) > 2 * REMEMBERED or len(text) > LONG_TEXT:
+                if len(stretches) + len(words) > REMEMBERED or len(text) > LONG_TEXT:
                     yield counted()
         yield counted()
 
@@ -366,6 +366,7 @@ class Codec:
         self.model, self.known = model, dict(zip(words, ids, strict=True))
         self.cut, self.extra = re.compile(model.pattern).findall, {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.strange: set[str] = set()
 
     @classmethod
@@ -388,11 +389,14 @@ class Codec:
 
     def stretch(self, stretch: str) -> bytes:
         """The ids of a stretch between spaces, with a space in front; a stretch that decodes to anything else is noted."""
-        words = self.cut(" " + stretch)
-        found = b"".join([self.known.get(w) or self.word(w) for w in words])
-        if b"".join([self.model.pieces[i] for i in np.frombuffer(found, "<i4").tolist()]) != (" " + stretch).encode("utf-8", "replace"):
-            self.strange.add(stretch)
-        elif len(stretch) <= LONGEST_REMEMBERED:
+        found = self.older.get(stretch)
+        if found is None:
+            words = self.cut(" " + stretch)
+            found = b"".join([self.known.get(w) or self.word(w) for w in words])
+            if b"".join([self.model.pieces[i] for i in np.frombuffer(found, "<i4").tolist()]) != (" " + stretch).encode("utf-8", "replace"):
+                self.strange.add(stretch)
+                return found
+        if len(stretch) <= LONGEST_REMEMBERED:
             self.memo[stretch] = found
         return found
 
@@ -400,8 +404,9 @@ class Codec:
         """A text's ids, and whether decoding them gives it back."""
         if not text:
             return np.zeros(0, "<i4"), True
-        if len(self.memo) >= REMEMBERED:
-            self.memo.clear()
+        if len(self.memo) >= REMEMBERED // 2:
+            # What comes again moves back from the older half; the rest is forgotten with it.
+            self.older, self.memo = self.memo, {}
         self.strange.clear()
         if spaced(text, self.model):
             known, other = self.memo.get, self.stretch
