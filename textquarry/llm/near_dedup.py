@@ -15,7 +15,7 @@ low two bits of each minimum are packed into a signature. Then:
 
 A pair in one component need not be compared, as it cannot change any component; every other pair of one bucket is.
 A link at the threshold shares no band with probability under 1e-5 (0.8) or 1e-8 (0.85); its estimate falls below the
-margin only if it is off by six of its standard deviations, about 1e-8 at 0.8 and less beyond.
+margin only if it is off by six of its standard deviations: 3e-8 at 0.8, 1e-9 at 0.85 (binomial, independent minima).
 
 Python sees Arrow batches, which Spark bounds in bytes, and works through them text by text; of a very long text only
 the words' hashes, 8 bytes each, are held at once, and nothing that outlasts the text grows with it.
