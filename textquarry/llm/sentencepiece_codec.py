@@ -13,12 +13,13 @@ those longer than ``LATTICE_CHARS``, go through the same algorithm in the worker
 Ids are those of the SentencePiece library for the same file, for either kind of model.
 
 No word goes on after a character that a space follows, so texts are cut at their single spaces first, and each distinct
-stretch between two of them is cut into words, encoded, decoded and compared once while a worker remembers it. Texts
-with runs of spaces, or spaces at an end, are cut into words as a whole.
+stretch between two of them is looked up as a word or cut into words once while a worker remembers it. Each distinct
+word is encoded, decoded and compared once. Texts with runs of spaces, or spaces at an end, are cut into words as a whole.
 
 Decoding joins the pieces' bytes, turns the marker into a space and drops the space in front: decoding what was
 encoded gives back every text exactly, U+2581 included, which encoding treats as a character without a piece. As the
-bytes of a text are those of its stretches in turn, a text comes back whole if each of its stretches does.
+bytes of a text are those of its words in turn, a text between whose words nothing is lost comes back whole if each of
+its words does.
 
 Defined cases: where a column of the asked name exists in any case, the new one gets underscores in front; null and empty texts have no ids and decode to the empty text; an id outside the table raises; repeated
 rows are encoded one by one; an empty table gives an empty result; further columns pass through.
@@ -28,14 +29,16 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +48,8 @@ from .common import free_name, written
 DICTIONARY_WORDS = 1 << 18
 #: Longer words are encoded in the worker: a fold over n positions looks at n times as many edges.
 LATTICE_CHARS = 40
+#: In longer words merges are found by a heap, in shorter ones by a scan of all pairs, which takes less time there.
+SCANNED_CHARS = 64
 #: Pieces in a table that may be broadcast.
 MOST_PIECES = 1 << 19
 #: Words beyond the dictionary, and stretches between spaces, that a worker remembers; and the longest of these.
@@ -104,6 +109,11 @@ class Model:
     pattern: str
     merges: bool
 
+    @cached_property
+    def costs(self) -> dict[str, float]:
+        """Each piece's score with the sign changed: the merge that comes first costs least."""
+        return {piece: -score for piece, (_, score) in self.scores.items()}
+
 
 def load_model(path: str) -> Model:
     """The model in the file at ``path``, which only the driver reads."""
@@ -150,21 +160,26 @@ def make_model(table: list[tuple[str, float, int]], prefix: bool = True, merges:
 
 def encode_word(word: str, model: Model) -> list[int]:
     """A word's ids, in the worker."""
+    if not model.merges:
+        parts = [word[start:end] for start, end in viterbi(word, model)]
+    else:
+        parts = scanned(word, model.costs) if len(word) <= SCANNED_CHARS else merged(word, model)
     ids: list[int] = []
-    for start, end, piece in merged(word, model) if model.merges else viterbi(word, model):
-        if piece >= 0:
-            ids.append(piece)
+    for part in parts:
+        found = model.scores.get(part)
+        if found:
+            ids.append(found[0])
         elif model.byte_ids:
-            ids += [model.byte_ids[b] for b in word[start:end].encode("utf-8", "replace")]
+            ids += [model.byte_ids[b] for b in part.encode("utf-8", "replace")]
         else:
             ids.append(model.unknown_id)
     return ids
 
 
-def viterbi(word: str, model: Model) -> list[tuple[int, int, int]]:
-    """(start, end, id) of the best path: for each end the best start, the earlier one where totals are equal."""
+def viterbi(word: str, model: Model) -> list[tuple[int, int]]:
+    """(start, end) of the best path: for each end the best start, the earlier one where totals are equal."""
     n = len(word)
-    best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+    best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
     for start in range(n):
         base, single = best[start], False
         for end in range(start + 1, min(n, start + model.longest) + 1):
@@ -172,19 +187,33 @@ def viterbi(word: str, model: Model) -> list[tuple[int, int, int]]:
             if found:
                 single |= end == start + 1
                 if base + found[1] > best[end]:
-                    best[end], back[end] = base + found[1], (start, found[0])
+                    best[end], back[end] = base + found[1], start
         if not single and base + model.unknown_score > best[start + 1]:
-            best[start + 1], back[start + 1] = base + model.unknown_score, (start, -1)
+            best[start + 1], back[start + 1] = base + model.unknown_score, start
     path = []
     while n:
-        start, piece = back[n]
-        path.append((start, n, piece))
-        n = start
+        path.append((back[n], n))
+        n = back[n]
     return path[::-1]
 
 
-def merged(word: str, model: Model) -> list[tuple[int, int, int]]:
-    """(start, end, id) after all merges, the highest score first, the leftmost of equals; in n log n steps."""
+def scanned(word: str, costs: dict[str, float]) -> list[str]:
+    """The symbols after all merges, the least cost first, the leftmost of equals; each merge scans all pairs."""
+    parts, none = list(word), np.inf
+    cost = [costs.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while cost and (least := min(cost)) < none:
+        k = cost.index(least)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del cost[k]
+        if k:
+            cost[k - 1] = costs.get(parts[k - 1] + parts[k], none)
+        if k < len(cost):
+            cost[k] = costs.get(parts[k] + parts[k + 1], none)
+    return parts
+
+
+def merged(word: str, model: Model) -> list[str]:
+    """What ``scanned`` gives, in n log n steps, for words of any length."""
     n, scores = len(word), model.scores
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of each symbol, by its first character
     heap: list[tuple[float, int, int]] = []
@@ -211,7 +240,7 @@ def merged(word: str, model: Model) -> list[tuple[int, int, int]]:
         offer(left)
     path, at = [], 0
     while at < n:
-        path.append((at, after[at], scores.get(word[at : after[at]], (-1, 0.0))[0]))
+        path.append(word[at : after[at]])
         at = after[at]
     return path
 
@@ -272,6 +301,11 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(grade >= F.lit(least)) if least is not None else counts.limit(0)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def lattice(words: DataFrame, model: Model) -> DataFrame:
     """(word, ids) of distinct words: substrings, equi-join with the pieces, edges by word, Viterbi fold."""
     spark = words.sparkSession
@@ -311,14 +345,21 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
 
         def merge(acc, _):
             # Edges over exactly two of the present symbols; the best one's inner cut goes, with all edges that need it.
-            cuts = acc["cuts"]
-            open_ = F.filter(acc["edges"], lambda e: F.get(cuts, F.array_position(cuts, e["start"]).cast("int") + 1) == e["end"])
+            cuts, edges = acc["cuts"], acc["edges"]
+            open_ = F.filter(edges, lambda e: F.get(cuts, F.array_position(cuts, e["start"]).cast("int") + 1) == e["end"])
             top = F.array_max(F.transform(open_, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("back"), e["end"].alias("end"))))
-            first, last = -top["back"], top["end"]
-            inner = F.get(cuts, F.array_position(cuts, first).cast("int"))
-            left = F.filter(acc["edges"], lambda e: (e["start"] != inner) & (e["end"] != inner) & ((e["start"] != first) | (e["end"] != last)))
-            after = F.struct(F.array_remove(cuts, inner).alias("cuts"), left.alias("edges"))
-            return F.when((F.size(acc["edges"]) == 0) | top.isNull(), acc).otherwise(after)
+
+            def join(best):
+                inner = F.get(cuts, F.array_position(cuts, -best["back"]).cast("int"))
+                merged_pair = F.struct((-best["back"]).alias("first"), best["end"].alias("last"), inner.alias("inner"))
+                return _let(merged_pair, without)
+
+            def without(m):
+                left = F.filter(edges, lambda e: (e["start"] != m["inner"]) & (e["end"] != m["inner"]) & ((e["start"] != m["first"]) | (e["end"] != m["last"])))
+                return F.struct(F.array_remove(cuts, m["inner"]).alias("cuts"), left.alias("edges"))
+
+            done = F.struct(cuts.alias("cuts"), F.slice(edges, 1, 0).alias("edges"))
+            return F.when(F.size(edges) == 0, acc).otherwise(_let(top, lambda best: F.when(best.isNull(), done).otherwise(join(best))))
 
         wide = F.filter(F.col("edges"), lambda e: e["end"] - e["start"] > 1)
         start = F.struct(F.sequence(F.lit(0), F.col("n")).alias("cuts"), wide.alias("edges"))
@@ -363,11 +404,20 @@ class Codec:
     made: dict[int, "Codec"] = {}
 
     def __init__(self, model: Model, words: list[str], ids: list[bytes]):
-        self.model, self.known = model, dict(zip(words, ids, strict=True))
-        self.cut, self.extra = re.compile(model.pattern).findall, {}
+        self.model, self.cut = model, re.compile(model.pattern).findall
+        # Words of the dictionary that decoding gives back, those with a space in front under what follows it; and the others.
+        self.led, self.bare, self.odd = {}, {}, {}
+        for word, found in zip(words, ids, strict=True):
+            if not self.whole(word, found):
+                self.odd[word] = found
+            elif word[0] == " ":
+                self.led[word[1:]] = found
+            else:
+                self.bare[word] = found
+        self.extra: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.strange: set[str] = set()
+        self.strange = False
 
     @classmethod
     def of(cls, shared) -> "Codec":
@@ -377,24 +427,40 @@ class Codec:
             cls.made = {shared.id: cls(model, words.split("\0") if words else [], [ids[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])}
         return cls.made[shared.id]
 
+    def whole(self, word: str, ids: bytes) -> bool:
+        """Whether decoding the ids gives back the word."""
+        return b"".join([self.model.pieces[i] for i in struct.unpack(f"<{len(ids) // 4}i", ids)]) == word.encode("utf-8", "replace")
+
     def word(self, word: str) -> bytes:
-        found = self.extra.get(word)
+        """A word's ids; one that decodes to anything else is noted."""
+        found = (self.led.get(word[1:]) if word[0] == " " else self.bare.get(word)) or self.extra.get(word)
         if found is None:
-            if len(self.extra) >= REMEMBERED:
-                self.extra.clear()
-            found = np.array(encode_word(word, self.model), "<i4").tobytes()
-            if len(word) <= LATTICE_CHARS:
+            found = self.odd.get(word)
+            if found is None:
+                ids = encode_word(word, self.model)
+                found = struct.pack(f"<{len(ids)}i", *ids)
+            if not self.whole(word, found):
+                self.strange = True
+            elif len(word) <= LATTICE_CHARS:
+                if len(self.extra) >= REMEMBERED:
+                    self.extra.clear()
                 self.extra[word] = found
         return found
 
     def stretch(self, stretch: str) -> bytes:
-        """The ids of a stretch between spaces, with a space in front; a stretch that decodes to anything else is noted."""
+        """The ids of a stretch between spaces, with a space in front; those of several words are remembered."""
+        spelled = " " + stretch
+        found = self.extra.get(spelled)
+        if found is not None:
+            return found
         found = self.older.get(stretch)
         if found is None:
-            words = self.cut(" " + stretch)
-            found = b"".join([self.known.get(w) or self.word(w) for w in words])
-            if b"".join([self.model.pieces[i] for i in np.frombuffer(found, "<i4").tolist()]) != (" " + stretch).encode("utf-8", "replace"):
-                self.strange.add(stretch)
+            words = self.cut(spelled)
+            if len(words) == 1 and words[0] == spelled:
+                return self.word(spelled)
+            found = b"".join([self.word(w) for w in words])
+            self.strange |= "".join(words) != spelled
+            if self.strange:
                 return found
         if len(stretch) <= LONGEST_REMEMBERED:
             self.memo[stretch] = found
@@ -407,13 +473,12 @@ class Codec:
         if len(self.memo) >= REMEMBERED // 2:
             # What comes again moves back from the older half; the rest is forgotten with it.
             self.older, self.memo = self.memo, {}
-        self.strange.clear()
+        self.strange = False
         if spaced(text, self.model):
-            known, other = self.memo.get, self.stretch
-            ids = np.frombuffer(b"".join([known(x) or other(x) for x in text.split(" ")]), "<i4")
+            known, met, other = self.led.get, self.memo.get, self.stretch
+            ids = np.frombuffer(b"".join([known(x) or met(x) or other(x) for x in text.split(" ")]), "<i4")
             return ids, not self.strange or decode_ids(ids.tolist(), self.model) == text
-        known, other = self.known.get, self.word
-        ids = np.frombuffer(b"".join([known(w) or other(w) for w in self.cut(self.model.prefix + text)]), "<i4")
+        ids = np.frombuffer(b"".join([self.word(w) for w in self.cut(self.model.prefix + text)]), "<i4")
         return ids, decode_ids(ids.tolist(), self.model) == text
 
 
