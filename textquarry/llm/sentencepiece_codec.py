@@ -31,7 +31,7 @@ import heapq
 import re
 import struct
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -403,7 +403,7 @@ class Codec:
 
     made: dict[int, "Codec"] = {}
 
-    def __init__(self, model: Model, words: list[str], ids: list[bytes]):
+    def __init__(self, model: Model, words: Iterable[str], ids: Iterable[bytes]):
         self.model, self.cut = model, re.compile(model.pattern).findall
         # Words of the dictionary that decoding gives back, those with a space in front under what follows it; and the others.
         self.led, self.bare, self.odd = {}, {}, {}
@@ -424,7 +424,10 @@ class Codec:
         if shared.id not in cls.made:
             model, words, sizes, ids = shared.value
             ends = np.cumsum(sizes) * 4
-            cls.made = {shared.id: cls(model, words.split("\0") if words else [], [ids[e - 4 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)])}
+            cls.made.clear()
+            # One by one: lists of all words and ids would be held beside the tables that are made of them.
+            each = (w.group() for w in re.finditer("[^\0]+", words))
+            cls.made = {shared.id: cls(model, each, (ids[e - 4 * n : e] for e, n in zip(ends, sizes, strict=True)))}
         return cls.made[shared.id]
 
     def whole(self, word: str, ids: bytes) -> bool:
