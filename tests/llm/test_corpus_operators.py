@@ -243,7 +243,8 @@ def test_viterbi_finds_the_best_total():
     model = sentencepiece_codec.make_model(TABLE)
     for word in (" thecat", "  the", "cathe", "scat the", "zcat"):
         path = sentencepiece_codec.viterbi(word, model)
-        total = sum(next((s for i, s in model.scores.values() if i == piece), model.unknown_score) for _, _, piece in path)
+        assert "".join(word[start:end] for start, end in path) == word
+        total = sum(model.scores.get(word[start:end], (0, model.unknown_score))[1] for start, end in path)
         assert total == pytest.approx(best_total(word, model))
 
 

@@ -24,30 +24,51 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: The temporary folder of each application that names none; the setting itself cannot be changed once Spark runs.
+_fallbacks: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset and one machine does all, as in tests, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _fallbacks.get(app)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="textquarry-")
+        found = _fallbacks[app] = tempfile.mkdtemp(prefix="textquarry-")
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of ``path``, and the path as it takes it."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends, or by ``discard``."""
+    path = f"{shared_dir(spark)}/textquarry-{uuid.uuid4().hex}"
+    files, jpath = _file_system(spark, path)
+    files.deleteOnExit(jpath)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Frees a scratch path whose rows no later step reads."""
+    files, jpath = _file_system(spark, path)
+    files.delete(jpath, True)
+
+
+def written(df: DataFrame, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """The rows of ``df``, written once as a table in the shared folder and read back.
 
     It cuts the lineage as checkpoint() does, keeps columns prunable, and outlives any executor. The files
-    go when the driver's JVM ends.
+    go when the driver's JVM ends, or when ``path``, where given, is discarded.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textquarry-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     df.write.option("compression", compression).parquet(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
