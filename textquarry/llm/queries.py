@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_dedup, html_extract, mixing, near_dedup, quality, secret_scan, sentencepiece_codec, url_filter
+from . import ann, chat_format, elkan, exact_dedup, html_extract, mixing, near_dedup, phrases, quality, secret_scan, sentencepiece_codec, url_filter, warc
 from .common import table
 
 #: The piece table of the registered queries; a file on the driver, of a public tokenizer.
@@ -123,6 +123,89 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+placed AS (
+  SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again,
+    first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS original
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to
+FROM placed
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2).drop("computed")
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain rounds: every distance, the least of them, sums by cluster and component."""
+    nearest = """
+assigned_{r} AS MATERIALIZED (
+  SELECT rid, v, struct_extract(best, 'c') AS cluster, struct_extract(best, 'd') AS distance
+  FROM (
+    SELECT p.rid, first(p.v) AS v, min(struct_pack(d := list_sum(list_transform(list_zip(p.v, m.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT, c := m.c)) AS best
+    FROM points p, centroids_{r} m GROUP BY p.rid)),"""
+    update = """
+sums_{r} AS (
+  SELECT cluster, d, sum(x)::BIGINT AS s, count(*)::BIGINT AS n
+  FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS d FROM assigned_{r}) GROUP BY cluster, d),
+moved_{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY d) AS v FROM sums_{r} GROUP BY cluster),
+centroids_{t} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM centroids_{r} c LEFT JOIN moved_{r} m ON m.cluster = c.c),"""
+    steps = "".join((nearest + update).format(r=r, t=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+WITH points AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+centroids_0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM points ORDER BY sha256('2:' || vec_id), v LIMIT {k}),{steps}
+named AS (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM centroids_{rounds})
+SELECT p.vec_id, a.cluster::INT AS cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+  sum(a.distance) OVER ()::BIGINT AS inertia, n.centroid_sha256
+FROM assigned_{rounds} a JOIN points p USING (rid) JOIN named n ON n.c = a.cluster
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS k) ks WHERE len(w) >= k)),
+frequent AS MATERIALIZED (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '), array_to_string(string_split(phrase, ' ')[2:k], ' ')]) AS phrase FROM frequent WHERE k > 1)
+  GROUP BY lang, phrase),
+cuts AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM frequent WHERE k > 1)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, h.f AS l, t.f AS r, n, ((1000::HUGEINT * c.a * n) // (h.f::HUGEINT * t.f))::BIGINT AS score, c
+  FROM cuts c JOIN frequent h ON h.lang = c.lang AND h.phrase = c.head JOIN frequent t ON t.lang = c.lang AND t.phrase = c.rest JOIN totals n ON n.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM scored),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE place = 1 AND (g.longer IS NULL OR 100 * g.longer < 100 * a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -135,8 +218,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_mixing": op9_mixing,
         "op10_quality": op10_quality,
+        "op11_warc": op11_warc,
+        "op12_clusters": op12_clusters,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {
+        "op6_exact_dedup": OP6_SQL,
+        "op8_chat_format": OP8_SQL,
+        "op9_mixing": OP9_SQL,
+        "op11_warc": OP11_SQL,
+        "op12_clusters": OP12_SQL,
+        "op13_phrases": OP13_SQL,
+    }
