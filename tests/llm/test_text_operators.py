@@ -24,7 +24,7 @@ def test_every_labelled_page_is_extracted_as_marked():
         wrong = 0
         for k in range(1, len(nodes)):
             labels.append(labels[nodes[k].parent] if marks[k] is None else marks[k])
-            wrong += nodes[k].own > 0 and (content[k] >= 0.5) != (labels[k] == 1)
+            wrong += nodes[k].own > 0 and nodes[k].tag not in html_extract.UNSEEN and (content[k] >= 0.5) != (labels[k] == 1)
         assert wrong <= 0.2 * len(nodes), re.sub(r"\s+", " ", page)
 
 
@@ -33,7 +33,7 @@ def test_marginals_equal_brute_force():
     import itertools
     import math
 
-    page = '<div class="content"><p>Some words that are long enough to read.</p><div class="ad">Buy now</div><ul><li><a href=x>l</a></li></ul></div>'
+    page = '<div class="content"><p>Some words that are long enough to read.</p><div class="ad">Buy now</div><ul><li><a href=x>l</a></li></ul></div><footer><p>End</p></footer>'
     nodes, _ = html_extract.parse(page)
     ratios, moves, prior = html_extract.trained()
     n = len(nodes)
@@ -42,7 +42,7 @@ def test_marginals_equal_brute_force():
         weight = prior if states[0] else 1 - prior
         for k in range(1, n):
             p = html_extract.potential(moves, nodes, k)[states[nodes[k].parent]]
-            z = min(max(sum(ratios.get(f, 0.0) for f in html_extract.evidence(nodes[k])), -12.0), 12.0)
+            z = html_extract.local(nodes, k, ratios)
             weight *= (p if states[k] else 1 - p) * (math.exp(z) if states[k] else 1.0)
         total += weight
         for k in range(n):

@@ -4,13 +4,18 @@ Every element is a node with a hidden state: content or boilerplate. A node's fe
 class, id and role, how much of its text lies in links, how long its text is) give the evidence; the edge to its
 parent gives a potential on the pair of states, by the child's tag. Sum-product messages go up from the leaves and
 down from the root, so that every node gets its exact content marginal; text is kept where the marginal of the
-element that holds it is at least one half. All potentials are estimated from labelled pages (``labelled_pages``).
+element that holds it is at least one half. All potentials are estimated from labelled pages (``labelled_pages``), once, on the driver.
+
+Attribute names speak for what an element is, not for the page's layout: names that say whether something is there
+(``has-sidebar``, ``menu-open``) say nothing, nor do names of ``html``, ``body``, ``main`` or of an element that
+holds an article and much of the page's text; of headings, paragraphs and other parts of a text only names of their own.
 
 Blocks: text between block-level boundaries is one block; character references are decoded, white space inside a
 block becomes one space, blocks are trimmed, empty ones fall away, and the rest is joined in page order by ``\\n``.
 
 Defined cases: null or empty html gives the empty text; html without any element is content; unclosed and stray
-tags are repaired as browsers do for paragraphs, list items and table parts; a truncated last tag is dropped;
+tags are repaired as browsers do for paragraphs, list items and table parts; a truncated last tag is dropped, and
+with it all that follows a quote which an attribute never closes;
 elements may nest to any depth; repeated pages are extracted one by one; further columns pass through.
 """
 
@@ -31,7 +36,6 @@ from .common import free_name
 
 # Element names by role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea select option object canvas audio video title head".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br".split()
 )
@@ -48,33 +52,59 @@ PARTS = frozenset(
     "html body article main table caption colgroup thead tbody tfoot tr td th dl dt dd h1 h2 h3 h4 h5 h6 hgroup summary details address pre blockquote figure figcaption center fieldset legend".split()
 )
 #: Text outside anything a reader sees.
-UNSEEN = frozenset("script style template noscript head title meta link svg math iframe object canvas audio video".split())
+UNSEEN = frozenset(
+    "script style template noscript head title meta link svg math iframe object canvas audio video button select option optgroup datalist textarea dialog progress meter".split()
+)
 # Word stems in class, id and role that pages use for parts of a page.
 STEMS = (
     "ad", "ads", "advert", "sponsor", "promo", "banner", "nav", "menu", "breadcrumb", "footer", "header", "masthead", "sidebar", "side", "aside",
     "widget", "related", "recommend", "share", "social", "comment", "reply", "discussion", "cookie", "consent", "notice", "alert", "popup", "modal",
     "newsletter", "subscribe", "signup", "login", "search", "form", "pagination", "pager", "tag", "copyright", "legal", "disclaimer", "toolbar",
-    "disqus", "respond", "remark",
+    "disqus", "respond", "remark", "responses", "opinions", "reviews", "feedback", "conversation", "talkback", "guestbook",
+    "adsbygoogle", "taboola", "outbrain", "gdpr", "paywall", "overlay", "interstitial",
     "article", "content", "main", "post", "entry", "story", "body", "text", "title", "headline", "lead", "paragraph", "caption",
     "wrapper", "container", "page", "row", "col", "inner", "section", "complementary", "navigation", "contentinfo", "dialog", "byline", "author",
 )
 
 OF_BODY = frozenset("article content main post entry story body text page".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: What an article is called, whose header is part of it.
+OF_ARTICLE = frozenset("article post entry story".split())
+#: Names of layout and of what a text has itself: they say nothing against an element, and little for a part of a text.
+PLAIN = frozenset("title headline lead paragraph caption wrapper container row col inner section byline author".split())
+#: A name with one of these words tells whether something is on the page, not what the element is.
+STATES = frozenset("has no not with without open opened closed enabled disabled hide show".split())
+#: What a stem may end in besides itself: the name is still of that part.
+ENDINGS = frozenset("s es list area box bar block wrap wrapper container section item items link links unit holder panel inner content text body title group nav form".split())
+#: Of a text's own parts these names tell the place in the layout, no more.
+OF_PLACE = frozenset("header side aside banner masthead form tag search row toolbar section dialog legal".split())
+#: What names an article element as something else.
+OF_OTHERS = frozenset(
+    "ad ads advert sponsor promo comment reply discussion remark responses opinions reviews feedback talkback related recommend adsbygoogle taboola outbrain newsletter cookie".split()
+)
+#: Parts of a text, whose names are of less weight.
+TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote figure figcaption pre table caption thead tbody tfoot tr td th dl dt dd details summary address center".split())
+#: An element that holds an article and at least this share of the page's text is a wrapper, whatever its names.
+WRAPPER_SHARE = 0.4
+
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S
+)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|/|\s|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "template")}
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    """One element: its parent's number, tag, attribute stems, and what text it holds."""
+    """One element: its parent's number, tag, attribute stems, what text it holds, and whether an article is in it."""
 
-    __slots__ = ("parent", "tag", "stems", "chars", "linked", "own", "depth")
+    __slots__ = ("parent", "tag", "stems", "chars", "linked", "own", "depth", "core", "inside", "items")
 
-    def __init__(self, parent: int, tag: str, stems: tuple[str, ...], depth: int):
-        self.parent, self.tag, self.stems, self.depth = parent, tag, stems, depth
+    def __init__(self, parent: int, tag: str, stems: tuple[str, ...], depth: int, inside: bool = False):
+        self.parent, self.tag, self.stems, self.depth, self.inside = parent, tag, stems, depth, inside
         self.chars = self.linked = self.own = 0
+        self.core = False
+        self.items = 0  # list items below it
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
@@ -144,7 +174,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 continue
             if tag == "body" or tag == "html":
                 close(1 + (tag == "body" and len(stack) > 1 and nodes[stack[1]].tag == "html"))
-            nodes.append(Node(stack[-1], tag, _stems(m[3]) if m[3] else (), len(stack)))
+            nodes.append(Node(stack[-1], tag, _stems(m[3]) if m[3] else (), len(stack), bool(places.get("article") or places.get("main"))))
             if m[3].rstrip().endswith("/") and tag in ("svg", "path", "math"):
                 continue
             places.setdefault(tag, []).append(len(stack))
@@ -161,12 +191,39 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     for k in range(len(nodes) - 1, 0, -1):
         node, up = nodes[k], nodes[nodes[k].parent]
         node.chars += node.own
+        up.items += node.tag == "li"
         if node.tag not in UNSEEN:
             up.chars += node.chars
             up.linked += node.linked
+            up.core |= node.core or _is_core(node)
+    share = WRAPPER_SHARE * nodes[0].chars
+    for node in nodes:
+        node.stems = _said(node, node.core and node.chars >= share)
     return nodes, runs
 
 
+def _is_core(node: Node) -> bool:
+    """Whether an element is an article's, by its tag or its names."""
+    if node.tag in ("h1", "main"):
+        return True
+    if node.tag == "article":
+        return not OF_OTHERS.intersection(node.stems)
+    return node.tag in ("div", "section", "td") and bool(node.stems) and OF_BODY.issuperset(node.stems)
+
+
+def _said(node: Node, wrapper: bool) -> tuple[str, ...]:
+    """The stems that speak for what the element is."""
+    if not node.stems or node.tag in ("html", "body", "main"):
+        return ()
+    if wrapper:
+        return tuple(x for x in node.stems if x in OF_BODY)
+    if node.tag == "article":
+        return tuple(x for x in node.stems if x in OF_BODY or x in OF_OTHERS)
+    if node.tag in TEXT_PARTS:
+        return tuple(x for x in node.stems if x not in OF_PLACE)
+    return node.stems
+
+
 #: Longer attributes are read each time, so that what is remembered stays small.
 REMEMBERED_CHARS = 200
 
@@ -175,20 +232,27 @@ def _stems(attributes: str) -> tuple[str, ...]:
     return _remembered_stems(attributes) if len(attributes) <= REMEMBERED_CHARS else _stems_in(attributes)
 
 
+def _stem(word: str) -> str | None:
+    """The stem that a word is, or is with an ending, or ends in."""
+    for x in (word, word.rstrip("s")):
+        if x in STEMS:
+            return x
+    starts = [x for x in STEMS if len(x) > 3 and word.startswith(x) and word[len(x) :] in ENDINGS]
+    ends = [x for x in ("nav", "menu", "footer", "header", "sidebar", "banner", "comments", "breadcrumbs") if word.endswith(x)]
+    return max(starts, key=len, default=None) or (ends[0].rstrip("s") if ends else None)
+
+
 def _stems_in(attributes: str) -> tuple[str, ...]:
     found: list[str] = []
     for name, *values in _ATTR.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role", "itemprop"):
-            for word in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()):
-                for stem in (word, word.rstrip("s")):
-                    if stem in STEMS:
-                        found.append(stem)
-                        break
-                else:
-                    longest = max((s for s in STEMS if len(s) > 3 and word.startswith(s)), key=len, default=None)
-                    if longest:
-                        found.append(longest)
+            for token in "".join(values).split():
+                words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                if not STATES.intersection(words):
+                    stems = set(filter(None, map(_stem, words)))
+                    # An article's own header, as post-header, is no header of the page.
+                    found += stems - {"header"} if OF_ARTICLE & stems else stems
         elif name in ("hidden", "aria-hidden"):
             found.append("hidden")
     return tuple(sorted(set(found)))
@@ -200,7 +264,9 @@ _remembered_stems = lru_cache(maxsize=16384)(_stems_in)
 def evidence(node: Node) -> list[str]:
     """The features of one node, as names."""
     # Of a name such as post-comments, what it holds besides the body's words says what it is.
-    stems = [f"stem={s}" for s in node.stems if s not in OF_BODY] or [f"stem={s}" for s in node.stems]
+    stems = [f"stem={s}" for s in node.stems if s not in OF_BODY and s not in PLAIN] or [
+        f"stem={s}" for s in node.stems if s in OF_BODY or node.tag not in TEXT_PARTS
+    ]
     if not node.chars or node.tag in INLINE or node.tag in PARTS:
         return stems
     ratio = node.linked / node.chars
@@ -244,6 +310,12 @@ _FEET = (
     '<div y=0 id="respond" class="comment-respond"><h4>Leave a reply</h4><label>Name</label><p>{a}</p></div><label y=0>Your mail</label>',
     '<section y=0 id="disqus-comments"><h2>Discussion</h2><article class="comment"><header>{c}</header><p>{b}</p><article class="comment reply"><p>{a}</p></article></article></section>',
     '<footer y=0><table><tr><td><a href="/t">Terms</a></td><td><a href="/i">Imprint</a></td></tr></table><address>{c}</address><dl><dt>Mail</dt><dd>{a}</dd></dl></footer>',
+    '<div y=0 class="responses"><div><p>{c}</p></div><p>{b}</p></div><div y=0 class="user-reviews"><p>{a}</p></div>',
+    '<div y=0 id="reader-opinions"><p>{c}</p><p>{a}</p></div><section y=0 class="feedback"><p>{b}</p></section>',
+    '<div y=0 class="conversation"><ul><li><p>{c}</p></li><li>{b}</li></ul></div><div y=0 class="talkback guestbook"><p>{c}</p></div>',
+    '<div y=0 class="taboola"><p>{a}</p><a href="/z">{c}</a></div><div y=0 class="outbrain"><p>{b}</p></div>',
+    "<footer y=0><ul><li>{c}</li><li>{a}</li></ul><div><p>{b}</p></div></footer>",
+    '<div y=0 id="foot" class="footer"><ul><li>{a}</li><li>{c}</li></ul><span>{c}</span></div>',
     '<div y=0 class="comments remarks"><h5>Remarks</h5><ul><li><p>{c}</p><ul><li><p>{b}</p></li></ul></li></ul></div>',
 )
 _EXTRAS = (
@@ -253,6 +325,7 @@ _EXTRAS = (
     '<aside y=0><p>{a}</p><p>{b}</p></aside>',
     '<div y=0 id="sidebar" class="side"><p>{b}</p><ul><li><a href="/q">Q</a></li></ul></div>',
     '<div y=0 class="content-ad">{b}</div><div y=0 class="main-menu"><ul><li>{c}</li></ul></div>',
+    '<div y=0 class="adsbygoogle">{a}</div><div y=0 class="gdpr overlay"><p>{c}</p></div><div y=0 class="paywall interstitial"><p>{b}</p></div>',
     '<div y=0 class="popup modal subscribe"><h2>Do not miss a thing</h2><p>{c}</p></div>',
     "",
 )
@@ -288,6 +361,7 @@ _BODIES = (
     '<article y=1><h1>{h}</h1><div class="text"><p>{c}</p><div>{b}</div></div></article>',
     "<main y=1><p>No.</p>" + "<p>{c}</p><p>On.</p>" * 6 + "<p>{a}</p></main>",
     '<main y=1><article id="{k}"><h1>{h}</h1><ol><li>{a}</li><li>{c}</li></ol><h3>{c}</h3><dl><dt>{c}</dt><dd>{b}</dd></dl>{x}<p>{a}</p></article></main>',
+    '<main y=1><article><div class="text"><header><h1>{h}</h1><p>{c}</p></header><p>{a}</p><p>{b}</p></div></article></main>',
     '<article y=1><header><h1>{h}</h1></header><p>{a}</p>{x}<p>{b}</p><p>{c}</p><footer y=0><a href="/tag">tags</a></footer></article>',
     "<article y=1><h2>{h}</h2><table><thead><tr><th>Year</th><th>Sum</th></tr></thead><tbody>" + "<tr><td>1990</td><td>{c}</td></tr>" * 7 + "</tbody></table><p>{a}</p></article>",
     "<article y=1><h1>{h}</h1><p>{b}</p><table>" + "<tr><th>Part</th><td>12</td><td>3.4</td></tr>" * 9 + "</table>{x}<p>{a}</p></article>",
@@ -331,17 +405,25 @@ def labelled_pages(bodies: tuple[str, ...] = _BODIES, feet: tuple[str, ...] = _F
 
 
 _MARK = re.compile(r"\by=([01])")
+#: What HTML puts outside the text is content with this probability, which no evidence below it outweighs.
+NEVER = 1e-60
+#: Items that speak for a list; more of them say no more.
+ITEMS = 4
 #: A tag that no labelled page has takes its parent's state, but for this share.
 INHERIT = 0.02
 
 
 def _edge(nodes: list[Node], k: int) -> tuple[str, str]:
-    """What the potential between a node and its parent goes by: both tags, and whether attributes name the node."""
+    """What the potential between a node and its parent goes by: both tags, and whether attributes name the node, and as part of a text or not."""
     return nodes[nodes[k].parent].tag, _named(nodes[k])
 
 
 def _named(node: Node) -> str:
-    return f"{node.tag}#" if node.stems else node.tag
+    # A header inside an article is not the page's.
+    tag = f"{node.tag}^" if node.inside and node.tag in ("header", "footer", "nav") else node.tag
+    if not node.stems:
+        return tag
+    return f"{tag}+" if all(x in OF_BODY or x in PLAIN for x in node.stems) else f"{tag}#"
 
 
 @lru_cache(maxsize=1)
@@ -392,9 +474,26 @@ def learnt(pages: Iterator[str]) -> tuple[dict[str, float], dict, float]:
     return ratios, moves, (seen + 1) / (seen + 2)
 
 
+def outside(node: Node) -> bool:
+    """Whether HTML itself says that the element is not the text: a page's footer, a menu, a form that holds no article."""
+    return node.tag == "nav" or (node.tag == "footer" and not node.inside) or (node.tag == "form" and not node.core)
+
+
 def potential(moves: dict, nodes: list[Node], k: int) -> tuple[float, float]:
-    """P(content) of node k by its parent's state."""
-    return moves.get(_edge(nodes, k)) or moves.get(_named(nodes[k])) or moves["*"]
+    """P(content) of node k by its parent's state; nothing of what HTML puts outside is content."""
+    p0, p1 = moves.get(_edge(nodes, k)) or moves.get(_named(nodes[k])) or moves["*"]
+    return (NEVER, p1) if outside(nodes[nodes[k].parent]) else (p0, p1)
+
+
+def local(nodes: list[Node], k: int, ratios: dict[str, float]) -> float:
+    """The logarithm of node k's own evidence for content. The items of a list count as ``ITEMS`` of them at most."""
+    node = nodes[k]
+    if outside(node):
+        return math.log(NEVER)
+    z = sum(ratios.get(f, 0.0) for f in evidence(node))
+    if node.tag == "li":
+        z *= min(1.0, ITEMS / nodes[node.parent].items)
+    return min(max(z, -12.0), 12.0)
 
 
 def _marked(page: str) -> tuple[list[Node], list[int | None]]:
@@ -409,16 +508,15 @@ def _marked(page: str) -> tuple[list[Node], list[int | None]]:
     return nodes, marks
 
 
-def marginals(nodes: list[Node]) -> list[float]:
+def marginals(nodes: list[Node], model: tuple | None = None) -> list[float]:
     """P(content) of each node, by sum-product: messages upward in reverse page order, then downward in page order."""
-    ratios, moves, prior = trained()
+    ratios, moves, prior = model or trained()
     n = len(nodes)
-    local = [(1.0, 1.0)] * n
-    for k, node in enumerate(nodes):
-        if k:
-            z = min(max(sum(ratios.get(f, 0.0) for f in evidence(node)), -12.0), 12.0)
-            local[k] = (1.0, math.exp(z)) if z < 0 else (math.exp(-z), 1.0)
-    below = [list(x) for x in local]  # evidence at and under a node, by its state
+    own = [(1.0, 1.0)] * n
+    for k in range(1, n):
+        z = local(nodes, k, ratios)
+        own[k] = (1.0, math.exp(z)) if z < 0 else (math.exp(-z), 1.0)
+    below = [list(x) for x in own]  # evidence at and under a node, by its state
     message: list[tuple[float, float]] = [(1.0, 1.0)] * n  # to the parent, by the parent's state
     for k in range(n - 1, 0, -1):
         b0, b1 = below[k]
@@ -445,12 +543,12 @@ def marginals(nodes: list[Node]) -> list[float]:
     return [b[1] for b in belief]
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, model: tuple | None = None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     nodes, runs = parse(page)
-    content = marginals(nodes)
+    content = marginals(nodes, model)
     holder = list(range(len(nodes)))  # inline elements belong to the element that holds them
     seen = [True] * len(nodes)
     for k in range(1, len(nodes)):
@@ -473,12 +571,13 @@ def extract(page: str | None) -> str:
 
 
 def main_text(html: Column) -> Column:
-    """The main text of a column of pages, in Arrow batches."""
+    """The main text of a column of pages, in Arrow batches; tasks get the potentials, a few hundred numbers, with their code."""
+    model = trained()
 
     @F.pandas_udf(T.StringType())
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            yield pd.Series([extract(p) for p in pages], dtype="object")
+            yield pd.Series([extract(p, model) for p in pages], dtype="object")
 
     return extracted(html)
 

@@ -37,7 +37,9 @@ WORDS = 5
 #: log2 of the buckets. More buckets prune better in larger corpora, and cost each task as many bytes.
 BITS = 22
 #: Entries of a task's counter before it is put out, and bytes of text in a window.
-HELD, WINDOW = 300_000, 1 << 20
+HELD, WINDOW = 100_000, 1 << 18
+#: Rows that are joined to one buffer before it is cut into windows.
+ROWS = 500
 #: Buckets that are sent as one row; tasks whose rows are summed together first.
 CHUNK, TASKS = 1 << 14, 256
 
@@ -193,7 +195,7 @@ def _counted(texts: DataFrame, k: int, longest: int, bits: int, least: int, buck
             cols += [pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["lang", "phrase", "n", "chunk", "task", "counts"])
 
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(text)
