@@ -64,9 +64,8 @@ def _header(name: str, value: Column) -> Column:
 
 
 def _record_id(seed: str, uid: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(seed), uid.cast("string")))
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), uid.cast("string")))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
 
 
 def write(records: DataFrame, path: str, date: str | None = None, compression: str = "gzip", seed: str | None = None) -> None:
@@ -82,6 +81,8 @@ def write(records: DataFrame, path: str, date: str | None = None, compression: s
     http = F.concat_ws("\r\n", F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), _header("Content-Length", size.cast("string")))
     block = F.concat(http, F.lit(END), F.when(again, F.lit("")).otherwise(F.col("payload").cast("string")))
     only = lambda value: F.when(again, value)
+    # What a revisit without its original at hand refers to stays as it was read.
+    stated = F.col("refers_to") if "refers_to" in records.columns else F.lit(None).cast("string")
     head = F.concat_ws(
         "\r\n",
         F.lit(VERSION),
@@ -91,8 +92,7 @@ def write(records: DataFrame, path: str, date: str | None = None, compression: s
         _header("WARC-Target-URI", safe(F.col("url"))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         only(_header("WARC-Profile", F.lit(SAME_PAYLOAD))),
-        only(_header("WARC-Refers-To", _record_id(seed, F.col("original.uid")))) if "refers_to" not in records.columns
-        else only(_header("WARC-Refers-To", F.coalesce(_record_id(seed, F.col("original.uid")), F.col("refers_to")))),
+        only(_header("WARC-Refers-To", F.coalesce(_record_id(seed, F.col("original.uid")), stated))),
         only(_header("WARC-Refers-To-Target-URI", safe(F.col("original.url")))),
         only(F.when(F.col("original").isNotNull(), _header("WARC-Refers-To-Date", F.lit(date)))),
         _header("X-Page-Id", F.col("id").cast("string")),
@@ -169,8 +169,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("lineSep", START).text(path)
     fragments = lines.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.regexp_replace("value", r"\AWARC/1\.", "").alias("value")
-    ).filter("value <> ''")
+        F.monotonically_increasing_id().alias("uid"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
+    )
     cut = _cut(fragments)
     broken = F.coalesce(F.octet_length("block") < F.col("length"), F.lit(True))
     files = written(cut.filter(broken).select("file").distinct())
