@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -99,17 +100,28 @@ def leaking_groups(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written once to the folder of ``spark.checkpoint.dir``; where that is unset, as in tests, to a temporary one."""
-    context = df.sparkSession.sparkContext
+def _share(spark: SparkSession) -> None:
+    """Lets Spark write to the folder of ``spark.checkpoint.dir``; where that is unset, as in tests, to a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textquarry-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared folder."""
+    _share(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    _share(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's place from 1 in the whole order, without a task that sees all rows.
 
