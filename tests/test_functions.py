@@ -34,12 +34,66 @@ def test_number_similarity(spark, a, b, expected):
     assert values(spark, [(a, b)], "a string, b string", sc.number_similarity(F.col("a"), F.col("b"))) == [expected]
 
 
+def spoken_number(words):
+    """The number that a whole run of words says, by the rule as it stands; None if it says none."""
+    total = group = 0
+    said = False
+    parts = [p for w in words for p in w.split("-") if p and p != "and"]
+    for k, word in enumerate(parts):
+        if word in sc.UNITS:
+            group += sc.UNITS[word]
+        elif word in sc.TENS:
+            group += sc.TENS[word]
+        elif word == "hundred":
+            group = (group or 1) * 100
+        elif word in sc.SCALES:
+            total, group = total + (group or 1) * sc.SCALES[word], 0
+        elif word == "point" and said and k + 1 < len(parts) and all(p in sc.UNITS and sc.UNITS[p] < 10 for p in parts[k + 1 :]):
+            return float(f"{total + group}." + "".join(str(sc.UNITS[p]) for p in parts[k + 1 :]))
+        else:
+            return None
+        said = True
+    return float(total + group) if said else None
+
+
+def numbers_in(text):
+    import re
+
+    found = {float(m) for m in re.findall(sc.NUMBER, text or "", flags=re.ASCII)}
+    words = (text or "").lower().split()
+    runs = (words[i:j] for i in range(len(words)) for j in range(i + 1, min(i + 5, len(words)) + 1))
+    return found | {spoken_number([w.strip(".,;:()") for w in run]) for run in runs} - {None}
+
+
 def test_numbers_in_words(spark):
-    assert sc.numbers_in("eighteen years old") == {18.0}
-    assert sc.numbers_in("18 Years") == {18.0}
-    assert {205.0, 2.0, 200.0, 5.0} <= sc.numbers_in("two hundred and five")
-    assert sc.numbers_in("two point five") >= {2.5} and sc.numbers_in(None) == set()
-    assert values(spark, [("twenty-one and 3",), (None,)], "t string", sc.numbers(F.col("t"))) == [[3.0, 21.0], []]
+    import random
+
+    assert numbers_in("eighteen years old") == {18.0} and {205.0, 2.0, 200.0, 5.0} <= numbers_in("two hundred and five")
+    rng = random.Random(2)
+    vocabulary = [*"zero one two nine ten nineteen twenty ninety hundred thousand million billion point and years twenty-one Two, (five) -six a-b 18 2.5 - , hundred-and-one point. seven".split(), "\n", "\u00a0"]
+    rows = [(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 14))),) for _ in range(400)]
+    rows += [("twenty-one and 3",), ("two point five",), ("point five",), ("one point",), ("",), (None,), ("eighteen years old " * 200,)]
+    got = values(spark, rows, "t string", sc.numbers(F.col("t")))
+    assert got == [sorted(numbers_in(t)) for (t,) in rows]
+
+
+def test_word_cosine(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    draw = lambda: " ".join(rng.choice(["a", "B", "bb", "é", "x1y", ""]) for _ in range(rng.randrange(0, 12)))
+    rows = [(draw(), draw()) for _ in range(200)] + [(None, "a"), ("a " * 3000 + "tail", "tail"), ("", "")]
+
+    def cosine(a, b):
+        import re
+
+        one, two = (Counter(w for w in re.split(r"[^a-zé]+", (t or "").lower()) if w) for t in (a, b))
+        size = math.sqrt(sum(n * n for n in one.values())) * math.sqrt(sum(n * n for n in two.values()))
+        return sum(n * two[w] for w, n in one.items()) / size if size else 0.0
+
+    assert values(spark, rows, "a string, b string", sc.word_cosine(F.col("a"), F.col("b"))) == pytest.approx([cosine(a, b) for a, b in rows])
 
 
 def test_text_score_and_composite(spark):

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import cap, missing, strip
 
 # Weights of the fields, exponents of the text score, verbs without meaning of their own.
 WEIGHTS = {"conditions": 0.15, "study_type": 0.10, "sex": 0.05, "minimum_age": 0.10, "maximum_age": 0.10, "eligibility_criteria": 0.50}
 LAMBDA, ALPHA = 0.6, 0.6
+SCORED_CHARS = 1000
 EMPTY_VERBS = "be have say do go make know get see come take think look want give use find tell ask seem feel try leave call".split()
 # Number words in English.
 UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -29,54 +25,76 @@ def digits(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double")))
 
 
-def spoken_number(words: list[str]) -> float | None:
-    """The number that a whole run of words says, such as ``two hundred and five``; None if it says none."""
-    total = group = 0
-    said = False
-    parts = [p for w in words for p in w.split("-") if p and p != "and"]
-    for k, word in enumerate(parts):
-        if word in UNITS:
-            group += UNITS[word]
-        elif word in TENS:
-            group += TENS[word]
-        elif word == "hundred":
-            group = (group or 1) * 100
-        elif word in SCALES:
-            total, group = total + (group or 1) * SCALES[word], 0
-        elif word == "point" and said and k + 1 < len(parts) and all(p in UNITS and UNITS[p] < 10 for p in parts[k + 1 :]):
-            return float(f"{total + group}." + "".join(str(UNITS[p]) for p in parts[k + 1 :]))
-        else:
-            return None
-        said = True
-    return float(total + group) if said else None
-
-
-def numbers_in(text: str | None) -> set[float]:
-    """Numbers in digits, and those that runs of one to five words say."""
-    found = {float(m) for m in re.findall(NUMBER, text or "", flags=re.ASCII)}
-    words = (text or "").lower().split()
-    for i in range(len(words)):
-        for j in range(i + 1, min(i + 5, len(words)) + 1):
-            said = spoken_number([w.strip(".,;:()") for w in words[i:j]])
-            if said is not None:
-                found.add(said)
-    return found
-
-
 #: Without one of these words no run of words says a number.
 SPOKEN = r"(?i)\b(?:" + "|".join([*UNITS, *TENS, "hundred", *SCALES]) + r")\b"
 
 
-def numbers(text: Column) -> Column:
-    """All numbers of a text as a sorted array. Texts with a number word go through Arrow batches, as their grammar has no form in SQL."""
+#: What a word is in a spoken number, and what it says.
+UNIT, TEN, HUNDRED, SCALE, POINT, OTHER = range(6)
+_KINDS = {**{w: (UNIT, v) for w, v in UNITS.items()}, **{w: (TEN, v) for w, v in TENS.items()}, "hundred": (HUNDRED, 100), **{w: (SCALE, v) for w, v in SCALES.items()}, "point": (POINT, 0)}
+#: Words of a run that may say a number together: a fixed value.
+RUN = 5
+
+
+_ENTRIES = ", ".join(f"'{w}', named_struct('kind', {k}, 'value', {v}L)" for w, (k, v) in _KINDS.items())
+
+
+def _kind(word: Column) -> Column:
+    """struct(kind, value) of a word."""
+    # As text: a constant that is parsed once, where a call for each entry would be made.
+    return F.coalesce(F.element_at(F.expr(f"map({_ENTRIES})"), word), F.expr(f"named_struct('kind', {OTHER}, 'value', 0L)"))
+
+
+def said_number(kinds: Column) -> Column:
+    """The number that a whole run of (kind, value) says, such as those of ``two hundred and five``; null if it says none.
+
+    One fold: the sum of closed scales, the group that is open, and the digits after a point.
+    """
+    state = "struct<total:long,group:long,said:boolean,ok:boolean,digits:string>"
+    opened = F.struct(F.lit(0), F.lit(0), F.lit(False), F.lit(True), F.lit(None)).cast(state)
+
+    def step(acc: Column, w: Column) -> Column:
+        kind, value = w["kind"], w["value"]
+        after_point = acc["digits"].isNotNull()
+        one = F.when(acc["group"] == 0, F.lit(1)).otherwise(acc["group"])
+        group = F.when(kind.isin(UNIT, TEN), acc["group"] + value).when(kind == HUNDRED, one * 100).when(kind == SCALE, 0).otherwise(acc["group"])
+        fits = F.when(after_point, (kind == UNIT) & (value < 10)).otherwise((kind <= SCALE) | ((kind == POINT) & acc["said"]))
+        digits = F.when(after_point, F.concat(acc["digits"], value.cast("string"))).when(kind == POINT, F.lit(""))
+        return F.struct(
+            F.when(~after_point & (kind == SCALE), acc["total"] + one * value).otherwise(acc["total"]), F.when(after_point, acc["group"]).otherwise(group), F.lit(True), acc["ok"] & fits, digits
+        ).cast(state)
+
+    def finish(acc: Column) -> Column:
+        whole = acc["total"] + acc["group"]
+        broken = F.concat(whole.cast("string"), F.lit("."), acc["digits"]).cast("double")
+        return F.when(acc["ok"] & acc["said"] & ~F.coalesce(acc["digits"] == "", F.lit(False)), F.coalesce(broken, whole.cast("double")))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([sorted(numbers_in(t)) for t in texts], dtype="object")
+    return F.aggregate(kinds, opened, step, finish)
 
-    spoken = F.coalesce(text, F.lit("")).rlike(SPOKEN)
-    return F.when(spoken, extract(F.when(spoken, text))).otherwise(F.array_sort(digits(text)))
+
+def spoken(text: Column) -> Column:
+    """The numbers that runs of one to five words say, in order of their runs.
+
+    Runs are tried where a number word stands; a run that begins with anything else says none, or what a shorter one says.
+    """
+    low = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
+    parts = F.transform(F.split(low, " "), lambda w: F.filter(F.split(F.regexp_replace(w, r"^[.,;:()]+|[.,;:()]+$", ""), "-"), lambda p: (p != "") & (p != "and")))
+    # Bound once, as lambdas would compute them again for each run.
+    bound = F.array(F.transform(parts, lambda ps: F.transform(ps, _kind)))
+
+    def found(kinds: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(kinds) - 1), lambda i: F.get(F.get(kinds, i), F.lit(0))["kind"] <= SCALE)
+        run = lambda i, n: said_number(F.flatten(F.slice(kinds, i + 1, n)))
+        runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(kinds) - i)), lambda n: run(i, n))))
+        return F.filter(runs, lambda x: x.isNotNull())
+
+    return F.transform(bound, found)[0]
+
+
+def numbers(text: Column) -> Column:
+    """All numbers of a text, in digits and in words, as a sorted array. Only texts with a number word are read for spoken ones."""
+    some = F.coalesce(text, F.lit("")).rlike(SPOKEN)
+    return F.array_sort(F.when(some, F.array_distinct(F.concat(digits(text), spoken(text)))).otherwise(digits(text)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -105,9 +123,33 @@ def gated(a: Column, b: Column, similarity: Column) -> Column:
     return F.when(missing(a) | missing(b), 0.0).otherwise(similarity)
 
 
-def words(text: Column) -> Column:
-    """Lower-cased alphabetic words of the first 1000 characters."""
-    return F.filter(F.split(F.lower(cap(strip(text), 1000)), r"[^\p{L}]+"), lambda w: w != "")
+def words(text: Column, chars: int | None = None) -> Column:
+    """Lower-cased alphabetic words of the text, or of its first characters."""
+    body = strip(text) if chars is None else cap(strip(text), chars)
+    return F.filter(F.split(F.lower(body), r"[^\p{L}]+"), lambda w: w != "")
+
+
+def word_cosine(a: Column, b: Column) -> Column:
+    """Similarity without a model: the cosine of two texts' word counts.
+
+    One fold over the words of both in order: each run of equal words adds to the product and to the two lengths.
+    """
+    side = lambda text, k: F.transform(words(text), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    state = "struct<w:string,x:double,y:double,xy:double,xx:double,yy:double>"
+    opened = F.struct(F.lit(None), *[F.lit(0.0)] * 5).cast(state)
+
+    def step(acc: Column, t: Column) -> Column:
+        one, two = (t["k"] == 0).cast("double"), (t["k"] == 1).cast("double")
+        same = acc["w"] == t["w"]
+        more = F.struct(acc["w"], acc["x"] + one, acc["y"] + two, acc["xy"], acc["xx"], acc["yy"])
+        new = F.struct(t["w"], one, two, acc["xy"] + acc["x"] * acc["y"], acc["xx"] + acc["x"] * acc["x"], acc["yy"] + acc["y"] * acc["y"])
+        return F.when(same, more.cast(state)).otherwise(new.cast(state))
+
+    def finish(acc: Column) -> Column:
+        size = F.sqrt(acc["xx"] + acc["x"] * acc["x"]) * F.sqrt(acc["yy"] + acc["y"] * acc["y"])
+        return F.when(size > 0, (acc["xy"] + acc["x"] * acc["y"]) / size).otherwise(0.0)
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), opened, step, finish)
 
 
 def bigrams(tokens: Column) -> Column:
@@ -141,7 +183,7 @@ def best_match(a: Column, b: Column) -> Column:
 
 def text_score(a: Column, b: Column) -> Column:
     """The text score with the offline analyser: every word that is no empty verb stands for a noun, none for a verb."""
-    left, right = words(a), words(b)
+    left, right = words(a, SCORED_CHARS), words(b, SCORED_CHARS)
     content = lambda x: F.array_except(x, F.array(*[F.lit(v) for v in EMPTY_VERBS]))
     return gated(a, b, combined_text_score(best_match(content(left), content(right)), F.lit(0.0), word_order_overlap(left, right)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import WEIGHTS, composite, cosine, gated, number_similarity, text_score, words
+from ..functions.scores import WEIGHTS, composite, gated, numbers, set_similarity, text_score, word_cosine
 from ..functions.submission import article_id
 from ..functions.text import mentions_age, missing_wide
 from ..operators.selection import worst_k
@@ -15,20 +15,6 @@ SEMANTIC = ("conditions", "study_type")
 BUDGET, FULL_SHARE = 20_000, 0.5
 
 
-def word_cosine(a: Column, b: Column) -> Column:
-    """Similarity without a model: cosine of word counts over the words of both texts."""
-    # The lists are made once a row and bound by transform; words are counted in them by their sorted runs.
-    both = F.array(F.struct(F.array_sort(words(a)).alias("a"), F.array_sort(words(b)).alias("b")))
-
-    def counted(pair: Column) -> Column:
-        vocabulary = F.array_union(pair["a"], pair["b"])
-        n = lambda side, w: F.size(F.filter(side, lambda x: x == w)).cast("double")
-        rows = F.transform(vocabulary, lambda w: F.struct(n(pair["a"], w).alias("x"), n(pair["b"], w).alias("y")))
-        return cosine(F.transform(rows, lambda r: r["x"]), F.transform(rows, lambda r: r["y"]))
-
-    return F.transform(both, counted)[0]
-
-
 def paired(predictions: DataFrame, gold: DataFrame, key: str = "pmcids") -> DataFrame:
     """Inner join; all other columns get _pred and _gold. Repeated keys give every pair."""
     rename = lambda df, suffix: df.select(key, *[F.col(c).alias(f"{c}{suffix}") for c in df.columns if c != key])
@@ -38,11 +24,13 @@ def paired(predictions: DataFrame, gold: DataFrame, key: str = "pmcids") -> Data
 def scores(pairs: DataFrame, fast: bool = False) -> DataFrame:
     """``pairs`` with a score for each field and ``overall``. ``fast`` takes similarity for eligibility too, and no gate."""
     side = lambda f: (F.col(f"{f}_pred"), F.col(f"{f}_gold"))
-    found = {f: number_similarity(*side(f)) for f in NUMERIC}
+    # The numbers of all sides in one column: what reads them is one expression.
+    pairs = pairs.withColumn("_numbers", F.transform(F.array(*[c for f in NUMERIC for c in side(f)]), numbers))
+    found = {f: set_similarity(F.col("_numbers")[2 * k], F.col("_numbers")[2 * k + 1]) for k, f in enumerate(NUMERIC)}
     for f in SEMANTIC:
         found[f] = word_cosine(*side(f)) if fast else gated(*side(f), word_cosine(*side(f)))
     found["eligibility_criteria"] = word_cosine(*side("eligibility_criteria")) if fast else text_score(*side("eligibility_criteria"))
-    out = pairs.withColumns({f"score_{f}": c for f, c in found.items()})
+    out = pairs.withColumns({f"score_{f}": c for f, c in found.items()}).drop("_numbers")
     return out.withColumn("score_overall", composite({f: F.col(f"score_{f}") for f in WEIGHTS}))
 
 
@@ -64,11 +52,15 @@ def comparable(system: DataFrame, key: str = "pmcids") -> DataFrame:
 
 
 def compared(old: DataFrame, new: DataFrame, key: str = "pmcids", fields: tuple[str, ...] = (*WEIGHTS, "overall")) -> DataFrame:
-    """Score differences of two scored systems on the keys of both, the greatest gain in the last field first."""
+    """Score differences of two scored systems on the keys of both; ``by_gain`` puts them in order."""
     left = old.select(key, *[F.col(f"score_{f}").alias(f"old_{f}") for f in fields])
     right = new.select(key, *[F.col(f"score_{f}").alias(f"new_{f}") for f in fields])
-    deltas = left.join(right, key).select(key, *[(F.col(f"new_{f}") - F.col(f"old_{f}")).alias(f"delta_{f}") for f in fields])
-    return deltas.orderBy(F.desc(f"delta_{fields[-1]}"), key)
+    return left.join(right, key).select(key, *[(F.col(f"new_{f}") - F.col(f"old_{f}")).alias(f"delta_{f}") for f in fields])
+
+
+def by_gain(deltas: DataFrame, key: str = "pmcids", column: str = "delta_overall") -> DataFrame:
+    """The greatest gain first."""
+    return deltas.orderBy(F.desc(column), key)
 
 
 def verdicts(deltas: DataFrame, column: str = "delta_overall") -> DataFrame:

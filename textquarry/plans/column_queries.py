@@ -14,7 +14,7 @@ from ..operators import generators as gen
 from ..operators import relations as rel
 from ..sources import tables
 from . import analysis, labelling, local, models, retrieval, routing
-from .queries import ANNOTATED, BLOCKS, PATHS, RESOLVED, ROUTED, UNIFIED, WORDS, annotated, hashed, key_of, query, read, routed_blocks, scored_blocks, system
+from .queries import ALL_WORDS, ANNOTATED, BLOCKS, PATHS, RESOLVED, ROUTED, UNIFIED, annotated, hashed, key_of, query, read, routed_blocks, scored_blocks, system
 
 PATH_SQL = "CASE {0} % 8 " + " ".join("WHEN {} THEN '{}'".format(k, " > ".join(p).replace("'", "''")) for k, p in enumerate(PATHS)) + " END"
 
@@ -277,20 +277,18 @@ def ranker_examples(spark, sf_dir):
     return found.select("doc_id", "query", F.md5("positive").alias("positive"), F.md5(F.array_join("negatives", "|")).alias("negatives"))
 
 
-@query("SELECT doc_id, lang, NULL::INT AS quality FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, quality FROM labels WHERE doc_id % 2 = 1")
+@query("SELECT doc_id, lang, NULL::INT AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
 def resumed_union(spark, sf_dir):
-    old = read(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", "lang")
-    new = read(spark, sf_dir, "labels").filter("doc_id % 2 = 1").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    old = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    new = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     return rel.resumed(old, new)
 
 
-@query(
-    """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n AS old_chars, b.n AS new_chars FROM (SELECT doc_id, length(left(text, 500))::INT AS n FROM documents WHERE doc_id % 3 <> 0) a
-    FULL JOIN (SELECT doc_id, length(left(text, 300))::INT AS n FROM documents WHERE doc_id % 3 <> 1) b ON a.doc_id = b.doc_id"""
-)
+@query("SELECT coalesce(doc_id, page_id) AS doc_id, length(text)::INT AS old_chars, length(html)::INT AS new_chars FROM documents FULL JOIN pages ON page_id = doc_id")
 def context_sizes(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return analysis.context_lengths(docs.filter("doc_id % 3 <> 0").select("doc_id", F.left("text", F.lit(500)).alias("context")), docs.filter("doc_id % 3 <> 1").select("doc_id", F.left("text", F.lit(300)).alias("context")))
+    old = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context"))
+    new = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("context"))
+    return analysis.context_lengths(old, new)
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, (length(any_value(lang)) + coalesce(length(any_value(source)), 0) + sum(char_count))::BIGINT AS article_chars FROM scored JOIN documents USING (doc_id) GROUP BY doc_id")
@@ -310,14 +308,14 @@ COSINE = """
 
 @query(
     f"""WITH turns AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN ' nan' ELSE text END AS text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-    w AS (SELECT conv_id, turn, text, {WORDS.format("before")} AS a, {WORDS.format("trim(text)")} AS b FROM turns WHERE before IS NOT NULL)
+    w AS (SELECT conv_id, turn, text, {ALL_WORDS.format("before")} AS a, {ALL_WORDS.format("trim(text)")} AS b FROM turns WHERE before IS NOT NULL)
     SELECT conv_id, turn, round(CASE WHEN turn % 5 = 4 OR len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE d / (sqrt(m) * sqrt(n)) END, 9) AS score FROM w, LATERAL {COSINE}"""
 )
 def semantic_similarity(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
     a, b = F.col("before"), F.when(F.col("turn") % 5 == 4, " nan").otherwise(F.col("text"))
-    return turns.select("conv_id", "turn", F.round(sc.gated(a, b, analysis.word_cosine(a, b)), 9).alias("score"))
+    return turns.select("conv_id", "turn", F.round(sc.gated(a, b, sc.word_cosine(a, b)), 9).alias("score"))
 
 
 @query(

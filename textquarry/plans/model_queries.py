@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import EMPTY_VERBS
 from ..operators.generators import token_windows
 from ..operators.relations import shared_path
-from . import answers, calls, entities, tagging, taxonomy
+from . import answers, artifacts, calls, classifier, entities, sections, tagging, taxonomy, training
 from .queries import hashed, hashed_sql, key_of, query, read
 
 # A taxonomy of the documents' words: a word is under its first letters and under its last ones, these under fewer.
@@ -293,3 +293,78 @@ def call_runs(spark, sf_dir):
     calls.run(requests, store, Flaky, wait=lambda seconds: None)
     found = calls.answered(requests, store)
     return found.select("doc_id", "attempts", "reply", "error", "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query(
+    """WITH x AS (SELECT label, vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m FROM embeddings),
+    means AS (SELECT label, d, sum(v::DOUBLE * m) / greatest(sum(m), 1e-9) AS mean FROM x GROUP BY label, d)
+    SELECT label, count(*)::INT AS dims, round(sqrt(sum(mean * mean)), 6) AS length, round(sum(mean * d), 5) AS weighed FROM means GROUP BY label"""
+)
+def pooled_vectors(spark, sf_dir):
+    """Each label's vectors as token vectors of one text, every third one masked."""
+    rows = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    mask = F.transform("x", lambda t: F.when(t["vec_id"] % 3 == 0, 0).otherwise(1))
+    found = rows.select("label", sections.pooled(F.transform("x", lambda t: t["embedding"]), mask).alias("v"))
+    total = lambda f: F.aggregate(F.transform("v", f), F.lit(0.0), lambda s, x: s + x)
+    length, weighed = F.sqrt(total(lambda x: x * x)), total(lambda x, k: x * (k + 1))
+    return found.select("label", F.size("v").alias("dims"), F.round(length, 6).alias("length"), F.round(weighed, 5).alias("weighed"))
+
+
+def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the documents as sections, titled by their first words, every fourth one untitled."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\n+")).alias("section_index", "text"))
+    title = F.when(F.col("section_index") % 4 == 3, "").otherwise(F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
+    return docs.select("doc_id", "section_index", title.alias("title"), "text", F.split("text", r"\. ").alias("paragraphs"))
+
+
+@query()
+def section_views(spark, sf_dir):
+    """Every section's scores by title, opening, body and best paragraph, through the offline encoder, and its rank."""
+    scored = sections.view_scores(section_rows(spark, sf_dir), "who may take part in the study")
+    ranked = sections.ranked_sections(scored)
+    return ranked.select("doc_id", "section_index", "rank", *[F.round(c, 9).alias(c) for c in ("title_score", "opening_score", "body_score", "paragraph_score")])
+
+
+@query(
+    r"""WITH gold AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'nan' ELSE 'asthma, gout' END AS conditions, CASE WHEN quality = 1 THEN 'observational' END AS study_type, CASE WHEN toxic = 1 THEN 'Not Specified' ELSE 'all' END AS sex,
+      '18 Years' AS minimum_age, CASE WHEN quality = 1 THEN '65 Years' ELSE '' END AS maximum_age, CASE WHEN quality = 1 THEN 'adults' ELSE 'NAN' END AS eligibility_criteria FROM labels),
+    rows AS (SELECT g.*, coalesce(d.text, '') AS abstract FROM gold g JOIN documents d USING (doc_id)),
+    told AS (SELECT doc_id, lower(abstract) AS low, unnest([minimum_age, maximum_age]) AS gold FROM rows WHERE trim(abstract) <> ''),
+    asked AS (SELECT doc_id, low, regexp_extract(gold, '\d+') AS number FROM told WHERE lower(trim(gold)) NOT IN ('', 'nan', 'not specified')),
+    pieces AS (SELECT *, row_number() OVER () AS r, regexp_split_to_array(low, '\b' || number || '\b') AS p FROM asked),
+    hits AS (SELECT r, low, number, unnest(range(1, len(p))) AS k, p FROM pieces),
+    placed AS (SELECT r, low, number, list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(number) AS at0 FROM hits),
+    near AS (SELECT DISTINCT r FROM placed WHERE regexp_matches(low[greatest(at0 - 29, 1)::INT:(at0 + length(number) + 30)::INT], 'year|yr|age|old'))
+    SELECT 'ages' AS name, count(*) AS n FROM near UNION ALL SELECT 'study_type', count(*) FROM rows WHERE study_type IS NOT NULL UNION ALL SELECT 'sex', count(*) FROM rows WHERE sex = 'all'
+    UNION ALL SELECT 'conditions', count(*) FROM rows WHERE conditions <> 'nan' UNION ALL SELECT 'generator', count(*) FROM rows WHERE eligibility_criteria = 'adults' AND trim(abstract) <> ''"""
+)
+def training_counts(spark, sf_dir):
+    """The rows of the trainings' tables that need no model; answers stand in from the labels."""
+    labels, none = read(spark, sf_dir, "labels"), F.lit(None).cast("string")
+    good = F.col("quality") == 1
+    gold = labels.select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, "nan").otherwise("asthma, gout").alias("conditions"), F.when(good, "observational").alias("study_type"),
+        F.when(F.col("toxic") == 1, "Not Specified").otherwise("all").alias("sex"), F.lit("18 Years").alias("minimum_age"), F.when(good, "65 Years").otherwise("").alias("maximum_age"),
+        F.when(good, "adults").otherwise("NAN").alias("eligibility_criteria"),
+    )
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("title"), F.col("text").alias("abstract"))
+    names = labels.select("doc_id", F.array(F.lit("asthma")).alias("candidates"))
+    rows = training.joined(docs, gold, docs.select("doc_id", none.alias("candidate_text")))
+    found = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k, t in training.tables(rows, names).items()]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+@query()
+def text_classes(spark, sf_dir):
+    """A classifier of quality, trained on all labelled documents, over all documents; kept and loaded as an artifact."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id")
+    store = shared_path(spark)
+    found = classifier.fit(rows, "text", "label", "quality", bits=14, rounds=15)
+    if found is not None:
+        artifacts.keep(spark, found, store)
+        found = artifacts.load(spark, store, "quality")
+    return classifier.predicted(docs, "text", found).select("doc_id", "label", F.round("probability", 6).alias("probability"))

@@ -1,7 +1,8 @@
 """Models behind protocols, each with a deterministic offline default that needs no weights.
 
-A model is loaded once for each worker process, inside an iterator UDF. Anything with the right method can take the
-place of a default: an encoder, a block classifier, an extractor of replies.
+Anything with the right method can take the place of a default: an encoder, a block classifier, an extractor of replies. A
+model may be given as it is, and goes to each task with its code, or as ``Lazy``, a key and a factory: then each worker
+process makes it once, however many tasks it runs.
 """
 
 from __future__ import annotations
@@ -31,6 +32,25 @@ class Extractor(Protocol):
     def reply(self, field: str, context: str) -> str: ...
 
 
+class Lazy:
+    """A model that each worker process makes once for ``key``, by calling ``factory``."""
+
+    _made: dict = {}
+
+    def __init__(self, key: str, factory: Callable[[], object]):
+        self.key, self.factory = key, factory
+
+    def get(self):
+        if self.key not in Lazy._made:
+            Lazy._made[self.key] = self.factory()
+        return Lazy._made[self.key]
+
+
+def given(model):
+    """The model itself, where it may be one that is made in the worker."""
+    return model.get() if hasattr(model, "get") else model
+
+
 class HashingEncoder:
     """Unit vectors of hashed words and word pairs."""
 
@@ -83,8 +103,9 @@ class SilentExtractor:
 def encode(df: DataFrame, text: str, out: str, encoder: Encoder) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = given(encoder)
         for texts in batches:
-            yield pd.Series(list(encoder.encode(texts.fillna("").tolist()).astype(np.float32)), dtype="object")
+            yield pd.Series(list(own.encode(texts.fillna("").tolist()).astype(np.float32)), dtype="object")
 
     return df.withColumn(out, vectors(F.col(text)))
 
@@ -92,8 +113,9 @@ def encode(df: DataFrame, text: str, out: str, encoder: Encoder) -> DataFrame:
 def classify(df: DataFrame, text: str, out: str, classifier: Classifier) -> DataFrame:
     @F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
     def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = given(classifier)
         for texts in batches:
-            yield pd.Series(classifier.probabilities(texts.fillna("").tolist()), dtype="object")
+            yield pd.Series(own.probabilities(texts.fillna("").tolist()), dtype="object")
 
     return df.withColumn(out, probabilities(F.col(text)))
 
@@ -103,13 +125,14 @@ def extract(df: DataFrame, field: str, context: str, extractor: Extractor, attem
 
     @F.pandas_udf(T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
     def called(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own = given(extractor)
         for fields, contexts in batches:
             rows = []
             for f, c in zip(fields, contexts, strict=True):
                 row = (None, "no attempt")
                 for n in range(1, attempts + 1):
                     try:
-                        row = (extractor.reply(f, c), None)
+                        row = (own.reply(f, c), None)
                         break
                     except Exception as e:  # a model's or connection's failure of any kind
                         row = (None, f"{type(e).__name__}: {e}")

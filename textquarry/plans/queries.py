@@ -426,9 +426,10 @@ def number_similarity(spark, sf_dir):
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = read(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(w)).filter("before IS NOT NULL")
-    return turns.select("conv_id", "turn", sc.words(F.col("before")).alias("a"), sc.words(F.col("text")).alias("b"))
+    return turns.select("conv_id", "turn", sc.words(F.col("before"), sc.SCORED_CHARS).alias("a"), sc.words(F.col("text"), sc.SCORED_CHARS).alias("b"))
 
 
+ALL_WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}]+'), lambda x: x <> '')"
 WORDS = r"list_filter(string_split_regex(lower(left({}, 1000)), '[^\p{{L}}]+'), lambda x: x <> '')"
 OVERLAP = f"""
 turns AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
