@@ -37,14 +37,19 @@ def _named(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def _first_names(texts: DataFrame, occurrences: DataFrame, size: int) -> DataFrame:
-    """(uid, i, name) of every block. ``occurrences`` holds each block's hash, ``texts`` the blocks themselves."""
+def _first_names(texts: DataFrame, occurrences: DataFrame, size: int, stable: bool) -> DataFrame | None:
+    """(uid, i, name) of every block. ``occurrences`` holds each block's hash, ``texts`` the blocks themselves.
+
+    None where different blocks share a hash and another scan of ``texts`` could number the rows otherwise.
+    """
     blocks = texts.select(F.explode(_blocks(F.col("norm"), size)).alias("block")).withColumn("h", F.xxhash64("block"))
     distinct = blocks.groupBy("h", "block").agg(F.lit(1).alias("one"))
     names = written(_named(distinct, "h", "block").select("h", "name"))
     shared = names.groupBy("h").count().filter("count > 1")
     if shared.isEmpty():
         return occurrences.join(names, "h").select("uid", "i", "name")
+    if not stable:
+        return None
     # Different blocks with one hash: the blocks themselves are the key.
     names = written(_named(distinct, "h", "block").select("h", "block", "name"))
     cut = texts.select("uid", F.posexplode(_blocks(F.col("norm"), size)).alias("i", "block")).withColumn("h", F.xxhash64("block"))
@@ -54,7 +59,7 @@ def _first_names(texts: DataFrame, occurrences: DataFrame, size: int) -> DataFra
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS, uid_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, text_sha256, level, name; equal (level, name) means equal texts.
 
-    The uid is that of ``uid_col``, where the rows bring one; else rows are numbered as they are read.
+    The uid is that of ``uid_col``, where the rows of a written table bring one; else rows are numbered as they are read.
     """
     uid = F.monotonically_increasing_id() if uid_col is None else F.col(uid_col)
     keyed = docs.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
@@ -64,7 +69,10 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     )
     occurrences = base.select("uid", F.posexplode("hashes").alias("i", "h"))
-    state = _first_names(keyed, occurrences, size)
+    state = _first_names(keyed, occurrences, size, uid_col is not None)
+    if state is None:
+        numbered = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("uid")))
+        return identities(numbered, "doc_id", "text", size, "uid")
     left = base.select(F.max(F.size("hashes"))).first()[0] or 0
     level = 0
     # Names of one level are unique in that level only, so the level is part of the identity.
