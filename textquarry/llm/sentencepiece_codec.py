@@ -52,8 +52,11 @@ LATTICE_CHARS = 40
 SCANNED_CHARS = 64
 #: Pieces in a table that may be broadcast.
 MOST_PIECES = 1 << 19
-#: Words beyond the dictionary, and stretches between spaces, that a worker remembers; and the longest of these.
-REMEMBERED = 400_000
+#: Distinct words and stretches that a worker counts before it hands them on.
+COUNTED = 200_000
+#: Bytes of words beyond the dictionary, and of each half of the stretches between spaces, that a worker remembers, with what an
+#: entry takes besides its text and ids; and the longest of these.
+REMEMBERED_BYTES, ENTRY_BYTES = 40 << 20, 220
 LONGEST_REMEMBERED = 100
 #: Characters of a text after which a worker hands on what it has counted.
 LONG_TEXT = 1 << 20
@@ -281,7 +284,7 @@ def word_counts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                     stretches.update(text.split(" "))
                 else:
                     words.update(cut(model.prefix + text))
-                if len(stretches) + len(words) > REMEMBERED or len(text) > LONG_TEXT:
+                if len(stretches) + len(words) > COUNTED or len(text) > LONG_TEXT:
                     yield counted()
         yield counted()
 
@@ -417,6 +420,7 @@ class Codec:
         self.extra: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.extra_bytes = self.memo_bytes = 0
         self.strange = False
 
     @classmethod
@@ -445,9 +449,11 @@ class Codec:
             if not self.whole(word, found):
                 self.strange = True
             elif len(word) <= LATTICE_CHARS:
-                if len(self.extra) >= REMEMBERED:
+                if self.extra_bytes >= REMEMBERED_BYTES:
                     self.extra.clear()
+                    self.extra_bytes = 0
                 self.extra[word] = found
+                self.extra_bytes += ENTRY_BYTES + len(word) + len(found)
         return found
 
     def stretch(self, stretch: str) -> bytes:
@@ -467,15 +473,16 @@ class Codec:
                 return found
         if len(stretch) <= LONGEST_REMEMBERED:
             self.memo[stretch] = found
+            self.memo_bytes += ENTRY_BYTES + len(stretch) + len(found)
         return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, bool]:
         """A text's ids, and whether decoding them gives it back."""
         if not text:
             return np.zeros(0, "<i4"), True
-        if len(self.memo) >= REMEMBERED // 2:
+        if self.memo_bytes >= REMEMBERED_BYTES:
             # What comes again moves back from the older half; the rest is forgotten with it.
-            self.older, self.memo = self.memo, {}
+            self.older, self.memo, self.memo_bytes = self.memo, {}, 0
         self.strange = False
         if spaced(text, self.model):
             known, met, other = self.led.get, self.memo.get, self.stretch
