@@ -1,10 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry import cli
 from textquarry.functions import replies
+from textquarry.operators import generators
 from textquarry.operators import relations as rel
-from textquarry.plans import local
+from textquarry.plans import local, viewers
 
 from .test_sources import ARTICLE
 
@@ -63,3 +66,50 @@ def test_cli(spark, tmp_path):
     spark.createDataFrame([(1, "en", "s")], "doc_id long, lang string, source string").write.parquet(str(tmp_path / "t" / "documents.parquet"))
     cli.main(["query", "pair_counts", "--tables", str(tmp_path / "t"), "--output", str(tmp_path / "rows")], spark)
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 1
+
+
+def test_cli_options(spark, tmp_path, capsys):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(5):
+        (folder / f"PMC{k}.nxml").write_text(f"<article><article-title>T{k}</article-title><abstract>short abstract</abstract><body><sec><title>Methods</title><p>text of {k} that goes on</p><p>more</p></sec></body></article>")
+    base = ["--nxml-dir", str(folder), "--output", str(tmp_path / "out")]
+    cli.main(["articles", *base, "--ids", "1", "PMC3", "--format", "csv"], spark)
+    cli.main(["articles", *base, "--format", "csv", "--resume"], spark)
+    found = spark.read.option("header", True).csv(str(tmp_path / "out" / "documents"))
+    assert sorted(r["doc_id"] for r in found.collect()) == [f"PMC{k}" for k in range(5)]
+    cli.main(["view", *base, "--limit", "2", "--max-chars", "8"], spark)
+    views = [r["view"] for r in spark.read.parquet(str(tmp_path / "out" / "views")).collect()]
+    assert len(views) == 2 and all("[00] Methods\ntext of " in v and "\n... [truncated]" in v and "Abstract\nshort ab\n... [truncated]" in v for v in views)
+    cli.main(["queries", "--with-sql"])
+    assert "pair_counts" in capsys.readouterr().out.split()
+    with pytest.raises(SystemExit, match="no query"):
+        cli.main(["query", "nothing", "--tables", "x", "--output", "y"], spark)
+
+
+def test_views(spark):
+    pairs = spark.createDataFrame([("1", "abcdef", "x", 0.25)], "pmcids string, sex_pred string, sex_gold string, score_sex double")
+    assert viewers.predictions(pairs, 3).first()["view"].endswith("sex  0.2500\n  predicted: abc\n... [truncated]\n  gold:      x")
+    rows = spark.createDataFrame([(1, "f", "p" * 9), (2, "f", None)], "doc_id int, field string, prompt string")
+    got = {r["doc_id"]: (r["chars"], r["view"].split("\n")[-1]) for r in viewers.prompts(rows, 20).collect()}
+    assert got == {1: (9, "p" * 9), 2: (0, "")}
+
+
+def test_many_prototypes_meet_vectors_in_blocks(spark, monkeypatch):
+    rng = random.Random(1)
+    draw = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    vectors, protos = [draw() for _ in range(50)], [draw() for _ in range(23)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)] + [(99, None)], "k int, embedding array<double>")
+    queries = spark.createDataFrame([(p,) for p in protos] + [(None,)], "embedding array<double>")
+    want = {k: max(sum(a * b for a, b in zip(v, p, strict=True)) for p in protos) for k, v in enumerate(vectors)} | {99: None}
+    for packed in (1000, 5):
+        monkeypatch.setattr(generators, "PACKED", packed)
+        got = {r["k"]: r["similarity"] for r in generators.prototype_similarity(df, queries).collect()}
+        assert got[99] is None and {k: x for k, x in got.items() if k != 99} == pytest.approx({k: x for k, x in want.items() if k != 99})
+    assert {r["similarity"] for r in generators.prototype_similarity(df, queries.limit(0)).collect()} == {None}
+
+
+def test_rows_without_a_group_are_one_group(spark):
+    df = spark.createDataFrame([(k, None if k % 10 == 0 else f"g{k % 7}") for k in range(70)], "k int, g string")
+    got = rel.group_split(df, "g").collect()
+    assert len(got) == 70 and len({r["split"] for r in got if r["g"] is None}) == 1

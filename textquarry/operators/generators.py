@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import dot
 from ..functions.text import clean_ascii, near_age_word
+from .relations import checkpointed
 
 
 def line_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,12 +32,27 @@ def window_span(start: Column, stop: Column, window_start: Column, window: Colum
     return F.when(inside, start - window_start).otherwise(0), F.when(inside, stop - window_start).otherwise(0)
 
 
+#: Prototypes that are packed into one row, and with it into every task.
+PACKED = 1_000
+
+
 def prototype_similarity(vectors: DataFrame, prototypes: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``vectors`` with the greatest similarity to any of a few prototype vectors (a handful of queries, broadcast as one row)."""
-    packed = prototypes.agg(F.collect_list(F.col(vector).cast("array<double>")).alias("_prototypes"))
-    joined = vectors.join(F.broadcast(packed))
-    similarity = F.array_max(F.transform("_prototypes", lambda p: dot(F.col(vector), p)))
-    return joined.withColumn("similarity", similarity).drop("_prototypes")
+    """``vectors`` with the greatest similarity to any prototype vector; null without one.
+
+    Prototypes are a stated query set: up to ``PACKED`` of them, counted first, go to every task as one row; more of them meet
+    the vectors in blocks of that size, and the greatest of each block's similarities counts.
+    """
+    known = prototypes.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("_p"))
+    best = lambda found: F.array_max(F.transform(found, lambda p: dot(F.col(vector), p)))
+    if known.limit(PACKED + 1).count() <= PACKED:
+        packed = known.agg(F.collect_list("_p").alias("_prototypes"))
+        return vectors.join(F.broadcast(packed)).withColumn("similarity", best("_prototypes")).drop("_prototypes")
+    blocks = -(-known.count() // PACKED)
+    packed = known.groupBy(F.pmod(F.xxhash64("_p"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list("_p").alias("_prototypes"))
+    rows = checkpointed(vectors.withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.select("_row", vector).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("_block", F.pmod("_row", F.lit(blocks)))
+    found = each.join(checkpointed(packed), "_block").groupBy("_row").agg(F.max(best("_prototypes")).alias("similarity"))
+    return rows.join(found, "_row", "left").drop("_row")
 
 
 def age_spans(df: DataFrame, text: str, number: str) -> DataFrame:

@@ -70,9 +70,11 @@ def label_grid(df: DataFrame, a: str, b: str, labels: tuple[str, ...]) -> DataFr
 def group_split(df: DataFrame, group: str, seed: int = 42, train: float = 0.8, validation: float = 0.5) -> DataFrame:
     """``df`` with ``split``: whole groups go to train, validation or test by exact quotas of groups.
 
-    Groups are ordered by a seeded hash. Ranks come from counts of hash buckets, so no task sees all groups.
+    Groups are ordered by a seeded hash. Ranks come from counts of hash buckets, so no task sees all groups. Rows without a
+    group are a group of their own.
     """
-    groups = df.select(group).filter(F.col(group).isNotNull()).distinct().withColumn("_h", F.md5(F.concat(F.col(group).cast("string"), F.lit(f":{seed}"))))
+    name = F.coalesce(F.col(group).cast("string"), F.lit("\0"))
+    groups = df.select(group).distinct().withColumn("_h", F.md5(F.concat(name, F.lit(f":{seed}"))))
     groups = groups.withColumn("_bucket", F.substring("_h", 1, 3))
     sizes = groups.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     shifts = sizes.select(
@@ -84,8 +86,8 @@ def group_split(df: DataFrame, group: str, seed: int = 42, train: float = 0.8, v
     n_train = F.floor(F.lit(train) * F.col("_all"))
     n_validation = F.floor(F.lit(validation) * (F.col("_all") - n_train))
     split = F.when(rank <= n_train, "train").when(rank <= n_train + n_validation, "validation").otherwise("test")
-    dealt = groups.join(F.broadcast(shifts), "_bucket").select(group, split.alias("split"))
-    return df.join(dealt, group)
+    dealt = groups.join(F.broadcast(shifts), "_bucket").select(F.col(group).alias("_group"), split.alias("split"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def split_summary(df: DataFrame, group: str, sums: tuple[str, ...]) -> DataFrame:
@@ -134,7 +136,7 @@ def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     ranged = ranged.withColumns({"_range": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))  # a row a range
-    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_rank") + F.col("_shift") + 1).cast("int")).drop("_id", "_range", "_rank", "_shift")
+    return ranged.join(F.broadcast(sizes), "_range").withColumn(name, (F.col("_rank") + F.col("_shift") + 1).cast("long")).drop("_id", "_range", "_rank", "_shift")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

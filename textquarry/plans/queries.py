@@ -580,7 +580,7 @@ def criteria_format(spark, sf_dir):
 
 @query(
     r"""WITH t AS (SELECT page_id, CASE WHEN regexp_matches(url, '\d') THEN regexp_extract(trim(url), '(?i)(?:PMC)?(\d+)', 1) ELSE trim(url) END AS article FROM pages)
-    SELECT page_id, article, row_number() OVER (ORDER BY TRY_CAST(article AS DECIMAL(38, 0)) NULLS LAST, article, page_id)::INT AS place FROM t"""
+    SELECT page_id, article, row_number() OVER (ORDER BY TRY_CAST(article AS DECIMAL(38, 0)) NULLS LAST, article, page_id) AS place FROM t"""
 )
 def article_order(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select("page_id", article_id(F.col("url")).alias("article"))

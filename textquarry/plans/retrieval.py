@@ -67,19 +67,30 @@ def unified_documents(docs: DataFrame, chosen: DataFrame, stats: DataFrame) -> D
     return docs.join(stats, "doc_id", "left").join(rows, "doc_id", "left").withColumn("warning", warning)
 
 
-def field_candidates(scored: DataFrame, field: str) -> DataFrame:
-    """The field's best blocks: similarity times the section's factor, ranked after that."""
-    factor = prior(normal_path(F.col("section_path")), field)
-    rows = scored.withColumns({"field": F.lit(field), "metadata_multiplier": factor}).withColumn("final_score", F.col("similarity") * F.col("metadata_multiplier"))
-    return top_k(rows, ["doc_id"], "final_score", "block_index", TOP_K[field])
+def field_candidates(scored: DataFrame) -> DataFrame:
+    """Each field's best blocks of rows with ``field`` and ``similarity``: similarity times the section's factor, ranked after that."""
+    path = normal_path(F.col("section_path"))
+    factor = F.lit(None).cast("double")
+    for field in RAISED:
+        factor = F.when(F.col("field") == field, prior(path, field)).otherwise(factor)
+    rows = scored.withColumn("metadata_multiplier", factor).withColumn("final_score", F.col("similarity") * F.col("metadata_multiplier"))
+    # The greatest of the fields' numbers prunes before the shuffle, each field's own after it.
+    return top_k(rows, ["doc_id", "field"], "final_score", "block_index", max(TOP_K.values())).filter(F.col("rank") <= by_field(TOP_K, F.col("field")))
+
+
+def field_similarities(blocks: DataFrame, prototypes: dict[str, DataFrame]) -> DataFrame:
+    """``blocks``, a row for each field, with the greatest similarity to the field's prototypes; one scan scores all fields."""
+    scored, names = blocks, {}
+    for k, field in enumerate(prototypes):
+        names[field] = f"_similarity_{k}"
+        scored = prototype_similarity(scored, prototypes[field]).withColumnRenamed("similarity", names[field])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("similarity")) for f, c in names.items()])
+    return scored.withColumn("_f", F.explode(each)).select(*blocks.columns, "_f.field", "_f.similarity")
 
 
 def field_contexts(blocks: DataFrame, docs: DataFrame, prototypes: dict[str, DataFrame]) -> DataFrame:
     """(doc_id, field, taken, context): candidates by field, packed greedily, joined in the order they were taken."""
-    found = None
-    for field in RAISED:
-        some = field_candidates(prototype_similarity(blocks, prototypes[field]), field)
-        found = some if found is None else found.unionByName(some)
+    found = field_candidates(field_similarities(blocks, {f: prototypes[f] for f in RAISED}))
     piece = context_piece(F.col("section_path"), F.col("text"))
     found = found.withColumns({"piece": piece, "piece_chars": F.char_length(piece)})
     packs = pack(found.withColumn("_f", F.col("field")), ["doc_id", "field"], "final_score", "block_index", "block_id", "piece_chars",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sheets
+
 #: The columns of gold and prediction sheets, and of labelling samples.
 GOLD = "pmcids string, conditions string, study_type string, sex string, minimum_age string, maximum_age string, eligibility_criteria string"
 SAMPLES = "sample_id string, doc_id string, block_id string, section_path string, text string, label string"
@@ -29,15 +31,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return found.select(*[(F.col(f"`{f.name}`") if f.name in found.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str = "Train") -> DataFrame:
-    """One sheet as strings. A sheet is read by pandas on the driver: the format has no splits, and at most 2**20 rows."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading xlsx needs openpyxl; export the sheet as CSV and use read_csv") from e
-    import pandas as pd
+def read_excel(spark: SparkSession, path: str, sheet: str = "Train", schema: str | None = None) -> DataFrame:
+    """One sheet of the workbooks at ``path``, as strings unless a schema casts them; read by executors."""
+    return sheets.read(spark, path, sheet, schema)
+
 
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str).astype(object).where(lambda d: d.notna(), None))
+def write_excel(df: DataFrame, path: str, sheet: str = "Train", rows: int = sheets.ROWS) -> None:
+    """Workbooks of at most ``rows`` rows, committed together; a rerun replaces them."""
+    sheets.write(df, path, sheet, rows)
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str = CANDIDATE_DOCUMENT) -> DataFrame:
