@@ -719,6 +719,7 @@ def routed_submission(spark, sf_dir):
 
 from . import column_queries as _more  # noqa: E402, F401  further queries, which use those above
 from . import model_queries as _models  # noqa: E402, F401
+from . import source_queries as _sources  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
