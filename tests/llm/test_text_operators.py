@@ -327,6 +327,26 @@ def test_long_conversations_come_in_parts(spark):
     assert sum(len(p["spans"]) for p in parts) == 150
 
 
+def test_later_parts_open_with_the_system_turns(spark):
+    rows = [(1, 0, "system", "Be kind"), (1, 1, "system", "Be brief"), *[(1, k, "ab"[k % 2], f"t{k}") for k in range(2, 140)], (1, 140, "system", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    parts = [r for r in chat_format.rotate(df).orderBy("perspective", "part").collect() if r["perspective"] == "a"]
+    assert [p["n_turns"] for p in parts] == [64, 64, 13]
+    head = "<|system|>\nBe kind<|end|>\n<|system|>\nBe brief<|end|>\n"
+    assert all(p["text"].startswith(head) and p["text"].count("Be kind") == 1 for p in parts) and "late" in parts[-1]["text"] and "late" not in parts[0]["text"]
+    for p in parts:
+        assert all(p["text"][a - len("<|assistant|>\n") : a] == "<|assistant|>\n" and p["text"][a:b].endswith("<|end|>\n") for a, b in p["spans"])
+
+
+def test_no_two_speakers_share_a_name(spark):
+    names = ["a b", "a_b", "a%20b", "a|b", "<a>", "a\tb", "x"]
+    df = spark.createDataFrame([(1, k, n, "t" * (20_000 if k == 2 else 1)) for k, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    view = next(r["text"] for r in chat_format.rotate(df).collect() if r["perspective"] == "x")
+    heads = [line for line in view.split("\n") if line.startswith("<|user")]
+    assert heads == ["<|user name=a%20b|>", "<|user name=a_b|>", "<|user name=a%2520b|>", "<|user name=a%7Cb|>", "<|user name=%3Ca%3E|>", "<|user name=a%09b|>"]
+    assert view.count("t") >= 20_000
+
+
 # Secret scan
 
 

@@ -3,7 +3,8 @@
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant and all
 others as named users; system turns stay system turns. The mask covers what the assistant of that rendering says,
 end marker included. A rendering comes in parts of ``PART_TURNS`` turns, so that no conversation, however long,
-must fit in one row; spans count characters within their part.
+must fit in one row; spans count characters within their part. Each later part starts with the system turns that open the
+conversation, so that it stands by itself; ``n_turns`` does not count these again.
 
 Turns are ranked without gathering a conversation in one task: rows are range-partitioned in dialogue order, ranked
 within their partition, and shifted by the counts of the partitions before.
@@ -11,7 +12,8 @@ within their partition, and shifted by the counts of the partitions before.
 Defined cases: rows with a null conversation take no part; turns with equal numbers are ordered by speaker, then text,
 null turns come last; a null speaker is named ``unknown``; a null or empty text is an empty turn; repeated rows are
 turns of their own; a conversation without participants gives no rows; an empty table gives an empty result; further
-columns take no part. ``<|`` in texts gets one more bar, so that no text can pose as a marker.
+columns take no part. ``<|`` in texts gets one more bar, so that no text can pose as a marker; white space, angle brackets,
+bars and per cent signs in names are percent-encoded, so that no two speakers share a name.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ PART_TURNS = 64
 #: Speakers that are no participants, and the parts of a rendered turn.
 BYSTANDERS = ("system",)
 END = "<|end|>\n"
+#: Characters of names that are encoded, the per cent sign first.
+ENCODED = "%<>| \t\n\x0b\x0c\r"
 
 
 def safe_text(text: Column) -> Column:
@@ -32,7 +36,11 @@ def safe_text(text: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    return F.regexp_replace(F.coalesce(name, F.lit("unknown")), r"[<>|\s]", "_")
+    """The name with what would end or break a marker percent-encoded."""
+    out = F.coalesce(name, F.lit("unknown"))
+    for c in ENCODED:
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return out
 
 
 def ranked(turns: DataFrame) -> DataFrame:
@@ -70,15 +78,20 @@ def rotate(
     placed = written(ranked(turns).withColumn("part", F.floor(F.col("rank") / part_turns).cast("int")))
     speaks = ~F.col("speaker").isin(*bystanders)
     views = placed.filter(speaks).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    seen = placed.join(views, "conv_id")
+    # What opens a conversation, at most the system turns of its first part, opens its later parts too.
+    first = placed.filter(speaks).groupBy("conv_id").agg(F.min("rank").alias("first"))
+    openers = placed.filter(~speaks & (F.col("part") == 0)).join(first, "conv_id").filter("rank < first").drop("first", "part")
+    later = placed.filter("part > 0").select("conv_id", "part").distinct()
+    again = openers.join(later, "conv_id").select(*placed.columns, F.lit(True).alias("again"))
+    seen = placed.withColumn("again", F.lit(False)).unionByName(again).join(views, "conv_id")
     mine = F.col("speaker") == F.col("perspective")
     head = (
         F.when(mine, "<|assistant|>\n")
         .when(speaks, F.concat(F.lit("<|user name="), safe_name(F.col("speaker")), F.lit("|>\n")))
         .otherwise(F.concat(F.lit("<|"), safe_name(F.col("speaker")), F.lit("|>\n")))
     )
-    said = seen.select("conv_id", "perspective", "part", F.struct("rank", head.alias("head"), F.concat("text", F.lit(END)).alias("body"), mine.alias("mine")).alias("turn"))
-    # At most part_turns turns in a group.
+    said = seen.select("conv_id", "perspective", "part", F.struct("rank", head.alias("head"), F.concat("text", F.lit(END)).alias("body"), mine.alias("mine"), "again").alias("turn"))
+    # At most twice part_turns turns in a group.
     parts = said.groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
 
@@ -92,7 +105,7 @@ def rotate(
         "conv_id",
         "perspective",
         "part",
-        F.size("turns").alias("n_turns"),
+        F.size(F.filter("turns", lambda t: ~t["again"])).alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"])), "").alias("text"),
         F.aggregate("turns", start, extend, lambda acc: acc["spans"]).alias("spans"),
     )

@@ -89,23 +89,33 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chat_format.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
     return parts.select(
-        "conv_id", "perspective", "part", "n_turns", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"), F.array_join(spans, ",").alias("spans")
+        "conv_id", "perspective", "part", "n_turns", F.char_length("text").alias("n_chars"), "text", F.array_join(spans, ",").alias("spans")
     )
 
 
-OP8_SQL = """
+def _encoded(name: str) -> str:
+    for c in chat_format.ENCODED:
+        name = f"replace({name}, chr({ord(c)}), '%{ord(c):02X}')"
+    return name
+
+
+OP8_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<||') || '<|end|>' || chr(10) AS body FROM conversations WHERE conv_id IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, body) - 1 AS rk FROM turns),
+parted AS (SELECT *, rk // 64 AS part, false AS again FROM ranked),
+openers AS (
+  SELECT conv_id, turn, speaker, body, rk FROM parted p WHERE speaker = 'system' AND part = 0 AND rk < (SELECT min(q.rk) FROM ranked q WHERE q.conv_id = p.conv_id AND q.speaker <> 'system')),
+every AS (SELECT * FROM parted UNION ALL SELECT o.*, l.part, true FROM openers o JOIN (SELECT DISTINCT conv_id, part FROM parted WHERE part > 0) l USING (conv_id)),
 views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
 said AS (
-  SELECT r.conv_id, v.perspective, rk, rk // 64 AS part, body, speaker = perspective AS mine,
-    CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker <> 'system' THEN '<|user name=' || speaker || '|>' ELSE '<|system|>' END || chr(10) AS head
-  FROM ranked r JOIN views v USING (conv_id)),
+  SELECT r.conv_id, v.perspective, rk, part, again, body, speaker = perspective AS mine,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker <> 'system' THEN '<|user name=' || {_encoded("speaker")} || '|>' ELSE '<|system|>' END || chr(10) AS head
+  FROM every r JOIN views v USING (conv_id)),
 placed AS (
   SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY rk) AS stop FROM said)
-SELECT conv_id, perspective, part::INT AS part, count(*)::INT AS n_turns, sum(length(head) + length(body))::INT AS n_chars,
-  md5(string_agg(head || body, '' ORDER BY rk)) AS text_md5,
+SELECT conv_id, perspective, part::INT AS part, count_if(NOT again)::INT AS n_turns, sum(length(head) + length(body))::INT AS n_chars,
+  string_agg(head || body, '' ORDER BY rk) AS text,
   coalesce(string_agg(CASE WHEN mine THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY rk), '') AS spans
 FROM placed GROUP BY conv_id, perspective, part
 """
