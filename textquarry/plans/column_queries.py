@@ -14,7 +14,7 @@ from ..operators import generators as gen
 from ..operators import relations as rel
 from ..sources import tables
 from . import analysis, labelling, local, models, retrieval, routing
-from .queries import ALL_WORDS, ANNOTATED, BLOCKS, PATHS, RESOLVED, ROUTED, UNIFIED, annotated, hashed, key_of, query, read, routed_blocks, scored_blocks, system
+from .queries import ALL_WORDS, ANNOTATED, BLOCKS, PATHS, RESOLVED, ROUTED, SYSTEMS, UNIFIED, annotated, hashed, key_of, query, read, routed_blocks, scored_blocks, system, system_scores
 
 PATH_SQL = "CASE {0} % 8 " + " ".join("WHEN {} THEN '{}'".format(k, " > ".join(p).replace("'", "''")) for k, p in enumerate(PATHS)) + " END"
 
@@ -405,3 +405,22 @@ def inspected(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").filter("doc_id = 5").select(F.col("doc_id").cast("string").alias("doc_id"))
     documents = retrieval.unified_documents(docs, retrieval.unified(blocks), retrieval.unified_stats(blocks))
     return retrieval.inspect(documents, "5").select(F.col("doc_id").cast("long").alias("doc_id"), "block_index", "char_count")
+
+
+@query("SELECT doc_id, source, lang, 'none' AS label FROM documents")
+def defaulted_columns(spark, sf_dir):
+    """Columns that a table lacks get defaults, those it has stay; then a fixed order, optional ones only where they are."""
+    rows = rel.with_defaults(read(spark, sf_dir, "documents"), {"lang": F.lit("unknown"), "label": F.lit("none")})
+    rel.check_columns(rows, ("doc_id", "source", "lang", "label"))
+    return rel.chosen_columns(rows, ("doc_id", "source"), ("lang", "label", "absent"))
+
+
+@query(
+    f"""WITH {SYSTEMS}, d AS (SELECT pmcids, round(n.overall - o.overall, 9) AS gain FROM scored_systems o JOIN scored_systems n USING (pmcids) WHERE o.s = 0 AND n.s = 1)
+    SELECT pmcids, gain, row_number() OVER (ORDER BY gain DESC, pmcids) AS place FROM d"""
+)
+def gains(spark, sf_dir):
+    """Every document's gain of one system over another, and its place, the greatest gain first."""
+    deltas = analysis.compared(system_scores(spark, sf_dir, 0), system_scores(spark, sf_dir, 1), fields=("overall",))
+    rows = deltas.select("pmcids", F.round("delta_overall", 9).alias("gain"))
+    return rel.placed(rows, [F.desc("gain"), F.asc("pmcids")], "place")

@@ -674,7 +674,15 @@ def html_blocks(spark, sf_dir):
     return rows.select("page_id", "block_index", "block_type", path_text(F.col("section_path")).alias("section_path"), F.char_length("text").alias("char_count"))
 
 
-@query()
+# Sentence ends are marked first, as the engine has no look-behind; pieces are merged in lists of lists.
+@query(
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    cut AS (SELECT doc_id, text, string_split_regex(text, '\n\s*\n+') AS b, string_split(regexp_replace(text, '([.;:])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS e FROM t),
+    tidy AS (SELECT doc_id, text, list_filter(list_transform(b, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b, list_filter(list_transform(e, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS e FROM cut),
+    parts AS (SELECT doc_id, text, CASE WHEN len(b) > 1 THEN b ELSE e END AS p FROM tidy),
+    merged AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN [text] ELSE list_reduce(list_transform(p, lambda x: [x]), lambda acc, x: CASE WHEN length(acc[len(acc)]) < 80 THEN acc[1:len(acc) - 1] || [acc[len(acc)] || ' ' || x[1]] ELSE acc || x END) END AS m FROM parts)
+    SELECT doc_id, len(m)::INT AS paragraphs, list_max(list_transform(m, lambda x: length(x)))::INT AS longest FROM merged"""
+)
 def paragraph_merge(spark, sf_dir):
     parts = sel.paragraphs(F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", F.size(parts).alias("paragraphs"), F.array_max(F.transform(parts, lambda p: F.char_length(p))).alias("longest"))
