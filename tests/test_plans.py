@@ -43,7 +43,7 @@ def test_field_contexts(spark, parsed, blocks):
 def test_routing_to_submission(parsed, blocks):
     rows = routing.routed(routing.probabilities(blocks))
     assert {r["eligibility"] >= 3 for r in routing.block_counts(rows).collect()} == {True}
-    contexts = routing.contexts(rows, articles.documents(parsed)).cache()
+    contexts = routing.contexts(rows, articles.documents(parsed), blocks).cache()
     assert contexts.count() == 6
     good, dead = routing.predictions(contexts)
     out = routing.submit(good).collect()

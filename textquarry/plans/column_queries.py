@@ -14,7 +14,7 @@ from ..operators import generators as gen
 from ..operators import relations as rel
 from ..sources import tables
 from . import analysis, labelling, local, models, retrieval, routing
-from .queries import ALL_WORDS, ANNOTATED, BLOCKS, PATHS, RESOLVED, ROUTED, SYSTEMS, UNIFIED, annotated, hashed, key_of, query, read, routed_blocks, scored_blocks, system, system_scores
+from .queries import ALL_WORDS, ANNOTATED, BLOCKS, PATHS, RESOLVED, ROUTED, SYSTEMS, UNIFIED, annotated, hashed, key_of, query, read, routed_blocks, routed_texts, scored_blocks, system, system_scores
 
 PATH_SQL = "CASE {0} % 8 " + " ".join("WHEN {} THEN '{}'".format(k, " > ".join(p).replace("'", "''")) for k, p in enumerate(PATHS)) + " END"
 
@@ -145,7 +145,7 @@ ASKED_SQL = "CASE field " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, t in routin
 
 @query(f"WITH {ROUTED} SELECT doc_id, block_index, field, md5({ASKED_SQL} || chr(10) || chr(10) || 'Evidence follows:' || chr(10) || chr(10) || text) AS prompt_md5 FROM routed")
 def field_prompts(spark, sf_dir):
-    rows = routing.prompts(routed_blocks(spark, sf_dir).withColumnRenamed("text", "context"))
+    rows = routing.prompts(routed_texts(spark, sf_dir).withColumnRenamed("text", "context"))
     return rows.select("doc_id", "block_index", "field", F.md5("prompt").alias("prompt_md5"))
 
 

@@ -220,10 +220,15 @@ routed AS (SELECT *, p >= thr AS above FROM (SELECT *, row_number() OVER (PARTIT
 def routed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.explode(F.array(*[F.lit(f) for f in sel.FIELDS]))
     rows = scored_blocks(spark, sf_dir).withColumn("field", fields)
-    rows = rows.withColumn("p", F.pow(hashed(key_of("doc_id", "block_index", "field"), "p"), F.lit(4)))
+    rows = rows.withColumn("p", F.pow(hashed(key_of("doc_id", "block_index", "field"), "p"), F.lit(4))).drop("text")
     return sel.route(rows, ["doc_id", "field"], "p", "block_index", sel.by_field(sel.THRESHOLDS, F.col("field")), sel.by_field(sel.FALLBACK_BLOCKS, F.col("field")))
 
 
+def routed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed blocks with their texts, joined after the ranking."""
+    return routed_blocks(spark, sf_dir).join(scored_blocks(spark, sf_dir).select("doc_id", "block_index", "text"), ["doc_id", "block_index"])
+
+
 @query(f"WITH {ROUTED} SELECT doc_id, field, block_index, above, round(p, 9) AS p FROM routed")
 def route_threshold_fallback(spark, sf_dir):
     return routed_blocks(spark, sf_dir).select("doc_id", "field", "block_index", "above", F.round("p", 9).alias("p"))
@@ -242,7 +247,7 @@ def field_block_counts(spark, sf_dir):
 )
 def context_concat(spark, sf_dir):
     piece = F.concat(F.lit("Section: \n"), F.col("text"), F.lit("\n"))
-    lists = routed_blocks(spark, sf_dir).groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("block_index", piece.alias("piece")))).alias("l"))
+    lists = routed_texts(spark, sf_dir).groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("block_index", piece.alias("piece")))).alias("l"))
     return lists.select("doc_id", "field", F.md5(F.array_join(F.transform("l", lambda x: x["piece"]), "\n\n")).alias("context_md5"))
 
 
@@ -720,7 +725,7 @@ def routed_submission(spark, sf_dir):
     blocks = blocks.withColumn("block_id", F.concat(F.col("doc_id").cast("string"), F.lit("::block_"), F.col("block_index").cast("string")))
     none = F.lit(None)
     docs = pages.select(F.col("page_id").alias("doc_id"), none.cast("string").alias("title"), none.cast("string").alias("abstract"), none.cast("array<string>").alias("keywords"))
-    contexts = routing.contexts(routing.routed(routing.probabilities(blocks)), docs)
+    contexts = routing.contexts(routing.routed(routing.probabilities(blocks)), docs, blocks)
     results, _ = routing.predictions(contexts)
     return routing.submit(results)
 

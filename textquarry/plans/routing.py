@@ -13,10 +13,10 @@ from .models import Classifier, Extractor, KeywordClassifier, SilentExtractor, c
 
 
 def probabilities(blocks: DataFrame, classifier: Classifier | None = None) -> DataFrame:
-    """One row a block and field: doc_id, block_id, block_index, section_path, text, field, p."""
+    """One row a block and field: doc_id, block_id, block_index, field, p. Texts stay with their blocks."""
     text = embedding_text(F.col("section_path"), F.col("block_type"), F.col("text"))
     found = classify(blocks.withColumn("_input", text), "_input", "probabilities", classifier or KeywordClassifier())
-    return found.select("doc_id", "block_id", "block_index", "section_path", "text", F.explode("probabilities").alias("field", "p")).filter(F.col("field").isin(*THRESHOLDS))
+    return found.select("doc_id", "block_id", "block_index", F.explode("probabilities").alias("field", "p")).filter(F.col("field").isin(*THRESHOLDS))
 
 
 def routed(rows: DataFrame) -> DataFrame:
@@ -29,8 +29,14 @@ def block_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").pivot("field", list(THRESHOLDS)).count().fillna(0)
 
 
-def contexts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def with_texts(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Routed rows with their blocks' section_path and text: joined after the ranking, which shuffles no text."""
+    return rows.join(blocks.select("doc_id", "block_id", "section_path", "text"), ["doc_id", "block_id"])
+
+
+def contexts(rows: DataFrame, docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, field, context): a field's blocks in page order up to its cap; one row for every document and field."""
+    rows = with_texts(rows, blocks)
     piece = routed_piece(F.col("block_index"), F.col("section_path"), F.col("text"))
     lists = rows.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("block_index", piece.alias("piece")))).alias("_l"))
     bodies = lists.select("doc_id", "field", truncated_concat(F.transform("_l", lambda x: x["piece"]), by_field(CONTEXT_CHARS, F.col("field"))).alias("body"))
@@ -76,6 +82,6 @@ def with_cost(usage: DataFrame) -> DataFrame:
 
 
 def serialised(rows: DataFrame) -> DataFrame:
-    """(doc_id, field, blocks): the routed blocks of each field in page order, without their texts."""
+    """(doc_id, field, blocks): the routed blocks of each field, which have their section_path, in page order, without their texts."""
     item = F.struct("block_index", "block_id", "section_path", "p")
     return rows.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(item)).alias("blocks"))
