@@ -22,8 +22,9 @@ from ..operators.relations import checkpointed, group_split
 #: Rows that a training needs at least, and what ages are asked by.
 LEAST = {"ranker": 1, "generator": 5, "study_type": 10, "sex": 10, "conditions": 5, "ages": 10}
 QUESTIONS = {"minimum": "What is the minimum age?", "maximum": "What is the maximum age?"}
-#: Fixed value: characters of the abstract that the selector reads.
+#: Characters of the abstract that the selector reads, and what stands around what it reads.
 SELECTOR_CHARS = 400
+SELECTOR_INPUT = ("Abstract: ", "\n\nCandidates: ", "\n\nSelect the primary medical conditions being studied:")
 
 
 class Prepared(NamedTuple):
@@ -47,9 +48,8 @@ def joined(docs: DataFrame, gold: DataFrame, candidates: DataFrame, seed: int =
 
 def selector_input(abstract: Column, candidates: Column) -> Column:
     """What a selector of conditions reads: the abstract's opening, the candidates, and what to do."""
-    return F.concat(
-        F.lit("Abstract: "), F.left(abstract, F.lit(SELECTOR_CHARS)), F.lit("\n\nCandidates: "), F.array_join(candidates, ", "), F.lit("\n\nSelect the primary medical conditions being studied:")
-    )
+    head, middle, end = SELECTOR_INPUT
+    return F.concat(F.lit(head), F.left(abstract, F.lit(SELECTOR_CHARS)), F.lit(middle), F.array_join(candidates, ", "), F.lit(end))
 
 
 def tables(rows: DataFrame, entities: DataFrame, ranker: DataFrame | None = None) -> dict[str, DataFrame]:
