@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.llm import elkan, phrases, warc
-from textquarry.llm.queries import OP11_SQL, OP12_SQL, OP13_SQL
+from textquarry.llm.queries import OP5_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 
 # WARC archives
 
@@ -242,7 +242,7 @@ def test_windows_count_each_phrase_once(size):
         assert found == want
 
 
-@pytest.mark.parametrize(("name", "sql"), [("op11_warc", OP11_SQL), ("op12_clusters", OP12_SQL), ("op13_phrases", OP13_SQL)])
+@pytest.mark.parametrize(("name", "sql"), [("op5_near_dedup", OP5_SQL), ("op11_warc", OP11_SQL), ("op12_clusters", OP12_SQL), ("op13_phrases", OP13_SQL)])
 def test_registered_queries_equal_their_sql(spark, name, sql):
     import duckdb
 
