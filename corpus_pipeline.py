@@ -17,7 +17,7 @@ from textquarry.llm.common import free_name, table, written
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at least 0.5; it is fitted on the labelled rows of ``docs``.
 
-    An empty or null text has the score of the bias; without labelled rows all scores are equal.
+    An empty or null text has the score of the bias; without labelled rows of both kinds all scores are equal.
     """
     score = free_name(docs, "score")
     scored = quality.with_scores(docs, table(spark, sf_dir, "labels"), score)
