@@ -104,7 +104,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_CHARS, uid_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, keep_id, group_size, kept, text_sha256."""
     rows = written(identities(docs, id_col, text_col, size, uid_col))
-    groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the rows of a very large group meet its one row through plain shuffles, which can be split.
+    groups = written(rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(groups, ["level", "name"]).select(
         "uid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
     )
