@@ -103,6 +103,12 @@ def test_classifier_learns_and_keeps_thresholds(spark, tmp_path):
     assert {r["label"] for r in classifier.predicted(held, "t", None).collect()} == {"Not Specified"}
 
 
+def test_classifier_learns_beside_tasks_without_rows(spark):
+    df = spark.createDataFrame([(x, f"{x} word {k}") for x, n in (("a", 8), ("b", 5)) for k in range(n)], "label string, t string")
+    spread, whole = (classifier.fit(df.repartition(n), "t", "label", bits=6, rounds=3) for n in (40, 1))
+    assert np.allclose(spread.arrays["weights"], whole.arrays["weights"], atol=1e-6) and whole.arrays["weights"].any()
+
+
 # Generation
 
 

@@ -100,7 +100,8 @@ def fit(df: DataFrame, text: str, label: str, name: str = "classifier", bits: in
                     total[0] += e
                     total[1 + found] += x[:, None] * e
             moved = np.flatnonzero(total.any(axis=1))
-            yield pd.DataFrame({"at": moved, "g": total[moved].tolist()})
+            if len(moved):  # a task without rows has no list for Arrow to take its type from
+                yield pd.DataFrame({"at": moved, "g": total[moved].tolist()})
 
         sums = [F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(len(labels))]
         found = rows.mapInPandas(gradient, "at long, g array<double>").groupBy("at").agg(*sums).collect()  # 2 ** bits rows at most
