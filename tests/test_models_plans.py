@@ -152,6 +152,17 @@ def test_tags_equal_brute_force(spark):
         tagging.train(spark.createDataFrame([], "sentence int, place int, word string, tag string"))
 
 
+def test_sentences_are_tagged_where_they_are_read(spark):
+    rng = random.Random(5)
+    draw = lambda: rng.choice(["dog", "dogs", "Barks", "of", "zzz", "hogs", None])
+    model = tagging.train(spark.createDataFrame([(s, p, draw(), rng.choice("DNV")) for s in range(30) for p in range(5)], "sentence int, place int, word string, tag string"))
+    df = spark.createDataFrame([(k, [draw() for _ in range(k % 9)]) for k in range(200)] + [(200, None), (201, ["dog"] * 2500)], "id int, w array<string>")
+    held = tagging.tag(df, "w", model)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+    got, joined = ({r["id"]: r["tags"] for r in t.collect()} for t in (held, tagging.tag(df, "w", model, held=0)))
+    assert got == joined and [len(got[k]) for k in (8, 200, 201)] == [8, 0, 2500]
+
+
 # Entities
 
 

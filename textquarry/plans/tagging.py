@@ -1,17 +1,24 @@
-"""Part-of-speech tags by a first-order model: trained from a tagged table, decoded by a fold over its states.
+"""Part-of-speech tags by a first-order model: trained from a tagged table, decoded over its states.
 
 Training counts tags after tags and words under tags. Scores are logarithms in millionths, as integers, so that sums are exact
 and ties are settled alike by any engine: by the tag that sorts first. A word that was never seen takes the scores of
 its ending, one whose ending was never seen those of tags alone.
 
+Tables of scores that a task can hold go to every task, and sentences are decoded where they are read, without a shuffle.
+Larger ones are joined to the words, a row for each, and the fold over their scores gives the same tags.
+
 Defined cases: null words and tags take no part in training; a null or empty sentence has no tags; a null word is
 decoded as one never seen; training without rows is an error; further columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +26,10 @@ from ..operators.relations import checkpointed
 
 #: Characters of an ending, and how many tags a model may have: they are held as literals of the plan.
 ENDING, TAGS = 3, 100
+#: Scores of words and endings by tag that a task holds; beyond them, tables are joined.
+HELD = 1 << 20
+#: Sums of a step that are held at a time.
+SUMS = 1 << 22
 #: What each count is raised by.
 SMOOTHING = 1.0
 
@@ -110,11 +121,62 @@ def best_tags(scores: Column, model: TagModel) -> Column:
     return F.when(F.size(scores) > 0, F.transform(F.reverse(path), lambda t: names[t])).otherwise(F.array().cast("array<string>"))
 
 
-def tag(df: DataFrame, words: str, model: TagModel, out: str = "tags") -> DataFrame:
-    """``df`` with the tags of ``words``, an array for each sentence.
+def best_paths(places: np.ndarray, sizes: np.ndarray, scores: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Numbers of the tags that ``best_tags`` gives, of sentences on end: ``sizes`` words each, whose scores are in the row of ``places``.
 
-    Words are joined to the tables of scores, each distinct word once, and go back to their sentences by its number.
+    A step takes the next word of all sentences that have one, the longest first.
     """
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    longest = int(sizes[0]) if len(sizes) else 0
+    left = np.searchsorted(-sizes, -np.arange(longest))  # sentences with a word at each step
+    back, found = np.zeros((len(places), len(first)), np.int8), np.zeros(len(places), np.int64)
+    total = scores[places[starts[: left[0]]]] + first if longest else np.zeros((0, len(first)), np.int64)
+    for k in range(1, longest):
+        at = starts[: left[k]] + k
+        into = total[: left[k], :, None] + moves
+        # Of equal totals the first, as everywhere.
+        back[at] = into.argmax(axis=1)
+        total[: left[k]] = into.max(axis=1) + scores[places[at]]
+    said = total.argmax(axis=1)
+    for k in reversed(range(longest)):
+        at = starts[: left[k]] + k
+        found[at] = said[: left[k]]
+        said[: left[k]] = back[at, said[: left[k]]]
+    return found
+
+
+def tag(df: DataFrame, words: str, model: TagModel, out: str = "tags", held: int = HELD) -> DataFrame:
+    """``df`` with the tags of ``words``, an array for each sentence."""
+    if (model.words.count() + model.endings.count()) * len(model.tags) > held:
+        return _joined(df, words, model, out)
+    seen, ends = ([(r[0], r[1]) for r in t.select(key, f"{key}_scores").collect()] for t, key in ((model.words, "word"), (model.endings, "ending")))  # ``held`` numbers at most
+    scores = np.array([s for _, s in seen] + [s for _, s in ends] + [model.other], np.int64)
+    places = {w: k for k, (w, _) in enumerate(seen)}, {e: k for k, (e, _) in enumerate(ends, len(seen))}
+    shared = df.sparkSession.sparkContext.broadcast((*places, scores, np.array(model.first, np.int64), np.array(model.moves, np.int64)))
+    names, most = model.tags, max(1, SUMS // len(model.tags) ** 2)
+
+    @F.arrow_udf("array<string>")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        by_word, by_ending, scores, first, moves = shared.value
+        known = pa.array(names, pa.string())
+        for sentences in batches:
+            said = sentences.flatten().dictionary_encode()
+            at = [by_word.get(w, by_ending.get(w[-ENDING:], len(scores) - 1)) for w in said.dictionary.to_pylist()]
+            row = np.array(at, np.int64)[said.indices.to_numpy()]
+            sizes = pc.list_value_length(sentences).to_numpy().astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            parts = [slice(k, k + most) for k in range(0, len(sizes), most)]
+            tags = [best_paths(row[ends[p.start] : ends[min(p.stop, len(sizes))]], sizes[p], scores, first, moves) for p in parts]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known.take(pa.array(np.concatenate([*tags, np.zeros(0, np.int64)]))))
+
+    # Lower-cased by Spark, as the words of the tables are.
+    lowered = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.coalesce(F.lower(w), F.lit("")))
+    return df.withColumn(out, decoded(lowered))
+
+
+def _joined(df: DataFrame, words: str, model: TagModel, out: str) -> DataFrame:
+    """``tag`` by joins: each distinct word to the tables of scores once, then back to the sentences by their number."""
     rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
     said = rows.select("_row", F.posexplode(words).alias("_place", "_raw")).withColumn("word", F.coalesce(F.lower("_raw"), F.lit("")))
     distinct = said.select("word").distinct().join(model.words, "word", "left").withColumn("ending", ending(F.col("word"))).join(model.endings, "ending", "left")
