@@ -305,6 +305,23 @@ def test_calls_are_made_once_and_resumed(spark, tmp_path):
     assert len(log) == len(lines(sent)) and all(r["body"] for r in log if r["status"] == "success")
 
 
+def test_waves_do_not_read_the_requests_again(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(k):
+        seen.add(1)
+        return f"body {k}"
+
+    read = {}
+    for wave in (4, 100):
+        before, store = seen.value, f"{tmp_path}/store{wave}"
+        waves = calls.run(spark.range(40).select(said("id").alias("body")), store, lambda: Counting(str(tmp_path / "sent")), wave=wave, senders=2)
+        read[waves] = seen.value - before
+        assert calls.replies(spark, store).count() == 40
+    assert set(read) == {10, 1} and read[10] == read[1]
+
+
 def test_a_killed_run_keeps_its_waves(spark, tmp_path):
     """A wave that fails as a whole leaves the waves before it in the store."""
     sent, store = tmp_path / "sent", f"{tmp_path}/store"

@@ -124,6 +124,12 @@ def shared_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Frees a path of the shared folder that no later step reads."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's place from 1 in the whole order, without a task that sees all rows.
 

@@ -1,13 +1,13 @@
 """Calls to remote models as a table that grows: each request is named by its content and answered once.
 
-A request's key is the hash of its body, so equal requests of any rows, runs or documents are one. A run sends those
-without a reply, wave by wave; a wave is a bounded number of requests, dealt to a fixed number of tasks, and its attempts
-are appended as one commit. A run that is killed loses at most the wave it was in, and the next run sends only what
+A request's key is the hash of its body, so equal requests of any rows, runs or documents are one. A run writes down those
+without a reply, once and by waves, and sends them wave by wave; a wave is a bounded number of requests, dealt to a fixed
+number of tasks, and its attempts are appended as one commit. A run that is killed loses at most the wave it was in, and the next run sends only what
 has no reply. Every attempt is logged, with what came back verbatim.
 
 Defined cases: a null body is no request; of several replies to one key, as after two runs at once, the first by time and
 number stays; a request that failed in all its attempts is tried again by the next run; keys that no table asks for any
-more stay in the log and cost nothing.
+more stay in the log and cost nothing; what another run answers after a run has begun is sent by both.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.replies import EXTRACTION_PRICE, delay, price, response_field, response_format
 from ..functions.text import strip
+from ..operators.relations import discard, shared_path
 
 #: Requests of one commit, and tasks that send them at the same time.
 WAVE, SENDERS = 20_000, 16
+#: Attempts, and characters of replies, that a task hands on together.
+ROWS, CHARS = 1000, 1 << 20
 #: Attempts at a request.
 ATTEMPTS = 5
 #: What the log holds of each attempt.
@@ -153,21 +156,34 @@ def run(
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = connector()
         columns = [c.split()[0] for c in LOG.split(", ")]
+        rows, chars = [], 0
         for b in batches:
             for key, text in zip(b["key"], b["body"], strict=True):
-                # A request at a time, so that a slow task holds few replies.
-                yield pd.DataFrame(list(attempts(key, text, own, most, wait)), columns=columns)
-
-    def open_requests() -> DataFrame:
-        done = log(spark, store).filter("status = 'success'").select("key").distinct()
-        return asked.join(done, "key", "left_anti")
-
-    waves = -(-open_requests().count() // wave)
-    for w in range(waves):
-        # Fixed for the whole run, so that waves do not overlap.
-        mine = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(waves)) == w
-        dealt = open_requests().filter(mine).repartition(senders, "key")
-        dealt.mapInPandas(send, LOG).write.mode("append").parquet(store)
+                new = list(attempts(key, text, own, most, wait))
+                rows.extend(new)
+                chars += sum(len(r[columns.index("body")] or "") for r in new)
+                if len(rows) >= ROWS or chars >= CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, chars = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    done = log(spark, store).filter("status = 'success'").select("key").distinct()
+    number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    waves = -(-asked.select("key").distinct().join(done, "key", "left_anti").count() // wave)
+    if not waves:
+        return 0
+    # Written once, as every wave would read all requests and the whole log otherwise.
+    path = shared_path(spark)
+    dealt = asked.join(done, "key", "left_anti").withColumn("wave", F.pmod(number, F.lit(waves)).cast("int"))
+    try:
+        dealt.repartition("wave", F.pmod(F.crc32("key"), F.lit(senders))).write.partitionBy("wave").option("compression", "zstd").parquet(path)
+        written = spark.read.schema("key string, body string, wave int").parquet(path)
+        for w in range(waves):
+            mine = written.filter(F.col("wave") == w).select("key", "body").repartition(senders, "key")
+            mine.mapInPandas(send, LOG).write.mode("append").parquet(store)
+    finally:
+        discard(spark, path)
     return waves
 
 
