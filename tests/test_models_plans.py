@@ -123,6 +123,16 @@ def test_text_scores_equal_the_definition(spark, animals, graded):
     assert got == pytest.approx({k: by_hand(a, b, like) for k, a, b in rows}, abs=1e-9)
 
 
+def test_text_scores_without_rows_of_word_pairs(spark, animals):
+    rows = [(f"{i}:{k}", a, b) for i, a in enumerate(TEXTS) for k, b in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "key string, a string, b string")
+    df = taxonomy.analysed(taxonomy.analysed(df, "a", "ta", Plain), "b", "tb", Plain)
+    held, joined = (taxonomy.text_scores(df, "key", "a", "b", "ta", "tb", animals, held=n) for n in (taxonomy.HELD, 0))
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    want = pytest.approx({k: by_hand(a, b, likeness) for k, a, b in rows}, abs=1e-9)
+    assert all({r["key"]: r["score"] for r in t.collect()} == want for t in (held, joined))
+
+
 # Tags
 
 

@@ -124,6 +124,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df``, written once to the shared folder as a compressed table; its rows keep no order."""
+    path = path or shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Frees a path of the shared folder that no later step reads."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import EMPTY_VERBS
 from ..operators.generators import token_windows
-from ..operators.relations import shared_path
+from ..operators.relations import shared_path, written
 from . import answers, artifacts, calls, classifier, entities, sections, tagging, taxonomy, training
 from .queries import hashed, hashed_sql, key_of, query, read
 
@@ -38,7 +38,7 @@ profile AS (
 
 def word_taxonomy(spark: SparkSession, sf_dir: str) -> taxonomy.Taxonomy:
     words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     first = lambda n: F.concat(F.lit("p:"), F.substring("word", 1, n))
     last = F.concat(F.lit("s:"), F.expr("right(word, 2)"))
     steps = ((F.col("word"), first(3)), (first(3), first(1)), (first(1), F.lit("root")), (F.col("word"), last), (last, F.lit("root")))
@@ -110,7 +110,7 @@ def analysed_scores(spark, sf_dir):
         return F.transform(words, lambda w: F.struct(w.alias("lemma"), pos(w).alias("pos"), F.substring(w, 1, 1).alias("tag"), (n(w) <= 2).alias("stop"), F.lit(True).alias("alpha")))
 
     rows = turns.withColumns({"left": tokens(F.col("before")), "right": tokens(F.col("text"))})
-    return taxonomy.text_scores(rows, "turn_key", "before", "text", "left", "right", word_taxonomy(spark, sf_dir).similarity).select("turn_key", F.round("score", 8).alias("score"))
+    return taxonomy.text_scores(rows, "turn_key", "before", "text", "left", "right", word_taxonomy(spark, sf_dir)).select("turn_key", F.round("score", 8).alias("score"))
 
 
 TAGGING = r"""

@@ -12,19 +12,24 @@ nothing; a word without a sense is like nothing; without a taxonomy, words are l
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import EMPTY_VERBS, combined_text_score, word_order_overlap
 from ..functions.text import cap, missing, strip
-from ..operators.relations import checkpointed
+from ..operators.relations import discard, shared_path, written
 
 #: Fixed value: senses of a word that are compared, by rank.
 SENSES = 3
+#: Rows of words by what they are under that a task holds; beyond them, pairs of words are joined.
+HELD = 1 << 20
 #: Parts of speech that count as nouns, and as verbs.
 NOUNS, VERBS = ("NOUN", "PROPN"), ("VERB",)
 
@@ -32,17 +37,23 @@ NOUNS, VERBS = ("NOUN", "PROPN"), ("VERB",)
 def closure(links: DataFrame, concept: str = "concept", parent: str = "parent") -> DataFrame:
     """(concept, ancestor) of every concept, itself among its ancestors.
 
-    Each round joins all paths with all paths, so rounds grow with the logarithm of the depth; each is checkpointed.
+    Concepts above others are closed first: each round joins all their paths with all of them, so rounds grow with the logarithm
+    of the depth. The others, most of all, are joined to these once.
     """
+    spark = links.sparkSession
     known = links.filter(F.col(concept).isNotNull())
-    paths = known.filter(F.col(parent).isNotNull() & (F.col(concept) != F.col(parent))).select(F.col(concept).alias("concept"), F.col(parent).alias("ancestor")).distinct()
-    paths, before = checkpointed(paths), -1
-    while (n := paths.count()) != before:
-        before = n
-        further = paths.select(F.col("concept").alias("ancestor"), F.col("ancestor").alias("_up"))
-        paths = checkpointed(paths.union(paths.join(further, "ancestor").select("concept", F.col("_up").alias("ancestor"))).distinct())
+    steps = known.filter(F.col(parent).isNotNull() & (F.col(concept) != F.col(parent))).select(F.col(concept).alias("concept"), F.col(parent).alias("ancestor")).distinct()
+    path, before = shared_path(spark), -1
+    upper = written(steps.join(steps.select(F.col("ancestor").alias("concept")).distinct(), "concept", "left_semi"), path)
+    while (n := upper.count()) != before:
+        before, old, path = n, path, shared_path(spark)
+        further = upper.select(F.col("concept").alias("ancestor"), F.col("ancestor").alias("_up"))
+        upper = written(upper.union(upper.join(further, "ancestor").select("concept", F.col("_up").alias("ancestor"))).distinct(), path)
+        discard(spark, old)
+    above = upper.select(F.col("concept").alias("_by"), "ancestor")
+    paths = steps.union(steps.select("concept", F.col("ancestor").alias("_by")).join(above, "_by").select("concept", "ancestor")).distinct()
     nodes = known.select(F.col(concept).alias("concept")).union(known.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("concept"))).distinct()
-    return paths.filter("concept <> ancestor").union(nodes.select("concept", F.col("concept").alias("ancestor")))
+    return written(paths.filter("concept <> ancestor").union(nodes.select("concept", F.col("concept").alias("ancestor"))))
 
 
 def information(ancestors: DataFrame, counts: DataFrame) -> DataFrame:
@@ -66,15 +77,19 @@ class Taxonomy(NamedTuple):
         return word_similarity(pairs, self)
 
 
-def word_similarity(pairs: DataFrame, taxonomy: Taxonomy, senses: int = SENSES) -> DataFrame:
-    """``pairs`` (a, b, pos), distinct, with ``similarity``: the best over the words' first senses; 0 where they share nothing."""
+def _profile(needed: DataFrame, taxonomy: Taxonomy, senses: int = SENSES) -> DataFrame:
+    """What each word of ``needed`` (word, pos) is under: (word, pos, concept, own information of the sense, ancestor, its information)."""
     known = taxonomy.senses.filter(F.col("rank") <= senses).select("word", "pos", "concept").distinct()
-    needed = pairs.select(F.col("a").alias("word"), "pos").union(pairs.select("b", "pos")).distinct()
     of = taxonomy.information.select("concept", F.col("information").alias("own"))
     up = taxonomy.information.select(F.col("concept").alias("ancestor"), F.col("information").alias("shared"))
-    # What each word in use is under: (word, pos, own information of the sense, ancestor, its information).
     profile = known.join(needed, ["word", "pos"]).join(of, "concept").join(taxonomy.ancestors, "concept").join(up, "ancestor")
-    profile = checkpointed(profile.select("word", "pos", "concept", "own", "ancestor", "shared"))
+    return profile.select("word", "pos", "concept", "own", "ancestor", "shared")
+
+
+def word_similarity(pairs: DataFrame, taxonomy: Taxonomy, senses: int = SENSES) -> DataFrame:
+    """``pairs`` (a, b, pos), distinct, with ``similarity``: the best over the words' first senses; 0 where they share nothing."""
+    needed = pairs.select(F.col("a").alias("word"), "pos").union(pairs.select("b", "pos")).distinct()
+    profile = written(_profile(needed, taxonomy, senses))
     left = pairs.join(profile.select(F.col("word").alias("a"), "pos", F.col("own").alias("own_a"), "ancestor", "shared"), ["a", "pos"])
     right = profile.select(F.col("word").alias("b"), "pos", F.col("own").alias("own_b"), "ancestor")
     # For each two senses the most informative ancestor gives the greatest value, so one maximum serves ancestors and senses.
@@ -138,20 +153,116 @@ def best_matches(pairs: DataFrame, key: str, similarity: Callable[[DataFrame], D
     words = words.groupBy(key, "pos", "l").agg(F.count(F.lit(1)).alias("n"), F.first("right").alias("right"))
     same = F.filter("right", lambda r: r["tag"] == F.col("l.tag"))
     pool = F.array_distinct(F.transform(F.when(F.size(same) > 0, same).otherwise(F.col("right")), lambda r: r["word"]))
-    met = checkpointed(words.select(key, "pos", "n", F.col("l.tag").alias("tag"), F.col("l.word").alias("a"), F.explode(pool).alias("b")))
+    met = written(words.select(key, "pos", "n", F.col("l.tag").alias("tag"), F.col("l.word").alias("a"), F.explode(pool).alias("b")))
     found = similarity(met.select("a", "b", "pos").distinct()).select("a", "b", "pos", "similarity")
     best = met.join(found, ["a", "b", "pos"]).groupBy(key, "pos", "a", "tag").agg(F.first("n").alias("n"), F.max("similarity").alias("best"))
     return best.groupBy(key, "pos").agg((F.sum(F.col("n") * F.col("best")) / F.sum("n")).alias("matched"))
 
 
+class Profiles:
+    """Words by what they are under, as a task holds them: the same values as ``word_similarity`` by one look at each word.
+
+    Of an ancestor's senses the one of least information gives the greatest value, so a pool of words is known by these.
+    """
+
+    def __init__(self, found: pa.Table):
+        """``found`` has word, pos, ancestor, own, shared, ordered by pos and word."""
+        keys = list(zip(found["pos"].to_pylist(), found["word"].to_pylist(), strict=True))
+        self.starts = np.flatnonzero([k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]).tolist() + [len(keys)]
+        self.number = {keys[at]: k for k, at in enumerate(self.starts[:-1])}
+        self.ancestors = found["ancestor"].combine_chunks().dictionary_encode().indices.to_numpy() if len(keys) else np.zeros(0, np.int32)
+        self.own, self.shared = found["own"].to_numpy(), found["shared"].to_numpy()
+
+    def of(self, pos: str, word: str) -> Iterator[tuple]:
+        k = self.number.get((pos, word))
+        at = slice(0, 0) if k is None else slice(self.starts[k], self.starts[k + 1])
+        return zip(self.ancestors[at].tolist(), self.own[at].tolist(), self.shared[at].tolist(), strict=True)
+
+    def matched(self, pos: str, left: list, right: list) -> float | None:
+        """What ``best_matches`` gives of (word, tag) lists; null words are like nothing and count for nothing."""
+        pools: dict = {None: {w for w, _ in right} - {None}}
+        for w, t in right:
+            if t is not None:
+                pools.setdefault(t, set()).update({w} - {None})
+        least: dict = {}
+        total = said = 0
+        for (word, tag), n in Counter(left).items():
+            tag = tag if tag in pools else None
+            if word is None or not pools[tag]:
+                continue
+            if tag not in least:
+                own: dict = {}
+                for w in pools[tag]:
+                    for x, o, _ in self.of(pos, w):
+                        own[x] = min(o, own.get(x, o))
+                least[tag] = own
+            both = ((s, o + least[tag][x]) for x, o, s in self.of(pos, word) if x in least[tag])
+            total, said = total + n * max((2 * s / b for s, b in both if b > 0), default=0.0), said + n
+        return total / said if said else None
+
+
+def _held(words: DataFrame, taxonomy: Taxonomy, held: int) -> pa.Table | None:
+    """The profiles of ``words`` (word, pos), a row for each ancestor that says something; None if they are more than ``held``."""
+    found = _profile(words.distinct(), taxonomy).filter("shared > 0").groupBy("pos", "word", "ancestor").agg(F.min("own").alias("own"), F.first("shared").alias("shared"))
+    path = shared_path(words.sparkSession)
+    try:
+        found = written(found, path)
+        return found.orderBy("pos", "word").toArrow() if found.count() <= held else None
+    finally:
+        discard(words.sparkSession, path)
+
+
+def _scored_in_place(df: DataFrame, left_tokens: str, right_tokens: str, taxonomy: Taxonomy, held: int) -> DataFrame | None:
+    """``df`` with ``_nouns`` and ``_verbs`` as ``best_matches`` gives them, computed where the rows are; None if a task cannot hold the words' profiles."""
+    sides = {"NOUN": nouns, "VERB": verbs}
+    none = F.array().cast("array<struct<word:string,tag:string>>")
+
+    def words(pos: str, tokens: str) -> Column:
+        return F.transform(F.coalesce(sides[pos](F.col(tokens)), none), lambda w: F.struct(w["word"].alias("word"), F.lit(pos).alias("pos")))
+
+    def field(pos: str, tokens: str, name: str) -> Column:
+        return F.transform(sides[pos](F.col(tokens)), lambda w: w[name])
+
+    said = df.select(F.explode(F.concat(*[words(pos, t) for pos in sides for t in (left_tokens, right_tokens)])).alias("w"))
+    table = _held(said.select("w.*"), taxonomy, held)
+    if table is None:
+        return None
+    shared = df.sparkSession.sparkContext.broadcast(table)  # ``held`` rows at most
+
+    @F.arrow_udf("struct<NOUN:double,VERB:double>")
+    def matched(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        profiles = Profiles(shared.value)
+        for columns in batches:
+            lists = [c.to_pylist() for c in columns]
+            found = []
+            for row in zip(*lists, strict=True):
+                pairs = [list(zip(w, t, strict=True)) if w else [] for w, t in zip(row[::2], row[1::2], strict=True)]
+                found.append({pos: profiles.matched(pos, pairs[2 * k], pairs[2 * k + 1]) if pairs[2 * k] and pairs[2 * k + 1] else None for k, pos in enumerate(sides)})
+            yield pa.array(found, pa.struct([(pos, pa.float64()) for pos in sides]))
+
+    given = [field(pos, t, name) for pos in sides for t in (left_tokens, right_tokens) for name in ("word", "tag")]
+    return df.withColumn("_m", matched(*given)).withColumns({"_nouns": F.col("_m.NOUN"), "_verbs": F.col("_m.VERB")}).drop("_m")
+
+
 def text_scores(
-    df: DataFrame, key: str, left: str, right: str, left_tokens: str, right_tokens: str, similarity: Callable[[DataFrame], DataFrame] = equal_words, out: str = "score"
+    df: DataFrame, key: str, left: str, right: str, left_tokens: str, right_tokens: str, similarity: Callable[[DataFrame], DataFrame] | Taxonomy = equal_words, out: str = "score", held: int = HELD
 ) -> DataFrame:
-    """``df`` with the text score of two analysed texts, from nouns, verbs by tag, and word order; ``key`` is unique."""
-    side = lambda pos, kind: df.select(key, F.lit(pos).alias("pos"), kind(F.col(left_tokens)).alias("left"), kind(F.col(right_tokens)).alias("right"))
-    matched = best_matches(side("NOUN", nouns).union(side("VERB", verbs)), key, similarity)
-    each = matched.groupBy(key).agg(F.max(F.when(F.col("pos") == "NOUN", F.col("matched"))).alias("_nouns"), F.max(F.when(F.col("pos") == "VERB", F.col("matched"))).alias("_verbs"))
+    """``df`` with the text score of two analysed texts, from nouns, verbs by tag, and word order; ``key`` is unique.
+
+    With a taxonomy, whose words in use a task can hold, no pairs of words are made as rows.
+    """
+    rows = _scored_in_place(df, left_tokens, right_tokens, similarity, held) if isinstance(similarity, Taxonomy) else None
+    if rows is None:
+        rows = _joined(df, key, left_tokens, right_tokens, similarity.similarity if isinstance(similarity, Taxonomy) else similarity)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     overlap = word_order_overlap(plain_words(F.col(left_tokens)), plain_words(F.col(right_tokens)))
     score = F.when(missing(F.col(left)) | missing(F.col(right)), 0.0).otherwise(combined_text_score(zero("_nouns"), zero("_verbs"), F.coalesce(overlap, F.lit(0.0))))
-    return df.join(each, key, "left").withColumn(out, score).drop("_nouns", "_verbs")
+    return rows.withColumn(out, score).drop("_nouns", "_verbs")
+
+
+def _joined(df: DataFrame, key: str, left_tokens: str, right_tokens: str, similarity: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with ``_nouns`` and ``_verbs``, by joins of pairs of words."""
+    side = lambda pos, kind: df.select(key, F.lit(pos).alias("pos"), kind(F.col(left_tokens)).alias("left"), kind(F.col(right_tokens)).alias("right"))
+    matched = best_matches(side("NOUN", nouns).union(side("VERB", verbs)), key, similarity)
+    each = matched.groupBy(key).agg(F.max(F.when(F.col("pos") == "NOUN", F.col("matched"))).alias("_nouns"), F.max(F.when(F.col("pos") == "VERB", F.col("matched"))).alias("_verbs"))
+    return df.join(each, key, "left")
