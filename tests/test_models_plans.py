@@ -5,11 +5,13 @@ import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.plans import answers, calls, entities, tagging, taxonomy
+from textquarry.plans import answers, calls, entities, model_queries, tagging, taxonomy
+from textquarry.plans.queries import ORACLES
 
 # Taxonomies
 
@@ -352,6 +354,17 @@ def test_a_killed_run_keeps_its_waves(spark, tmp_path):
     assert len(lines(sent)) - before == 30 - kept and calls.replies(spark, store).count() == 30
 
 
+def test_requests_with_the_same_first_digits_fail_on_their_own(spark, tmp_path):
+    """The requests of texts 487718 and 547725, and of 258465 and 636124, have the same first eight digits and go to the same sender."""
+    ids = [487718, 547725, 258465, 636124]
+    spark.createDataFrame([(k, f"text {k}", "en") for k in ids], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r for r in duck.execute(ORACLES["call_runs"]).fetchall()}
+    assert {k: tuple(r) for k, r in ((r["doc_id"], r) for r in model_queries.call_runs(spark, str(tmp_path)).collect())} == want
+    assert [want[k][1] for k in ids] == [2, 2, 4, 4]
+
+
 def test_request_bodies(spark):
     df = spark.createDataFrame([('say "x"\n',), (None,)], "text string")
     body = calls.request_body("m", F.lit("sys"), F.col("text"), "demographics", 50, {"effort": "low", "exclude": True}, True)

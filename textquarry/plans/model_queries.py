@@ -257,12 +257,14 @@ class Flaky:
     """An offline connector: a request fails 0 to 3 times first by its hash, one in 17 always; replies are made of the hash."""
 
     def __init__(self):
-        self.tried: dict[int, int] = {}
+        self.tried: dict[bytes, int] = {}
 
     def send(self, body: str) -> str:
-        h = int(hashlib.sha256(body.encode()).hexdigest()[:8], 16)
-        self.tried[h] = self.tried.get(h, 0) + 1
-        if h % 17 == 0 or self.tried[h] <= h % 4:
+        key = hashlib.sha256(body.encode())
+        h = int(key.hexdigest()[:8], 16)
+        # By the whole hash: among some hundred thousand requests, two begin with the same eight digits.
+        self.tried[key.digest()] = self.tried.get(key.digest(), 0) + 1
+        if h % 17 == 0 or self.tried[key.digest()] <= h % 4:
             raise RuntimeError(f"rate limited {h % 4}")
         usage = {"prompt_tokens": len(body), "completion_tokens": h % 50}
         return json.dumps({"choices": [{"message": {"content": f'{{"label": {h % 7}}}'}, "finish_reason": "stop"}], "usage": usage})
