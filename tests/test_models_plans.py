@@ -135,6 +135,21 @@ def test_text_scores_without_rows_of_word_pairs(spark, animals):
     assert all({r["key"]: r["score"] for r in t.collect()} == want for t in (held, joined))
 
 
+def test_whole_turns_are_scored(spark, tmp_path):
+    """Texts that differ only after their first thousand characters have different scores, as in the SQL."""
+    start = "green rivers carry stones " * 50
+    turns = [(k, t, start + end) for k, ends in enumerate((("horses wander", "horses wander"), ("horses wander", "violet anchors"), ("", "pens"))) for t, end in enumerate(ends)]
+    spark.createDataFrame(turns, "conv_id int, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    words = "green rivers carry stones horses wander violet anchors pens wonder mothers"
+    spark.createDataFrame([(1, words)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    for t in ("conversations", "documents"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = dict(duck.execute(ORACLES["analysed_scores"]).fetchall())
+    found = {r["turn_key"]: r["score"] for r in model_queries.analysed_scores(spark, str(tmp_path)).collect()}
+    assert found == pytest.approx(want, abs=1e-8) and len(set(found.values())) == len(found) == 3
+
+
 # Tags
 
 

@@ -76,7 +76,7 @@ MISSING = "lower(trim({0})) IN ('', 'not specified', 'nan')"
 @query(
     f"""WITH RECURSIVE {TAXONOMY},
     turns AS (SELECT conv_id || ':' || turn AS k, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-    sides AS (SELECT k, before, text, regexp_extract_all(lower(left(trim(before), 1000)), '[a-z]+') AS l, regexp_extract_all(lower(left(trim(text), 1000)), '[a-z]+') AS r FROM turns WHERE before IS NOT NULL AND text IS NOT NULL),
+    sides AS (SELECT k, before, text, regexp_extract_all(lower(before), '[a-z]+') AS l, regexp_extract_all(lower(text), '[a-z]+') AS r FROM turns WHERE before IS NOT NULL AND text IS NOT NULL),
     token AS (SELECT k, 'l' AS side, unnest(l) AS word FROM sides UNION ALL SELECT k, 'r', unnest(r) FROM sides),
     kind AS (SELECT k, side, word, ['NOUN', 'VERB', 'X'][1 + length(word) % 3] AS pos FROM token),
     kept AS (
@@ -104,7 +104,7 @@ def analysed_scores(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select(key_of("conv_id", "turn").alias("turn_key"), "text", before.alias("before")).filter("before IS NOT NULL AND text IS NOT NULL")
 
     def tokens(text):
-        words = F.regexp_extract_all(F.lower(F.substring(F.trim(text), 1, taxonomy.ANALYSED_CHARS)), F.lit("[a-z]+"), F.lit(0))
+        words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
         n = lambda w: F.char_length(w)
         pos = lambda w: F.when(n(w) % 3 == 0, "NOUN").when(n(w) % 3 == 1, "VERB").otherwise("X")
         return F.transform(words, lambda w: F.struct(w.alias("lemma"), pos(w).alias("pos"), F.substring(w, 1, 1).alias("tag"), (n(w) <= 2).alias("stop"), F.lit(True).alias("alpha")))
