@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,42 @@ def test_text_scores_without_rows_of_word_pairs(spark, animals):
     assert all({r["key"]: r["score"] for r in t.collect()} == want for t in (held, joined))
 
 
+@pytest.mark.parametrize("dealt", [1, 40, 1 << 21])
+def test_text_scores_by_parts_of_the_words(spark, animals, dealt):
+    """Beyond what every task may hold, no pairs of words are made as rows either."""
+    rows = [(f"{i}:{k}", a, b) for i, a in enumerate(TEXTS) for k, b in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows, "key string, a string, b string")
+    df = taxonomy.analysed(taxonomy.analysed(df, "a", "ta", Plain), "b", "tb", Plain)
+    pairs = []
+    watched = type("Watched", (taxonomy.Taxonomy,), {"similarity": lambda self, p: pairs.append(p) or super(type(self), self).similarity(p)})(*animals)
+    found = taxonomy.text_scores(df, "key", "a", "b", "ta", "tb", watched, held=0, dealt=dealt)
+    assert {r["key"]: r["score"] for r in found.collect()} == pytest.approx({k: by_hand(a, b, likeness) for k, a, b in rows}, abs=1e-9) and not pairs
+
+
+def test_matches_in_place_equal_joins(spark, animals):
+    """Random words, null words, null tags and tags that only one side has, in slices of lists."""
+    rng = random.Random(5)
+    words, tags = ["hound", "dog", "cat", "wolf", "stone", "ghost", "loop", "never", None], ["x", "y", "z", None]
+    side = lambda: [{"word": rng.choice(words), "tag": rng.choice(tags)} for _ in range(rng.randrange(6))]
+    rows = [(k, "NOUN", side(), side()) for k in range(300)]
+    token = "array<struct<word:string,tag:string>>"
+    pairs = spark.createDataFrame(rows, f"key int, pos string, left {token}, right {token}").withColumns({c: F.filter(c, lambda t: t["word"].isNotNull() & t["tag"].isNotNull()) for c in ("left", "right")})
+    want = {r["key"]: r["matched"] for r in taxonomy.best_matches(pairs, "key", animals.similarity).collect()}
+    needed = spark.createDataFrame([(w, "NOUN") for w in words if w], "word string, pos string")
+    held = taxonomy.Profiles(taxonomy._profile(needed, animals).filter("shared > 0").groupBy("pos", "word", "ancestor").agg(F.min("own").alias("own"), F.first("shared").alias("shared")).toArrow())
+    lists = pairs.select("key", *[F.transform(c, lambda t: t[n]).alias(f"{c}_{n}") for c in ("left", "right") for n in ("word", "tag")]).toArrow().combine_chunks()  # noqa: B023
+    got = {}
+    for part in (lists.slice(0, 100), lists.slice(100, 150), lists.slice(250)):
+        batch = part.to_batches()[0]
+        got.update(zip(batch["key"].to_pylist(), held.matched("NOUN", *batch.columns[1:]).to_pylist(), strict=True))
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx(want)
+    # A null word counts for nothing; a null tag meets all words; a tag that only a null word has meets none.
+    one = lambda *x: pa.array([list(x)], pa.list_(pa.string()))
+    match = lambda *x: held.matched("NOUN", *[one(*v) for v in x]).to_pylist()
+    assert match(["dog", None], ["x", "x"], ["dog"], ["x"]) == [1.0] and match(["dog"], [None], ["dog", "cat"], ["x", "y"]) == [1.0]
+    assert match(["dog"], ["x"], [None, "dog"], ["x", "y"]) == [None] and match(["never", "dog"], ["x", "x"], ["dog"], ["x"]) == [0.5] and match([], [], ["dog"], ["x"]) == [None]
+
+
 def test_whole_turns_are_scored(spark, tmp_path):
     """Texts that differ only after their first thousand characters have different scores, as in the SQL."""
     start = "green rivers carry stones " * 50

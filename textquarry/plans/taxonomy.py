@@ -12,15 +12,16 @@ nothing; a word without a sense is like nothing; without a taxonomy, words are l
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import EMPTY_VERBS, combined_text_score, word_order_overlap
 from ..functions.text import cap, missing, strip
@@ -28,8 +29,10 @@ from ..operators.relations import discard, shared_path, written
 
 #: Fixed value: senses of a word that are compared, by rank.
 SENSES = 3
-#: Rows of words by what they are under that a task holds; beyond them, pairs of words are joined.
-HELD = 1 << 20
+#: Rows of words by what they are under that every task holds; beyond them, texts are dealt to parts of so many words.
+HELD, DEALT = 1 << 20, 1 << 21
+#: Texts that are scored at once.
+TEXTS = 4096
 #: Parts of speech that count as nouns, and as verbs.
 NOUNS, VERBS = ("NOUN", "PROPN"), ("VERB",)
 
@@ -79,10 +82,10 @@ class Taxonomy(NamedTuple):
 
 def _profile(needed: DataFrame, taxonomy: Taxonomy, senses: int = SENSES) -> DataFrame:
     """What each word of ``needed`` (word, pos) is under: (word, pos, concept, own information of the sense, ancestor, its information)."""
-    known = taxonomy.senses.filter(F.col("rank") <= senses).select("word", "pos", "concept").distinct()
+    known = taxonomy.senses.filter(F.col("rank") <= senses).join(needed, ["word", "pos"]).select("word", "pos", "concept").distinct()
     of = taxonomy.information.select("concept", F.col("information").alias("own"))
     up = taxonomy.information.select(F.col("concept").alias("ancestor"), F.col("information").alias("shared"))
-    profile = known.join(needed, ["word", "pos"]).join(of, "concept").join(taxonomy.ancestors, "concept").join(up, "ancestor")
+    profile = known.join(of, "concept").join(taxonomy.ancestors, "concept").join(up, "ancestor")
     return profile.select("word", "pos", "concept", "own", "ancestor", "shared")
 
 
@@ -166,98 +169,164 @@ class Profiles:
     """
 
     def __init__(self, found: pa.Table):
-        """``found`` has word, pos, ancestor, own, shared, ordered by pos and word."""
-        keys = list(zip(found["pos"].to_pylist(), found["word"].to_pylist(), strict=True))
-        self.starts = np.flatnonzero([k == 0 or keys[k] != keys[k - 1] for k in range(len(keys))]).tolist() + [len(keys)]
-        self.number = {keys[at]: k for k, at in enumerate(self.starts[:-1])}
-        self.ancestors = found["ancestor"].combine_chunks().dictionary_encode().indices.to_numpy() if len(keys) else np.zeros(0, np.int32)
-        self.own, self.shared = found["own"].to_numpy(), found["shared"].to_numpy()
-
-    def of(self, pos: str, word: str) -> Iterator[tuple]:
-        k = self.number.get((pos, word))
-        at = slice(0, 0) if k is None else slice(self.starts[k], self.starts[k + 1])
-        return zip(self.ancestors[at].tolist(), self.own[at].tolist(), self.shared[at].tolist(), strict=True)
-
-    def matched(self, pos: str, left: list, right: list) -> float | None:
-        """What ``best_matches`` gives of (word, tag) lists; null words are like nothing and count for nothing."""
-        pools: dict = {None: {w for w, _ in right} - {None}}
-        for w, t in right:
-            if t is not None:
-                pools.setdefault(t, set()).update({w} - {None})
-        least: dict = {}
-        total = said = 0
-        for (word, tag), n in Counter(left).items():
-            tag = tag if tag in pools else None
-            if word is None or not pools[tag]:
-                continue
-            if tag not in least:
-                own: dict = {}
-                for w in pools[tag]:
-                    for x, o, _ in self.of(pos, w):
-                        own[x] = min(o, own.get(x, o))
-                least[tag] = own
-            both = ((s, o + least[tag][x]) for x, o, s in self.of(pos, word) if x in least[tag])
-            total, said = total + n * max((2 * s / b for s, b in both if b > 0), default=0.0), said + n
-        return total / said if said else None
-
-
-def _held(words: DataFrame, taxonomy: Taxonomy, held: int) -> pa.Table | None:
-    """The profiles of ``words`` (word, pos), a row for each ancestor that says something; None if they are more than ``held``."""
-    found = _profile(words.distinct(), taxonomy).filter("shared > 0").groupBy("pos", "word", "ancestor").agg(F.min("own").alias("own"), F.first("shared").alias("shared"))
-    path = shared_path(words.sparkSession)
-    try:
-        found = written(found, path)
-        return found.orderBy("pos", "word").toArrow() if found.count() <= held else None
-    finally:
-        discard(words.sparkSession, path)
-
-
-def _scored_in_place(df: DataFrame, left_tokens: str, right_tokens: str, taxonomy: Taxonomy, held: int) -> DataFrame | None:
-    """``df`` with ``_nouns`` and ``_verbs`` as ``best_matches`` gives them, computed where the rows are; None if a task cannot hold the words' profiles."""
-    sides = {"NOUN": nouns, "VERB": verbs}
-    none = F.array().cast("array<struct<word:string,tag:string>>")
-
-    def words(pos: str, tokens: str) -> Column:
-        return F.transform(F.coalesce(sides[pos](F.col(tokens)), none), lambda w: F.struct(w["word"].alias("word"), F.lit(pos).alias("pos")))
-
-    def field(pos: str, tokens: str, name: str) -> Column:
-        return F.transform(sides[pos](F.col(tokens)), lambda w: w[name])
-
-    said = df.select(F.explode(F.concat(*[words(pos, t) for pos in sides for t in (left_tokens, right_tokens)])).alias("w"))
-    table = _held(said.select("w.*"), taxonomy, held)
-    if table is None:
-        return None
-    shared = df.sparkSession.sparkContext.broadcast(table)  # ``held`` rows at most
+        """``found`` has word, pos, ancestor, own, shared, a row for each ancestor of a word."""
+        ancestors = _whole(found["ancestor"]).dictionary_encode()
+        self.ancestors, kinds = ancestors.indices.to_numpy(), _whole(found["pos"])
+        self.number, own, shared = len(ancestors.dictionary) + 1, found["own"].to_numpy(), found["shared"].to_numpy()
+        self.words: dict[str, tuple] = {}
+        for pos in pc.unique(kinds).to_pylist():
+            at = np.flatnonzero(pc.equal(kinds, pos).to_numpy(zero_copy_only=False))
+            words = _whole(found["word"]).take(pa.array(at)).dictionary_encode()
+            of = words.indices.to_numpy()
+            order = np.argsort(of, kind="stable")
+            starts = np.searchsorted(of[order], np.arange(len(words.dictionary) + 1))
+            at = at[order]
+            self.words[pos] = words.dictionary, starts, self.ancestors[at].astype(np.int64), own[at], shared[at]
+
+    def matched(self, pos: str, left: pa.Array, left_tags: pa.Array, right: pa.Array, right_tags: pa.Array) -> pa.Array:
+        """What ``best_matches`` gives for each row of lists of words and of their tags; null words are like nothing and count for nothing."""
+        rows, nothing = len(left), (pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        known, starts, ancestors, own, shared = self.words.get(pos, nothing)
+        sides = [[pc.list_parent_indices(w).to_numpy(), pc.list_flatten(w), pc.list_flatten(t)] for w, t in ((left, left_tags), (right, right_tags))]
+        tags = pc.unique(pc.drop_null(pa.concat_arrays([sides[0][2], sides[1][2]])))
+        (l_row, l_tag, l_word, l_said), (r_row, r_tag, r_word, r_said) = (
+            # Tags from 1, and 0 for none; words by number, and -1 for those that are under nothing.
+            (r, _numbers(t, tags) + 1, _numbers(w, known), pc.is_valid(w).to_numpy(zero_copy_only=False)) for r, w, t in sides
+        )
+        # A pool is a row and a tag, or a row and 0 for all its words. A left word is compared with its tag's, if the row has the tag.
+        width = len(tags) + 1
+        own_pool, all_pool = r_row * width + r_tag, r_row * width
+        pool = l_row * width + l_tag
+        pool = np.where(_among(pool, np.unique(own_pool[r_tag > 0])), pool, l_row * width)
+        filled = np.unique(np.concatenate([own_pool[r_said], all_pool[r_said]]))
+        counts = l_said & _among(pool, filled)
+        pool, l_row, l_word = pool[counts], l_row[counts], l_word[counts]
+        # The least information of each pool's senses under each ancestor.
+        used = np.unique(pool)
+        pools, members = np.concatenate([own_pool, all_pool]), np.tile(r_word, 2)
+        met = (members >= 0) & _among(pools, used)
+        pools, members = np.divmod(np.unique(np.searchsorted(used, pools[met]) * len(starts) + members[met]), len(starts))
+        entry, place = _spread(members, starts)
+        under = pools[entry] * self.number + ancestors[place]
+        order = np.argsort(under, kind="stable")
+        under, first = np.unique(under[order], return_index=True)
+        least = np.minimum.reduceat(own[place][order], first) if len(first) else np.zeros(0)
+        # The best of each left word's ancestors that its pool shares.
+        entry, place = _spread(l_word, starts)
+        wanted = np.searchsorted(used, pool)[entry] * self.number + ancestors[place]
+        hit = _among(wanted, under)
+        entry, place = entry[hit], place[hit]
+        both = own[place] + least[np.searchsorted(under, wanted[hit])]
+        best = np.zeros(len(pool))
+        np.maximum.at(best, entry[both > 0], 2 * shared[place][both > 0] / both[both > 0])
+        n = np.bincount(l_row, minlength=rows)
+        return pa.array(np.bincount(l_row, best, minlength=rows) / np.maximum(n, 1), pa.float64(), mask=n == 0)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+
+
+def _numbers(values: pa.Array, among: pa.Array) -> np.ndarray:
+    """Each value's place in ``among``, -1 without one."""
+    return pc.fill_null(pc.index_in(values, value_set=among, skip_nulls=True), -1).to_numpy().astype(np.int64)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is one of ``ordered``, which are distinct and in order."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _spread(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, place) of each row of each word's profile; words of -1 have none."""
+    sizes = np.where(words >= 0, starts[words + 1] - starts[words], 0) if len(starts) > 1 else np.zeros(len(words), np.int64)
+    entry = np.repeat(np.arange(len(words)), sizes)
+    return entry, np.repeat(starts[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(entry))
+
+
+SIDES = {"NOUN": nouns, "VERB": verbs}
+
+
+def _listed(tokens: tuple[str, str]) -> list[Column]:
+    """Words and tags by part of speech and side, as ``_matches`` takes them."""
+    return [F.transform(kind(F.col(t)), lambda w: w[name]) for kind in SIDES.values() for t in tokens for name in ("word", "tag")]  # noqa: B023
+
+
+def _matches(profiles: Profiles, columns: list[pa.Array]) -> list[pa.Array]:
+    return [profiles.matched(pos, *columns[4 * k : 4 * k + 4]) for k, pos in enumerate(SIDES)]
+
+
+def _matched(df: DataFrame, key: str, left_tokens: str, right_tokens: str, taxonomy: Taxonomy, held: int, dealt: int) -> DataFrame:
+    """``df`` with ``_nouns`` and ``_verbs`` as ``best_matches`` gives them, without rows of word pairs.
+
+    Up to ``held`` rows of profiles, every task holds them all; beyond them, texts are dealt to parts of ``dealt`` words in the
+    mean, and a task holds the profiles of the words of one part.
+    """
+    none, tokens = F.array().cast("array<struct<word:string,tag:string>>"), (left_tokens, right_tokens)
+    words = [F.transform(F.coalesce(kind(F.col(t)), none), lambda w: F.struct(F.lit(pos).alias("pos"), w["word"].alias("word"))) for pos, kind in SIDES.items() for t in tokens]  # noqa: B023
+    said = df.select(F.explode(F.concat(*words)).alias("w")).select("w.*").distinct()
+    # Written once, as it is counted first. An ancestor of all concepts says nothing.
+    found = written(_profile(said, taxonomy).filter("shared > 0").groupBy("pos", "word", "ancestor").agg(F.min("own").alias("own"), F.first("shared").alias("shared")))
+    if found.count() > held:
+        return df.join(_dealt(df, key, tokens, found, dealt), key, "left")
+    shared = df.sparkSession.sparkContext.broadcast(found.toArrow())  # ``held`` rows at most
 
     @F.arrow_udf("struct<NOUN:double,VERB:double>")
     def matched(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         profiles = Profiles(shared.value)
         for columns in batches:
-            lists = [c.to_pylist() for c in columns]
-            found = []
-            for row in zip(*lists, strict=True):
-                pairs = [list(zip(w, t, strict=True)) if w else [] for w, t in zip(row[::2], row[1::2], strict=True)]
-                found.append({pos: profiles.matched(pos, pairs[2 * k], pairs[2 * k + 1]) if pairs[2 * k] and pairs[2 * k + 1] else None for k, pos in enumerate(sides)})
-            yield pa.array(found, pa.struct([(pos, pa.float64()) for pos in sides]))
-
-    given = [field(pos, t, name) for pos in sides for t in (left_tokens, right_tokens) for name in ("word", "tag")]
-    return df.withColumn("_m", matched(*given)).withColumns({"_nouns": F.col("_m.NOUN"), "_verbs": F.col("_m.VERB")}).drop("_m")
+            yield pa.StructArray.from_arrays(_matches(profiles, columns), list(SIDES))
+
+    return df.withColumn("_m", matched(*_listed(tokens))).withColumns({"_nouns": F.col("_m.NOUN"), "_verbs": F.col("_m.VERB")}).drop("_m")
+
+
+def _dealt(df: DataFrame, key: str, tokens: tuple[str, str], found: DataFrame, dealt: int) -> DataFrame:
+    """(key, ``_nouns``, ``_verbs``) by parts of the rows, each with the profiles of its own words."""
+    listed = [c.alias(f"_{k}") for k, c in enumerate(_listed(tokens))]
+    names = [f"_{k}" for k in range(len(listed))]
+    # Written once, as rows are numbered.
+    rows = written(df.select(key, *listed).withColumn("_id", F.monotonically_increasing_id()))
+    words = [F.coalesce(F.col(f"_{k}"), F.array().cast("array<string>")) for k in range(0, len(listed), 2)]
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.size(w) for w in words), F.lit(0))).alias("words")).first()
+    each = max(1, total["n"] * dealt // max(1, total["words"] or 0))
+    # Rows that were read together stay together. The upper bits of the number are the file's, the lower ones the row's.
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumn("_part", F.col("_id") - place + F.floor(place / each)).drop("_id")
+    kinds = [pos for pos in SIDES for _ in tokens]
+    said = rows.select("_part", F.explode(F.concat(*[F.transform(w, lambda x: F.struct(F.lit(pos).alias("pos"), x.alias("word"))) for w, pos in zip(words, kinds, strict=True)])).alias("w"))  # noqa: B023
+    profiles = found.groupBy("pos", "word").agg(F.collect_list(F.struct("ancestor", "own", "shared")).alias("under"))
+    held = said.select("_part", "w.*").distinct().join(profiles, ["pos", "word"]).select(F.col("_part").alias("_of"), "pos", "word", *[F.col(f"under.{c}").alias(c) for c in ("ancestor", "own", "shared")])
+
+    def score(texts: pa.Table, under: pa.Table) -> pa.Table:
+        lists = {c: _whole(under[c]) for c in ("pos", "word", "ancestor", "own", "shared")}
+        of = pc.list_parent_indices(lists["ancestor"])
+        profiles = Profiles(pa.table({c: v.take(of) if c in ("pos", "word") else pc.list_flatten(v) for c, v in lists.items()}))
+        done = []
+        for batch in texts.to_batches(max_chunksize=TEXTS):
+            done.append(pa.RecordBatch.from_arrays([batch[key], *_matches(profiles, [batch[c] for c in names])], [key, "_nouns", "_verbs"]))
+        return pa.Table.from_batches(done)
+
+    out = T.StructType([df.schema[key], T.StructField("_nouns", T.DoubleType()), T.StructField("_verbs", T.DoubleType())])
+    return rows.groupBy("_part").cogroup(held.groupBy("_of")).applyInArrow(score, out)
 
 
 def text_scores(
-    df: DataFrame, key: str, left: str, right: str, left_tokens: str, right_tokens: str, similarity: Callable[[DataFrame], DataFrame] | Taxonomy = equal_words, out: str = "score", held: int = HELD
+    df: DataFrame, key: str, left: str, right: str, left_tokens: str, right_tokens: str, similarity: Callable[[DataFrame], DataFrame] | Taxonomy = equal_words, out: str = "score",
+    held: int = HELD, dealt: int = DEALT,
 ) -> DataFrame:
     """``df`` with the text score of two analysed texts, from nouns, verbs by tag, and word order; ``key`` is unique.
 
-    With a taxonomy, whose words in use a task can hold, no pairs of words are made as rows.
+    With a taxonomy, no pairs of words are made as rows.
     """
-    rows = _scored_in_place(df, left_tokens, right_tokens, similarity, held) if isinstance(similarity, Taxonomy) else None
-    if rows is None:
-        rows = _joined(df, key, left_tokens, right_tokens, similarity.similarity if isinstance(similarity, Taxonomy) else similarity)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    # What needs the texts is computed where they are read, so that no join carries them.
     overlap = word_order_overlap(plain_words(F.col(left_tokens)), plain_words(F.col(right_tokens)))
-    score = F.when(missing(F.col(left)) | missing(F.col(right)), 0.0).otherwise(combined_text_score(zero("_nouns"), zero("_verbs"), F.coalesce(overlap, F.lit(0.0))))
-    return rows.withColumn(out, score).drop("_nouns", "_verbs")
+    rows = df.withColumns({"_overlap": F.coalesce(overlap, F.lit(0.0)), "_none": missing(F.col(left)) | missing(F.col(right))})
+    rows = _matched(rows, key, left_tokens, right_tokens, similarity, held, dealt) if isinstance(similarity, Taxonomy) else _joined(rows, key, left_tokens, right_tokens, similarity)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    score = F.when(F.col("_none"), 0.0).otherwise(combined_text_score(zero("_nouns"), zero("_verbs"), F.col("_overlap")))
+    return rows.withColumn(out, score).drop("_nouns", "_verbs", "_overlap", "_none")
 
 
 def _joined(df: DataFrame, key: str, left_tokens: str, right_tokens: str, similarity: Callable[[DataFrame], DataFrame]) -> DataFrame:
