@@ -159,15 +159,15 @@ def test_matches_in_place_equal_joins(spark, animals):
     want = {r["key"]: r["matched"] for r in taxonomy.best_matches(pairs, "key", animals.similarity).collect()}
     needed = spark.createDataFrame([(w, "NOUN") for w in words if w], "word string, pos string")
     held = taxonomy.Profiles(taxonomy._profile(needed, animals).filter("shared > 0").groupBy("pos", "word", "ancestor").agg(F.min("own").alias("own"), F.first("shared").alias("shared")).toArrow())
-    lists = pairs.select("key", *[F.transform(c, lambda t: t[n]).alias(f"{c}_{n}") for c in ("left", "right") for n in ("word", "tag")]).toArrow().combine_chunks()  # noqa: B023
+    lists = pairs.select("key", "left", "right").toArrow().combine_chunks()
     got = {}
     for part in (lists.slice(0, 100), lists.slice(100, 150), lists.slice(250)):
         batch = part.to_batches()[0]
         got.update(zip(batch["key"].to_pylist(), held.matched("NOUN", *batch.columns[1:]).to_pylist(), strict=True))
     assert {k: v for k, v in got.items() if v is not None} == pytest.approx(want)
     # A null word counts for nothing; a null tag meets all words; a tag that only a null word has meets none.
-    one = lambda *x: pa.array([list(x)], pa.list_(pa.string()))
-    match = lambda *x: held.matched("NOUN", *[one(*v) for v in x]).to_pylist()
+    one = lambda words, tags: pa.array([[{"word": w, "tag": t} for w, t in zip(words, tags, strict=True)]], pa.list_(pa.struct([("word", pa.string()), ("tag", pa.string())])))
+    match = lambda w, t, v, u: held.matched("NOUN", one(w, t), one(v, u)).to_pylist()
     assert match(["dog", None], ["x", "x"], ["dog"], ["x"]) == [1.0] and match(["dog"], [None], ["dog", "cat"], ["x", "y"]) == [1.0]
     assert match(["dog"], ["x"], [None, "dog"], ["x", "y"]) == [None] and match(["never", "dog"], ["x", "x"], ["dog"], ["x"]) == [0.5] and match([], [], ["dog"], ["x"]) == [None]
 

@@ -100,16 +100,18 @@ MISSING = "lower(trim({0})) IN ('', 'not specified', 'nan')"
 )
 def analysed_scores(spark, sf_dir):
     """Turns against the ones before, with tokens by length and the taxonomy of the documents' words."""
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = read(spark, sf_dir, "conversations").select(key_of("conv_id", "turn").alias("turn_key"), "text", before.alias("before")).filter("before IS NOT NULL AND text IS NOT NULL")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(order).alias("before"))
+    # A turn's words are found once, for itself and for the next one.
+    turns = turns.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).withColumn("words_before", F.lag("words").over(order))
+    turns = turns.filter("before IS NOT NULL AND text IS NOT NULL").select(key_of("conv_id", "turn").alias("turn_key"), "text", "before", "words", "words_before")
 
-    def tokens(text):
-        words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    def tokens(words):
         n = lambda w: F.char_length(w)
         pos = lambda w: F.when(n(w) % 3 == 0, "NOUN").when(n(w) % 3 == 1, "VERB").otherwise("X")
         return F.transform(words, lambda w: F.struct(w.alias("lemma"), pos(w).alias("pos"), F.substring(w, 1, 1).alias("tag"), (n(w) <= 2).alias("stop"), F.lit(True).alias("alpha")))
 
-    rows = turns.withColumns({"left": tokens(F.col("before")), "right": tokens(F.col("text"))})
+    rows = turns.withColumns({"left": tokens(F.col("words_before")), "right": tokens(F.col("words"))})
     return taxonomy.text_scores(rows, "turn_key", "before", "text", "left", "right", word_taxonomy(spark, sf_dir)).select("turn_key", F.round("score", 8).alias("score"))
 
 

@@ -183,11 +183,11 @@ class Profiles:
             at = at[order]
             self.words[pos] = words.dictionary, starts, self.ancestors[at].astype(np.int64), own[at], shared[at]
 
-    def matched(self, pos: str, left: pa.Array, left_tags: pa.Array, right: pa.Array, right_tags: pa.Array) -> pa.Array:
-        """What ``best_matches`` gives for each row of lists of words and of their tags; null words are like nothing and count for nothing."""
+    def matched(self, pos: str, left: pa.Array, right: pa.Array) -> pa.Array:
+        """What ``best_matches`` gives for each row of two lists of (word, tag); null words are like nothing and count for nothing."""
         rows, nothing = len(left), (pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         known, starts, ancestors, own, shared = self.words.get(pos, nothing)
-        sides = [[pc.list_parent_indices(w).to_numpy(), pc.list_flatten(w), pc.list_flatten(t)] for w, t in ((left, left_tags), (right, right_tags))]
+        sides = [[pc.list_parent_indices(x).to_numpy(), *pc.list_flatten(x).flatten()] for x in (left, right)]
         tags = pc.unique(pc.drop_null(pa.concat_arrays([sides[0][2], sides[1][2]])))
         (l_row, l_tag, l_word, l_said), (r_row, r_tag, r_word, r_said) = (
             # Tags from 1, and 0 for none; words by number, and -1 for those that are under nothing.
@@ -249,13 +249,9 @@ def _spread(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 SIDES = {"NOUN": nouns, "VERB": verbs}
 
 
-def _listed(tokens: tuple[str, str]) -> list[Column]:
-    """Words and tags by part of speech and side, as ``_matches`` takes them."""
-    return [F.transform(kind(F.col(t)), lambda w: w[name]) for kind in SIDES.values() for t in tokens for name in ("word", "tag")]  # noqa: B023
-
-
 def _matches(profiles: Profiles, columns: list[pa.Array]) -> list[pa.Array]:
-    return [profiles.matched(pos, *columns[4 * k : 4 * k + 4]) for k, pos in enumerate(SIDES)]
+    """Of the lists of (word, tag) by part of speech and side."""
+    return [profiles.matched(pos, *columns[2 * k : 2 * k + 2]) for k, pos in enumerate(SIDES)]
 
 
 def _matched(df: DataFrame, key: str, left_tokens: str, right_tokens: str, taxonomy: Taxonomy, held: int, dealt: int) -> DataFrame:
@@ -264,13 +260,14 @@ def _matched(df: DataFrame, key: str, left_tokens: str, right_tokens: str, taxon
     Up to ``held`` rows of profiles, every task holds them all; beyond them, texts are dealt to parts of ``dealt`` words in the
     mean, and a task holds the profiles of the words of one part.
     """
-    none, tokens = F.array().cast("array<struct<word:string,tag:string>>"), (left_tokens, right_tokens)
-    words = [F.transform(F.coalesce(kind(F.col(t)), none), lambda w: F.struct(F.lit(pos).alias("pos"), w["word"].alias("word"))) for pos, kind in SIDES.items() for t in tokens]  # noqa: B023
-    said = df.select(F.explode(F.concat(*words)).alias("w")).select("w.*").distinct()
+    # Each list is a column of its own, as it would be made for each use otherwise.
+    lists = [f"_l{k}" for k in range(2 * len(SIDES))]
+    df = df.withColumns(dict(zip(lists, [kind(F.col(t)) for kind in SIDES.values() for t in (left_tokens, right_tokens)], strict=True)))
+    said = df.select(F.explode(_words(lists)).alias("w")).select("w.*").distinct()
     # Written once, as it is counted first. An ancestor of all concepts says nothing.
     found = written(_profile(said, taxonomy).filter("shared > 0").groupBy("pos", "word", "ancestor").agg(F.min("own").alias("own"), F.first("shared").alias("shared")))
     if found.count() > held:
-        return df.join(_dealt(df, key, tokens, found, dealt), key, "left")
+        return df.drop(*lists).join(_dealt(df.select(key, *lists), key, lists, found, dealt), key, "left")
     shared = df.sparkSession.sparkContext.broadcast(found.toArrow())  # ``held`` rows at most
 
     @F.arrow_udf("struct<NOUN:double,VERB:double>")
@@ -279,33 +276,35 @@ def _matched(df: DataFrame, key: str, left_tokens: str, right_tokens: str, taxon
         for columns in batches:
             yield pa.StructArray.from_arrays(_matches(profiles, columns), list(SIDES))
 
-    return df.withColumn("_m", matched(*_listed(tokens))).withColumns({"_nouns": F.col("_m.NOUN"), "_verbs": F.col("_m.VERB")}).drop("_m")
+    return df.withColumn("_m", matched(*lists)).withColumns({"_nouns": F.col("_m.NOUN"), "_verbs": F.col("_m.VERB")}).drop("_m", *lists)
+
+
+def _words(lists: list[str]) -> Column:
+    """(pos, word) of all ``lists``, which go by part of speech and side."""
+    none, kinds = F.array().cast("array<struct<word:string,tag:string>>"), [pos for pos in SIDES for _ in range(2)]
+    return F.concat(*[F.transform(F.coalesce(c, none), lambda w: F.struct(F.lit(pos).alias("pos"), w["word"].alias("word"))) for c, pos in zip(lists, kinds, strict=True)])  # noqa: B023
 
 
-def _dealt(df: DataFrame, key: str, tokens: tuple[str, str], found: DataFrame, dealt: int) -> DataFrame:
+def _dealt(df: DataFrame, key: str, lists: list[str], found: DataFrame, dealt: int) -> DataFrame:
     """(key, ``_nouns``, ``_verbs``) by parts of the rows, each with the profiles of its own words."""
-    listed = [c.alias(f"_{k}") for k, c in enumerate(_listed(tokens))]
-    names = [f"_{k}" for k in range(len(listed))]
     # Written once, as rows are numbered.
-    rows = written(df.select(key, *listed).withColumn("_id", F.monotonically_increasing_id()))
-    words = [F.coalesce(F.col(f"_{k}"), F.array().cast("array<string>")) for k in range(0, len(listed), 2)]
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.size(w) for w in words), F.lit(0))).alias("words")).first()
+    rows = written(df.withColumn("_id", F.monotonically_increasing_id()))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(_words(lists))).alias("words")).first()
     each = max(1, total["n"] * dealt // max(1, total["words"] or 0))
     # Rows that were read together stay together. The upper bits of the number are the file's, the lower ones the row's.
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     rows = rows.withColumn("_part", F.col("_id") - place + F.floor(place / each)).drop("_id")
-    kinds = [pos for pos in SIDES for _ in tokens]
-    said = rows.select("_part", F.explode(F.concat(*[F.transform(w, lambda x: F.struct(F.lit(pos).alias("pos"), x.alias("word"))) for w, pos in zip(words, kinds, strict=True)])).alias("w"))  # noqa: B023
+    said = rows.select("_part", F.explode(_words(lists)).alias("w"))
     profiles = found.groupBy("pos", "word").agg(F.collect_list(F.struct("ancestor", "own", "shared")).alias("under"))
     held = said.select("_part", "w.*").distinct().join(profiles, ["pos", "word"]).select(F.col("_part").alias("_of"), "pos", "word", *[F.col(f"under.{c}").alias(c) for c in ("ancestor", "own", "shared")])
 
     def score(texts: pa.Table, under: pa.Table) -> pa.Table:
-        lists = {c: _whole(under[c]) for c in ("pos", "word", "ancestor", "own", "shared")}
-        of = pc.list_parent_indices(lists["ancestor"])
-        profiles = Profiles(pa.table({c: v.take(of) if c in ("pos", "word") else pc.list_flatten(v) for c, v in lists.items()}))
+        given = {c: _whole(under[c]) for c in ("pos", "word", "ancestor", "own", "shared")}
+        of = pc.list_parent_indices(given["ancestor"])
+        profiles = Profiles(pa.table({c: v.take(of) if c in ("pos", "word") else pc.list_flatten(v) for c, v in given.items()}))
         done = []
         for batch in texts.to_batches(max_chunksize=TEXTS):
-            done.append(pa.RecordBatch.from_arrays([batch[key], *_matches(profiles, [batch[c] for c in names])], [key, "_nouns", "_verbs"]))
+            done.append(pa.RecordBatch.from_arrays([batch[key], *_matches(profiles, [batch[c] for c in lists])], [key, "_nouns", "_verbs"]))
         return pa.Table.from_batches(done)
 
     out = T.StructType([df.schema[key], T.StructField("_nouns", T.DoubleType()), T.StructField("_verbs", T.DoubleType())])
@@ -321,8 +320,8 @@ def text_scores(
     With a taxonomy, no pairs of words are made as rows.
     """
     # What needs the texts is computed where they are read, so that no join carries them.
-    overlap = word_order_overlap(plain_words(F.col(left_tokens)), plain_words(F.col(right_tokens)))
-    rows = df.withColumns({"_overlap": F.coalesce(overlap, F.lit(0.0)), "_none": missing(F.col(left)) | missing(F.col(right))})
+    rows = df.withColumns({"_a": plain_words(F.col(left_tokens)), "_b": plain_words(F.col(right_tokens))})
+    rows = rows.withColumns({"_overlap": F.coalesce(word_order_overlap(F.col("_a"), F.col("_b")), F.lit(0.0)), "_none": missing(F.col(left)) | missing(F.col(right))}).drop("_a", "_b")
     rows = _matched(rows, key, left_tokens, right_tokens, similarity, held, dealt) if isinstance(similarity, Taxonomy) else _joined(rows, key, left_tokens, right_tokens, similarity)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = F.when(F.col("_none"), 0.0).otherwise(combined_text_score(zero("_nouns"), zero("_verbs"), F.col("_overlap")))
